@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, packing, secrets, simhash
+from . import decontaminate, html, langid, licenses, media, packing, secrets, sharding, simhash, urls
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_simhash": simhash.op2_simhash,
+    "op3_media": media.op3_media,
     "op4_packing": packing.op4_packing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_secrets": secrets.op6_secrets,
+    "op7_sharding": sharding.op7_sharding,
     "op8_langid": langid.op8_langid,
+    "op9_urls": urls.op9_urls,
+    "op10_html": html.op10_html,
 }
 
 ORACLES = {
     "op5_decontaminate": decontaminate.ORACLE,
+    "op7_sharding": sharding.oracle(),
+    "op9_urls": urls.ORACLE,
 }
