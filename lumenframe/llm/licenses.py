@@ -279,6 +279,13 @@ def template_frame(spark, model: Model) -> DataFrame:
     return rows.select(F.col("r")[0].alias("gram"), F.col("r")[1].cast("int").alias("template"), F.col("r")[2].alias("family"), F.col("r")[3].cast("int").alias("size"))
 
 
+def gram_column(n: int) -> F.Column:
+    """The ``n``-grams of the word array ``ws``."""
+    at = F.sequence(F.lit(1), F.size("ws") - (n - 1))
+    made = F.transform(at, lambda i: F.array_join(F.slice("ws", i, n), " "))
+    return F.when(F.size("ws") >= n, made).otherwise(F.array().cast("array<string>"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """``(id, paragraph, family, probability, template, similarity, confirmed)``.
 
@@ -292,10 +299,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     lines = lines.where(F.col("line").rlike(anchor))
     tokens = F.regexp_extract_all(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), 0)
     lines = lines.select("rid", "id", "paragraph", tokens.alias("ws"))
-    n_grams = [
-        F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - (n - 1)), lambda i, n=n: F.array_join(F.slice("ws", i, n), " "))).otherwise(F.array().cast("array<string>"))
-        for n in (1, 2, 3)
-    ]
+    n_grams = [gram_column(n) for n in (1, 2, 3)]
     found = lines.select("rid", "id", "paragraph", F.explode(F.array_distinct(F.concat(*n_grams))).alias("gram"))
     key = ["rid", "paragraph", "id"]
     sums = [F.sum(F.coalesce(F.col("w")[c], F.lit(0.0))).alias(f"z{c}") for c in range(len(model.classes))]
