@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import dialogue, evaluation, relational, retrieval, temporal, texts  # noqa: F401  they register themselves
+from .queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
