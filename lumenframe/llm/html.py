@@ -286,7 +286,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     if template.isEmpty():
         rows = rows.withColumn("hashes", F.lit(None).cast("array<long>"))
     else:
-        rows = rows.join(template, "id", "left")
+        rows = rows.join(template.hint("merge"), "id", "left")  # the same plan at every size
 
     def run(batches):
         for b in batches:
