@@ -47,7 +47,7 @@ def recent_sessions(spark, sf):
     return o.orderBy(F.col("o_orderdate").desc(), F.col("o_totalprice").desc(), "o_orderkey").limit(50).select("o_custkey", "o_orderkey")
 
 
-@query("dataset_convert", """SELECT 'bench-' || item_id AS case_id, trim(text) AS question, CASE WHEN item_id % 3 = 0 THEN 'temporal_order' ELSE 'general' END AS question_type, item_id * 1.0 AS gold_start, item_id * 1.0 + 1.5 AS gold_end, (item_id * 2.0 + 1.5) / 2 AS gold_t FROM benchmark WHERE trim(text) <> ''""")
+@query("dataset_convert", """SELECT 'bench-' || item_id AS case_id, trim(text) AS question, CASE WHEN item_id % 3 = 0 THEN 'temporal_order' ELSE 'general' END AS question_type, item_id * 1.0::DOUBLE AS gold_start, item_id * 1.0::DOUBLE + 1.5 AS gold_end, (item_id * 2.0 + 1.5) / 2 AS gold_t FROM benchmark WHERE trim(text) <> ''""")
 def convert(spark, sf):
     from ..datasets import convert_cases
 

@@ -40,7 +40,7 @@ def normalize_segments(spark, sf):
 
 @query("uniform_windows", f"""WITH d AS (SELECT user_id, (max({T_SQL}) - min({T_SQL})) / 3600 AS duration FROM events GROUP BY user_id),
 w AS (SELECT user_id, duration, unnest(range(0, ceil(duration / 10)::INT)) AS scene_id FROM d WHERE duration > 0)
-SELECT user_id, scene_id::INT AS scene_id, round(scene_id * 10.0, 3) AS start_s, round(least(scene_id * 10.0 + 10, duration), 3) AS end_s FROM w""")
+SELECT user_id, scene_id::INT AS scene_id, round(scene_id * 10.0::DOUBLE, 3) AS start_s, round(least(scene_id * 10.0 + 10, duration), 3) AS end_s FROM w""")
 def uniform_windows(spark, sf):
     w = iv.uniform_windows(_durations(spark, sf))
     return w.select("user_id", "scene_id", F.round("start", 3).alias("start_s"), F.round("end", 3).alias("end_s"))
@@ -129,7 +129,7 @@ def retrieval_recall(spark, sf):
     return r.select("user_id", F.round("recall", 6).alias("recall"), F.round("mean_distance", 3).alias("mean_distance"), "passed")
 
 
-@query("chunk_window_4_1", """WITH s AS (SELECT conv_id, turn, trim(text) AS text, turn * 5.0 AS t_start, turn * 5.0 + 4 AS t_end, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+@query("chunk_window_4_1", """WITH s AS (SELECT conv_id, turn, trim(text) AS text, turn * 5.0::DOUBLE AS t_start, turn * 5.0::DOUBLE + 4 AS t_end, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
 m AS (SELECT *, (i // 3) * 3 AS s FROM s UNION ALL SELECT *, i - 3 AS s FROM s WHERE i % 3 = 0 AND i > 0)
 SELECT conv_id, printf('transcript_%05d', s) AS chunk_id, trim(string_agg(text, ' ' ORDER BY i)) AS text, min(t_start) AS t_start, arg_max(t_end, i) AS t_end, count(*) AS members FROM m GROUP BY conv_id, s HAVING trim(string_agg(text, ' ' ORDER BY i)) <> ''""")
 def chunk_window(spark, sf):
