@@ -82,12 +82,16 @@ FINDINGS = "blob string, n_assign long, n_access long, n_hex long, base_sha256 s
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
-    """Findings of ``(blob, text)`` rows."""
+    """Findings of ``(blob, text)`` rows; rows that repeat a blob one after the other count once."""
 
     def run(batches):
+        last = None
         for b in batches:
             rows = []
             for blob, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if blob == last:
+                    continue
+                last = blob
                 found = spans(text.as_py())
                 base = [s for s in found if s[2] in BASE]
                 n = [sum(s[2] == k for s in base) for k in BASE]
@@ -126,7 +130,7 @@ class Ledger:
             fresh = fresh.join(self.rows().select("blob"), "blob", "left_anti")
         fresh = written(fresh, "unseen")
         named = fresh.where("id is not null")
-        unseen = texts.join(named.select("id").hint("shuffle_hash"), "id", "left_semi").select(blob, "text")
+        unseen = texts.select("id", blob, "text").join(named.select("id", "blob").hint("shuffle_hash"), ["id", "blob"], "left_semi").select("blob", "text")
         nameless = texts.where("id is null").select(blob, "text").join(fresh.where("id is null").select("blob"), "blob", "left_semi")
         found = scan_blobs(unseen.unionByName(nameless.dropDuplicates(["blob"])))
         found.write.mode("append").parquet(f"{self.path}/rules={self.rules}")

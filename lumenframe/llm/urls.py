@@ -36,6 +36,8 @@ RULES = (
     ("block", "org", "/es/"),
 )
 BLOCK_ABOVE = 0.3
+#: The overall rate of bad pages before any label is seen, worth one page.
+PRIOR_BAD = 0.05
 Z = 1.645
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
 #: Public suffixes of two labels under which names are registered (fixed values).
@@ -92,7 +94,7 @@ def reputation(hosts: DataFrame, rates: DataFrame) -> DataFrame:
     rates = rates.withColumn("domain", domain).withColumn("suffix", suffix)
     by_domain = rates.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    total = by_suffix.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m0"))
+    total = by_suffix.agg(((F.coalesce(F.sum("k"), F.lit(0)) + PRIOR_BAD) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m0"))
     # three single rows
     priors = total.crossJoin(weight(by_suffix).withColumnRenamed("s", "s1")).crossJoin(weight(by_domain).withColumnRenamed("s", "s2")).crossJoin(weight(rates).withColumnRenamed("s", "s3"))
     named = lambda df, tag: df.withColumnRenamed("n", f"n{tag}").withColumnRenamed("k", f"k{tag}")
@@ -140,7 +142,7 @@ names AS (SELECT host, array_to_string(p[-2:], '.') AS domain, p[-1] AS suffix F
 r3 AS (SELECT host, count(*) AS n, sum(bad) AS k FROM u JOIN l ON page_id = doc_id GROUP BY host),
 r2 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM r3 JOIN names USING (host) GROUP BY domain, suffix),
 r1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM r2 GROUP BY suffix),
-c AS (SELECT (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM r1) AS m0, {_weight_sql("r1")} AS s1, {_weight_sql("r2")} AS s2, {_weight_sql("r3")} AS s3),
+c AS (SELECT (SELECT (coalesce(sum(k), 0) + {PRIOR_BAD}) / (coalesce(sum(n), 0) + 1) FROM r1) AS m0, {_weight_sql("r1")} AS s1, {_weight_sql("r2")} AS s2, {_weight_sql("r3")} AS s3),
 m AS (SELECT names.host, coalesce(r3.n, 0) AS n, coalesce(r3.k, 0) AS k, s3,
   (coalesce(r2.k, 0) + s2 * ((coalesce(r1.k, 0) + s1 * m0) / (coalesce(r1.n, 0) + s1))) / (coalesce(r2.n, 0) + s2) AS m2
   FROM names LEFT JOIN r3 USING (host) LEFT JOIN r2 ON r2.domain = names.domain LEFT JOIN r1 ON r1.suffix = names.suffix, c),
