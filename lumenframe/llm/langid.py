@@ -200,10 +200,14 @@ def train(
 ) -> ByteGRU | None:
     """Fit on a bounded sample of labelled rows outside the held-out quarter; None if there are none."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    rows = rows.where(F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}") & ~held_out("i"))
+    rows = rows.where(F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out("i"))
     order = W.partitionBy("l").orderBy(F.xxhash64("i", F.lit(seed)), "i")
-    picked = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).where(F.col("l").isNotNull() & F.col("i").isNotNull() & ~held_out("i"))
-    picked = picked.withColumn("r", F.row_number().over(order)).where(f"r <= {int(docs_per_lang)}").select("i").distinct()
+    labelled = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).where(F.col("l").isNotNull() & F.col("i").isNotNull() & ~held_out("i"))
+    # a hash range that holds about twice the wanted ids of each language, so few rows meet in its window
+    sizes = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    share = F.lit(2.0 * docs_per_lang + 50) / F.col("n")
+    thin = labelled.join(F.broadcast(sizes), "l").where(F.pmod(F.xxhash64("i", F.lit(seed + 99)), F.lit(1 << 30)) < share * (1 << 30))
+    picked = thin.withColumn("r", F.row_number().over(order)).where(f"r <= {int(docs_per_lang)}").select("i").distinct()
     # at most docs_per_lang ids of each language: its size is bounded by the label set
     some = rows.join(F.broadcast(picked), "i", "left_semi")
     at = [F.pmod(F.xxhash64("i", F.lit(seed + k)), F.length("t")).cast("int") + 1 for k in range(1, excerpts + 1)]
@@ -220,7 +224,7 @@ def train(
         per[r["l"]] += 1
         for k in range(excerpts):
             raw = r[f"e{k}"].encode("utf-8", "replace")
-            if len(raw) >= 8:
+            if len(raw) >= 8 and _LETTER(r[f"e{k}"]):
                 windows.append((raw * (half // len(raw) + 1))[:half])
                 y.append(langs.index(r["l"]))
     if not windows:
