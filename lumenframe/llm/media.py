@@ -56,7 +56,7 @@ def encode_png(data: bytes, width: int = WIDTH) -> bytes:
     scan = np.zeros((len(rows), width + 1), np.uint8)  # filter type 0 before each line
     scan[:, 1:] = rows
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(scan.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(scan.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def read_header(head: bytes) -> tuple[int, int, int]:
