@@ -45,7 +45,7 @@ BATCH_BYTES = 4 << 20
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_TOP = np.uint64(44)  # a filter of 2**20 slots
+_TOP = np.uint64(46)  # a filter of 2**18 slots
 
 
 class Words:
@@ -115,7 +115,7 @@ class Searcher:
                 order = np.argsort(low[items], kind="stable")
                 keys.append(low[items][order])
                 owner.append(np.array(items)[order])
-            seen = np.zeros((HASHES, 1 << 20), bool)
+            seen = np.zeros((HASHES, 1 << 18), bool)
             for k in range(HASHES):
                 seen[k, keys[k] >> _TOP] = True
             self.parts.append((m // 4, keys, owner, seen))

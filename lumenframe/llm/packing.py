@@ -35,7 +35,7 @@ END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 BLOCK_SEQUENCES = 256
 #: Entries of a worker's word cache; it starts anew beyond that.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 ENCODE_CHARS = 1 << 20
 #: Text that is encoded at once, so most of its words repeat within it.
 BATCH_BYTES = 8 << 20
