@@ -17,7 +17,9 @@ def candidate_timeline(candidates: DataFrame, evidence: DataFrame, case: str | N
     """
     keys = [case] if case else []
     c = candidates.select(*keys, "label", content_tokens("text").alias("tokens"))
-    hits = token_hits(F.lower("text"), F.col("tokens"))
+    # folded below the join: within the token filter it would be folded once a token
+    evidence = evidence.withColumn("low", F.lower("text")).drop("text")
+    hits = token_hits("low", F.col("tokens"))
     on = keys if case else None
     pairs = evidence.join(F.broadcast(c), on) if on else evidence.crossJoin(F.broadcast(c))
     pairs = pairs.withColumn("hits", hits).where(F.col("hits") >= F.when(F.size("tokens") <= 2, 1).otherwise(2))
