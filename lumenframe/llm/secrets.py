@@ -8,8 +8,8 @@ findings, and joins findings back to all documents that carry the blob.
 Plan: (1) hash texts in the JVM, ids and digests only; (2) one representative
 document per unseen blob (a narrow aggregation, so copies never meet in one
 task); (3) a semi-join on the document id moves each unseen text once; (4) one
-Arrow pass scans; (5) documents join the ledger on the digest. The ledger is a
-Parquet folder partitioned by rule version; a lost executor only repeats tasks.
+Arrow pass scans; (5) documents join the ledger on the digest, and the paths of a
+blob with many copies are dealt over many tasks. The ledger is a Parquet folder partitioned by rule version; a lost executor only repeats tasks.
 
 Null text is the empty blob. A null document id can't stand for a blob: such
 rows are scanned under the digest of any row with an id, and else keyed by the
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, table, written
+from .common import fresh_path, map_arrow, spread_join, table, written
 
 #: Kinds in the order in which spans with an equal start are listed. The first three are the base rules.
 KINDS = ("assign", "access", "hex", "private_key", "jwt", "github", "slack", "url_password")
@@ -125,16 +125,16 @@ class Ledger:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
         blob = F.sha2(F.encode("text", "UTF-8"), 256).alias("blob")
         paths = written(texts.select("id", blob), "paths")
-        fresh = paths.groupBy("blob").agg(F.min("id").alias("id"))
+        blobs = written(paths.groupBy("blob").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "blobs")
+        fresh = blobs
         if self.known():
-            fresh = fresh.join(self.rows().select("blob"), "blob", "left_anti")
-        fresh = written(fresh, "unseen")
+            fresh = written(blobs.join(self.rows().select("blob"), "blob", "left_anti"), "unseen")
         named = fresh.where("id is not null")
         unseen = texts.select("id", blob, "text").join(named.select("id", "blob").hint("shuffle_hash"), ["id", "blob"], "left_semi").select("blob", "text")
         nameless = texts.where("id is null").select(blob, "text").join(fresh.where("id is null").select("blob"), "blob", "left_semi")
         found = scan_blobs(unseen.unionByName(nameless.dropDuplicates(["blob"])))
         found.write.mode("append").parquet(f"{self.path}/rules={self.rules}")
-        return paths.join(self.rows(), "blob")
+        return spread_join(paths, self.rows(), ["blob"], "id", blobs.select("blob", "n"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
