@@ -11,8 +11,8 @@ folder, each payload once a task, and returns index rows, which are written as
 Parquet: that table is the commit, so shards of failed attempts are never
 referenced. (2) The least (shard, offset) of a digest is its address for all
 rows; a narrow aggregation finds it. (3) Members are dealt by shard and range and
-read in order. (4) Index rows join their member's columns by digest; payloads
-are never shuffled.
+read in order. (4) Index rows join their member's columns by digest, a digest of
+many rows over many tasks; payloads are never shuffled.
 
 Null and empty text are 192 spaces with ``n_bytes`` 0. Equal payloads share one
 address. Rows with null or repeated ids come out as they went in.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, table, written
+from .common import fresh_path, map_arrow, spread_join, table, written
 
 WIDTH = 192
 HEADER_BYTES = 33
@@ -93,7 +93,7 @@ def feature(samples: bytes) -> str:
 
 
 INDEX = "id long, n_bytes long, digest string, shard string, offset long, length long"
-MEMBER = "digest string, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEMBER = "digest string, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long, n long"
 
 
 def filesystem(uri: str):
@@ -162,20 +162,20 @@ def store(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def members(index: DataFrame) -> DataFrame:
-    """One row per digest: its least address."""
-    least = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a"))
-    return least.select("digest", "a.*")
+    """One row per digest: its least address and its rows ``n``."""
+    least = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a"), F.count(F.lit(1)).alias("n"))
+    return least.select("digest", "a.*", "n")
 
 
 def read_members(addresses: DataFrame, root: str, header_only: bool = False) -> DataFrame:
-    """Metadata columns by header ranges; unless ``header_only``, the payload's own columns too."""
+    """Metadata columns by header ranges and the address; unless ``header_only``, the payload's own columns too."""
 
     def run(batches):
         fs, base = filesystem(root)
         name, src = None, None
         for b in batches:
             rows = []
-            for digest, shard, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for digest, shard, offset, length, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if shard != name:
                     if src is not None:
                         src.close()
@@ -188,13 +188,13 @@ def read_members(addresses: DataFrame, root: str, header_only: bool = False) ->
                     stored = head + src.read_at(length - HEADER_BYTES, offset + HEADER_BYTES)
                     data = decode_png(stored)
                     row += [len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), length, hashlib.sha256(stored).hexdigest(), feature(data)]
-                rows.append(row)
-            cols = list(zip(*rows, strict=True)) or [[]] * 10
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append([*row, shard, offset, length, n])
+            cols = list(zip(*rows, strict=True)) or [[]] * 14
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in MEMBER.split(", ")])
 
     ranges = F.floor(F.col("offset") / RANGE_BYTES)
-    dealt = addresses.select("digest", "shard", "offset", "length").repartition("shard", ranges).sortWithinPartitions("shard", "offset")
+    dealt = addresses.select("digest", "shard", "offset", "length", "n").repartition("shard", ranges).sortWithinPartitions("shard", "offset")
     return map_arrow(dealt, run, MEMBER)
 
 
@@ -203,8 +203,7 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
     root = root or fresh_path(docs.sparkSession, "media")
     index = store(docs, root, id_col, text_col)
     found = written(read_members(members(index), root), "media-members")
-    address = members(index).select("digest", "shard", "offset", "length")
-    return index.select("id", "n_bytes", "digest").join(found.join(address, "digest"), "digest")
+    return spread_join(index.select("id", "n_bytes", "digest"), found.drop("n"), ["digest"], "id", found.select("digest", "n"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
