@@ -9,7 +9,7 @@ Plan
 1. Fingerprints are computed in one Arrow pass over whole texts and written to
    the shared folder together with the id; the texts never move.
 2. Equal fingerprints collapse to one row (``min(doc_id)``), so a huge group of
-   copies is one node.
+   copies is one node; its rows get their class back over many tasks.
 3. Shards. 64 bits are cut into six blocks. Fingerprints within two bits agree
    on at least four whole blocks, so each fingerprint joins C(6,4) = 15 shards,
    each keyed by four blocks. Members of a shard differ in at most 22 free
@@ -20,7 +20,7 @@ Plan
    are built and probed together as arrays. Links are reduced to a spanning
    forest per shard, so a dense group emits one edge per member, not all pairs.
 5. Connected components by alternating large-star / small-star steps, each
-   written to the shared folder.
+   written to the shared folder. The links of a hub are dealt over many tasks.
 
 Null or blank texts have fingerprint zero and are linked like any other row.
 Rows with a null id are kept and classed, but cannot name a class unless all
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, written
+from .common import map_arrow, spread_join, table, written
 
 SEED = 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -228,8 +228,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = tuple(seen)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "hubs")
+        large = spread_join(both.where("v > u"), low.select("u", "m"), ["u"], "v", low.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
@@ -239,10 +239,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2) -> DataFrame:
     """``(id, fp, component)`` for every row of ``docs``; ``component`` is the smallest id reachable."""
     rows = written(fingerprints(docs, id_col, text_col, n), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
     found = components(near_links(nodes.where("rep is not null"), radius))
     classes = nodes.join(found, nodes.rep == found.node, "left").select(F.col("fp"), F.coalesce("root", "rep").alias("component"))
-    return rows.join(classes, "fp").select("id", "fp", "component")
+    return spread_join(rows, classes, ["fp"], "id", nodes.select("fp", "n")).select("id", "fp", "component")
 
 
 def hex16(fp) -> F.Column:
