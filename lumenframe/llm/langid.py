@@ -206,13 +206,15 @@ def train(
     # a hash range that holds about twice the wanted ids of each language, so few rows meet in its window
     sizes = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     share = F.lit(2.0 * docs_per_lang + 50) / F.col("n")
-    thin = labelled.join(F.broadcast(sizes), "l").where(F.pmod(F.xxhash64("i", F.lit(seed + 99)), F.lit(1 << 30)) < share * (1 << 30))
+    thin = labelled.join(F.broadcast(sizes), "l").where(F.pmod(F.xxhash64("i", F.lit(seed + 99)), F.lit(1 << 30)) < share * (1 << 30)).select("i", "l").distinct()
     picked = thin.withColumn("r", F.row_number().over(order)).where(f"r <= {int(docs_per_lang)}").select("i").distinct()
     # at most docs_per_lang ids of each language: its size is bounded by the label set
     some = rows.join(F.broadcast(picked), "i", "left_semi")
     at = [F.pmod(F.xxhash64("i", F.lit(seed + k)), F.length("t")).cast("int") + 1 for k in range(1, excerpts + 1)]
-    found = some.select("i", "l", *[F.col("t").substr(p, F.lit(EXCERPT_CHARS)).alias(f"e{k}") for k, p in enumerate(at)]).collect()
-    found = sorted(found, key=lambda r: (r["i"], r["l"], r["e0"]))
+    found = some.select("i", "l", F.struct(*[F.col("t").substr(p, F.lit(EXCERPT_CHARS)).alias(f"e{k}") for k, p in enumerate(at)]).alias("e"))
+    # rows that repeat an id count once, so the sample stays bounded
+    found = found.groupBy("i", "l").agg(F.min("e").alias("e")).select("i", "l", "e.*").collect()
+    found = sorted(found, key=lambda r: (r["i"], r["l"]))
     langs = sorted({r["l"] for r in found})
     if not langs:
         return None
