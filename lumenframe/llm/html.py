@@ -12,7 +12,7 @@ text leaves are content and stay even if many pages share them: only containers
 there can be template. Without such an element every block may be.
 
 Plan: (1) one Arrow pass parses pages and emits distinct (host, hash) pairs;
-(2) two partial aggregations count them, so a huge host never meets in one task;
+(2) two partial aggregations count them, and joins deal a huge host over many tasks;
 (3) recurring hashes come back as one set per page, and only if any exist do the
 pages move, once, by page id; (4) a second Arrow pass extracts.
 
@@ -25,13 +25,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, written
+from .common import map_arrow, spread_join, table, written
 
 MIN_PAGES = 5
 MIN_SHARE = 0.1
@@ -55,9 +56,11 @@ CHROME = frozenset(
 )
 MAIN_WORDS = frozenset("article post entry content story".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z0-9]+")
+#: Frames that a page's tree may take; elements nest deeper on broken pages than Python allows by default.
+DEEPEST = 1_000_000
 
 
 class Node:
@@ -73,6 +76,7 @@ class Node:
 
 def parse(source: str) -> Node:
     """A lenient tree: void and raw elements, implied ends of p, li, dt, dd, tr, td and th."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
     root = Node("#root")
     stack = [root]
     at, n = 0, len(source)
@@ -152,7 +156,7 @@ def roots(tree: Node) -> tuple[list[Node], bool]:
     """The content elements in page order, and whether they're marked as such."""
     tiers: list[list[Node]] = [[], [], []]
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, in_main: bool, in_words: bool) -> None:
         for k in node.kids:
             if isinstance(k, str) or is_chrome(k, False):
                 continue
@@ -160,25 +164,21 @@ def roots(tree: Node) -> tuple[list[Node], bool]:
             if k.tag == "article":
                 tiers[0].append(k)
                 continue
-            if k.tag == "main" or a.get("role") == "main" or a.get("itemprop") == "articleBody":
+            main = k.tag == "main" or a.get("role") == "main" or a.get("itemprop") == "articleBody"
+            words = not main and k.tag in ("div", "section") and bool(MAIN_WORDS & set(_WORD.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())))
+            if main and not in_main:
                 tiers[1].append(k)
-            elif k.tag in ("div", "section") and MAIN_WORDS & set(_WORD.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())):
+            if words and not in_words:
                 tiers[2].append(k)
-            walk(k)
+            walk(k, in_main or main, in_words or words)
 
-    walk(tree)
-    for found in tiers[:2]:
+    walk(tree, False, False)
+    for i, found in enumerate(tiers):
         if found:
-            return [x for x in found if not any(x is not y and within(x, y) for y in found)], True
-    if tiers[2]:
-        return [x for x in tiers[2] if not any(x is not y and within(x, y) for y in tiers[2])], False
+            return found, i < 2
     return [tree], False
 
 
-def within(node: Node, other: Node) -> bool:
-    return any(k is node or not isinstance(k, str) and within(node, k) for k in other.kids)
-
-
 def subtree_hash(node: Node) -> int:
     """Hash of tag, text and children; 0 for a subtree without text."""
     parts, full = [node.tag], False
@@ -273,10 +273,12 @@ def recurring(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col))
     pairs = written(map_arrow(rows, run, "id long, host string, hash long"), "subtrees")
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
     counts = pairs.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= min_pages)
-    common = counts.join(sizes, "host").where(F.col("seen") >= F.col("pages") * min_share).select("host", "hash")
-    return pairs.join(common, ["host", "hash"]).groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+    common = spread_join(counts, sizes.withColumnRenamed("n", "pages"), ["host"], "hash", sizes).where(F.col("seen") >= F.col("pages") * min_share)
+    common = written(common.select("host", "hash", F.col("seen").alias("n")), "common")
+    named = pairs.where("id is not null")
+    return spread_join(named, common.select("host", "hash"), ["host", "hash"], "id", common).groupBy("id").agg(F.collect_set("hash").alias("hashes"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

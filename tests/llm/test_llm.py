@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontaminate, html, langid, licenses, media, packing, secrets, sharding, simhash, urls
+from lumenframe.llm import common, decontaminate, html, langid, licenses, media, packing, secrets, sharding, simhash, urls
 from lumenframe.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +29,21 @@ def docs(spark, rows):
     return spark.createDataFrame(full, DOCS)
 
 
+# hot keys
+
+
+def test_spread_join_equals_a_plain_join(spark):
+    left = spark.range(1000).selectExpr("case when id % 3 = 0 then 0 when id % 50 = 1 then null else id end as k", "id as v")
+    left = left.unionByName(left.where("v < 9"))  # repeated rows
+    counts = left.groupBy("k").count().withColumnRenamed("count", "n")
+    right = spark.range(0, 1000, 2).selectExpr("id as k", "-id as w")
+    got = common.spread_join(left, right, ["k"], "v", counts)
+    assert got.columns == ["k", "v", "w"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    none = left.where("false")
+    assert common.spread_join(none, right, ["k"], "v", counts.where("false")).isEmpty()
+
+
 # SimHash
 
 
@@ -349,6 +364,19 @@ def test_recurring_subtrees_go_and_shared_paragraphs_stay(spark):
     assert got[200] == ("", 0) and got[201][0] == "Follow us"
 
 
+def test_broken_pages_end():
+    assert html.main_text("<p>a<a " + "x" * 60 + '" >b</a>c') == "abc"
+    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
+    assert html.main_text(deep) == "deep" and html.template_candidates(deep)
+    assert html.main_text("<main><p>x</p><main><p>y</p></main></main>") == "x\ny"
+
+
+def test_pages_without_ids_keep_their_rows(spark):
+    rows = [(None, "http://h.com/", f"<div><p>Menu</p></div><div>Body {i}</div>") for i in range(9)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["text"] for r in got) == [f"Menu\nBody {i}" for i in range(9)]
+
+
 # licences
 
 
