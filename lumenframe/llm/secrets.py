@@ -9,7 +9,11 @@ Plan: (1) hash texts in the JVM, ids and digests only; (2) one representative
 document per unseen blob (a narrow aggregation, so copies never meet in one
 task); (3) a semi-join on the document id moves each unseen text once; (4) one
 Arrow pass scans; (5) documents join the ledger on the digest, and the paths of a
-blob with many copies are dealt over many tasks. The ledger is a Parquet folder partitioned by rule version; a lost executor only repeats tasks.
+blob with many copies are dealt over many tasks. The ledger is a Parquet folder
+partitioned by rule version; a lost executor only repeats tasks.
+
+Redaction joins the texts with their blobs' findings by digest, dealt in the same way,
+and replaces the listed spans; it doesn't search the texts again.
 
 Null text is the empty blob. A null document id can't stand for a blob: such
 rows are scanned under the digest of any row with an id, and else keyed by the
@@ -68,10 +72,16 @@ def listed(found: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in found)
 
 
-def redact(text: str | None) -> str | None:
+def parsed(line: str) -> list[Span]:
+    """The spans that ``listed`` wrote."""
+    parts = (s.split(":") for s in line.split(",") if s)
+    return [(int(a), int(b), k) for k, a, b in parts]
+
+
+def redact(text: str | None, found: list[Span] | None = None) -> str | None:
     """The text with every secret replaced by ``[kind]``; overlapping spans become one."""
     out, at = [], 0
-    for a, b, kind in spans(text):
+    for a, b, kind in spans(text) if found is None else found:
         if a >= at:
             out += [text[at:a], f"[{kind}]"]
         at = max(at, b)
@@ -103,6 +113,11 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return map_arrow(blobs, run, FINDINGS)
 
 
+def blob_of(text) -> F.Column:
+    """The content address of a text that isn't null."""
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
 class Ledger:
     """Findings by (blob, rule version) in a shared folder."""
 
@@ -120,10 +135,10 @@ class Ledger:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rules={self.rules}")
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
-    def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``(id, blob, findings...)`` for every row of ``docs``; unseen blobs are scanned and kept."""
+    def update(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+        """Scan the unseen blobs of ``docs`` and keep their findings; ``(id, blob)`` of every row and ``(blob, id, n)`` of every blob."""
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-        blob = F.sha2(F.encode("text", "UTF-8"), 256).alias("blob")
+        blob = blob_of("text").alias("blob")
         paths = written(texts.select("id", blob), "paths")
         blobs = written(paths.groupBy("blob").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "blobs")
         fresh = blobs
@@ -134,6 +149,11 @@ class Ledger:
         nameless = texts.where("id is null").select(blob, "text").join(fresh.where("id is null").select("blob"), "blob", "left_semi")
         found = scan_blobs(unseen.unionByName(nameless.dropDuplicates(["blob"])))
         found.write.mode("append").parquet(f"{self.path}/rules={self.rules}")
+        return paths, blobs
+
+    def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``(id, blob, findings...)`` for every row of ``docs``."""
+        paths, blobs = self.update(docs, id_col, text_col)
         return spread_join(paths, self.rows(), ["blob"], "id", blobs.select("blob", "n"))
 
 
@@ -141,23 +161,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     return (ledger or Ledger(docs.sparkSession)).scan(docs, id_col, text_col)
 
 
-def redact_rows(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """All rows of ``docs`` with secrets replaced; ``chars_col`` follows the new length where it changed."""
+def redact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", ledger: Ledger | None = None) -> DataFrame:
+    """All rows of ``docs`` with the secrets that the ledger lists for their blobs replaced.
+
+    ``chars_col`` follows the new length where it changed. Every text meets its blob's findings once, by digest.
+    """
+    ledger = ledger or Ledger(docs.sparkSession)
+    _, blobs = ledger.update(docs, id_col, text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), blob_of(F.coalesce(text_col, F.lit(""))).alias("blob"))
+    rows = spread_join(rows, ledger.rows().select("blob", "spans"), ["blob"], "id", blobs.select("blob", "n")).select("row", "spans")
     at = docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
+    out = list(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs is in the way
+    flat = rows.select(*[F.col("row").getField(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], "spans")
 
     def run(batches):
         for b in batches:
-            cols = list(b.columns)
+            *cols, lines = b.columns
             old = cols[at].to_pylist()
-            new = [redact(t) for t in old]
+            new = [redact(t, parsed(s)) if s else t for t, s in zip(old, lines.to_pylist(), strict=True)]
             cols[at] = pa.array(new, pa.string())
             if chars is not None:
                 counts = cols[chars].to_pylist()
                 cols[chars] = pa.array([c if o == t else len(t) for c, o, t in zip(counts, old, new, strict=True)], cols[chars].type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            yield pa.RecordBatch.from_arrays(cols, names=out)
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(flat, run, docs.schema)
 
 
 def op6_secrets(spark, sf_dir) -> DataFrame:

@@ -258,6 +258,25 @@ def test_ledger_scans_only_unseen_blobs(spark):
     assert before + 1 <= stored <= before + 2  # a row that repeats may be scanned beside its copy, and counts once
 
 
+def test_redaction_takes_its_spans_from_the_ledger(spark):
+    texts = [*ODD, (8, "🙂 token = abcdef99, clean"), (8, "🙂 token = abcdef99, clean"), (None, "password: longer-one"), (9, "secret=abcdefg AKIA" + "B" * 18)]
+    rows = docs(spark, texts).withColumnsRenamed({"id": "spans", "rid": "row", "source": "blob"})
+    ledger = secrets.Ledger(spark)
+    out = secrets.redact_rows(rows, ledger=ledger)
+    assert out.schema == rows.schema
+    plain = [tuple(r) for r in rows.collect()]
+    new = [secrets.redact(r[1]) for r in plain]
+    want = [(r[0], t, r[2], r[3], r[4] if t == r[1] else len(t), *r[5:]) for r, t in zip(plain, new, strict=True)]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert ledger.rows().count() == len({r[1] or "" for r in plain})
+    # a ledger that knows the blobs is asked, not the texts
+    fake = secrets.Ledger(spark)
+    blob = hashlib.sha256(b"quite clean").hexdigest()
+    spark.createDataFrame([(blob, 0, 0, 1, "", "hex:0:5")], secrets.FINDINGS).write.parquet(f"{fake.path}/rules={fake.rules}")
+    assert secrets.redact_rows(docs(spark, [(1, "quite clean")]), ledger=fake).first()["text"] == "[hex] clean"
+    assert secrets.redact_rows(docs(spark, []), ledger=fake).count() == 0
+
+
 # sharding
 
 
