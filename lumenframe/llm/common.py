@@ -64,12 +64,13 @@ HOT_SHARE = 1000
 SALTS = 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, counts: DataFrame) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, counts: DataFrame, strategy: str | None = None) -> DataFrame:
     """Inner equi-join of many rows with one row a key, where a key may hold a large share of ``left``.
 
     ``counts`` has ``on`` and ``n``, the rows of each key. Rows of a hot key are dealt into ``SALTS`` groups
     by the hash of ``by``, and the key's one row on the right is copied to each. Only the hot keys themselves
     are broadcast: by their share there are fewer than ``HOT_SHARE``. Null keys join nothing.
+    ``strategy`` is a join hint for the narrow right side: ``shuffle_hash`` spares a sort of wide rows.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(counts.where(F.col("n") > max(total / HOT_SHARE, SALTS)).select(*on, F.lit(True).alias("_hot")))
@@ -77,7 +78,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, count
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     many = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
     one = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return many.join(one, [*on, "_salt"]).drop("_salt")
+    return many.join(one.hint(strategy) if strategy else one, [*on, "_salt"]).drop("_salt")
 
 
 def require(df: DataFrame, *columns: str) -> None:

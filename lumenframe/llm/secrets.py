@@ -26,14 +26,17 @@ import hashlib
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, spread_join, table, written
+from .common import fresh_path, map_arrow, slices, spread_join, table, written
 
 #: Kinds in the order in which spans with an equal start are listed. The first three are the base rules.
 KINDS = ("assign", "access", "hex", "private_key", "jwt", "github", "slack", "url_password")
 BASE = KINDS[:3]
+#: Text that is redacted at once.
+BATCH_BYTES = 4 << 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -169,7 +172,7 @@ def redact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ledger = ledger or Ledger(docs.sparkSession)
     _, blobs = ledger.update(docs, id_col, text_col)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), blob_of(F.coalesce(text_col, F.lit(""))).alias("blob"))
-    rows = spread_join(rows, ledger.rows().select("blob", "spans"), ["blob"], "id", blobs.select("blob", "n")).select("row", "spans")
+    rows = spread_join(rows, ledger.rows().select("blob", "spans"), ["blob"], "id", blobs.select("blob", "n"), "shuffle_hash").select("row", "spans")
     at = docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
     out = list(docs.columns)
@@ -178,14 +181,18 @@ def redact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for b in batches:
-            *cols, lines = b.columns
-            old = cols[at].to_pylist()
-            new = [redact(t, parsed(s)) if s else t for t, s in zip(old, lines.to_pylist(), strict=True)]
-            cols[at] = pa.array(new, pa.string())
-            if chars is not None:
-                counts = cols[chars].to_pylist()
-                cols[chars] = pa.array([c if o == t else len(t) for c, o, t in zip(counts, old, new, strict=True)], cols[chars].type)
-            yield pa.RecordBatch.from_arrays(cols, names=out)
+            sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(sizes, BATCH_BYTES):
+                *cols, lines = b.slice(lo, hi - lo).columns
+                lines = lines.to_pylist()
+                if any(lines):
+                    old = cols[at].to_pylist()
+                    new = [redact(t, parsed(s)) if s else t for t, s in zip(old, lines, strict=True)]
+                    cols[at] = pa.array(new, pa.string())
+                    if chars is not None:
+                        counts = cols[chars].to_pylist()
+                        cols[chars] = pa.array([c if o == t else len(t) for c, o, t in zip(counts, old, new, strict=True)], cols[chars].type)
+                yield pa.RecordBatch.from_arrays(cols, names=out)
 
     return map_arrow(flat, run, docs.schema)
 
