@@ -222,7 +222,7 @@ def main_text(source: str | None, template: frozenset[int] | set[int] = frozense
     line: list[str] = []
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(line)).split())
+        text = " ".join("".join(line).split())
         if text:
             blocks.append(text)
         line.clear()
@@ -230,7 +230,7 @@ def main_text(source: str | None, template: frozenset[int] | set[int] = frozense
     def walk(node: Node) -> None:
         for k in node.kids:
             if isinstance(k, str):
-                line.append(k)
+                line.append(entities.unescape(k))  # a reference never spans two nodes
             elif k.tag == "br":
                 line.append(" ")
             elif not is_chrome(k, marked):

@@ -277,6 +277,10 @@ def test_redaction_takes_its_spans_from_the_ledger(spark):
     assert secrets.redact_rows(docs(spark, []), ledger=fake).count() == 0
 
 
+def test_character_references_end_with_their_node():
+    assert html.main_text("<article><p>a &lt<b>; b</b> &amp;<i>lt; &copy;</i></p></article>") == "a <; b &lt; ©"
+
+
 # sharding
 
 
