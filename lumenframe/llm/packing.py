@@ -40,7 +40,19 @@ ENCODE_CHARS = 1 << 20
 #: Text that is encoded at once, so most of its words repeat within it.
 BATCH_BYTES = 8 << 20
 
-_MARKED = re.compile(r"[^.,]*[^\W_][.,]").fullmatch
+_LETTER_MARK = re.compile(r"[^.,]*[^\W_][.,]").fullmatch
+
+
+def marked(word: str) -> bool:
+    """A word that ends in a letter or digit and one mark.
+
+    A few letters become a letter and a combining sign when they're lower-cased and
+    normalized, and a sign joins the mark: such words aren't taken apart.
+    """
+    if not _LETTER_MARK(word):
+        return False
+    last = word[-2]
+    return last.isascii() or unicodedata.normalize("NFC", last.lower())[-1].isalnum()
 
 
 def default_tokenizer() -> str:
@@ -77,12 +89,12 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         cache, other = self.cache, []
-        stems = {w[:-1] for w in words if _MARKED(w)}
+        stems = {w[:-1] for w in words if marked(w)}
         for w in (stems | words).difference(cache):
             ids = self.pieces_of(w)
             if ids is not None:
                 cache[w] = np.array(ids, dtype="<u4").tobytes()
-            elif not _MARKED(w):
+            elif not marked(w):
                 other.append(w)
         self.encode_joined(other)
         for w in words.difference(cache):  # a letter or digit before a mark always ends its token

@@ -281,6 +281,14 @@ def test_character_references_end_with_their_node():
     assert html.main_text("<article><p>a &lt<b>; b</b> &amp;<i>lt; &copy;</i></p></article>") == "a <; b &lt; ©"
 
 
+def test_every_letter_before_a_mark_gets_the_tokenizers_ids():
+    enc = packing.WordEncoder(packing.default_tokenizer(), cache_words=1 << 20)
+    for lo in range(0, 0x30000, 0x8000):
+        texts = [f"x{chr(c)}, {chr(c)}." for c in range(lo, lo + 0x8000) if not 0xD800 <= c < 0xE000]
+        want = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert [x.tolist() for x in enc.encode(pa.array(texts))] == [w.ids for w in want]
+
+
 # sharding
 
 
