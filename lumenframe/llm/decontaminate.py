@@ -51,8 +51,8 @@ _TOP = np.uint64(46)  # a filter of 2**18 slots
 class Words:
     """The words of a batch of texts: dictionary, codes, 64-bit hashes and row bounds."""
 
-    def __init__(self, texts: pa.Array):
-        split = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), _NOT_WORD, " "), " ")
+    def __init__(self, texts: pa.Array, lower=pc.utf8_lower, gap: str = _NOT_WORD):
+        split = pc.split_pattern(pc.replace_substring_regex(lower(texts.fill_null("")), gap, " "), " ")
         coded = split.flatten().dictionary_encode()
         self.dictionary = coded.dictionary.to_pylist()
         codes = coded.indices.to_numpy(zero_copy_only=False)

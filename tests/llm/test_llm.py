@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lumenframe.llm import common, decontaminate, html, langid, licenses, media, packing, secrets, sharding, simhash, urls
+from lumenframe.llm import common, decontaminate, html, jaccard, langid, licenses, media, packing, secrets, sharding, simhash, urls
 from lumenframe.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -111,6 +111,63 @@ def test_components_of_a_long_chain(spark):
 # media
 
 
+# near copies
+
+
+def brute_near_copies(rows):
+    """The smallest id of each row's class by comparing all pairs."""
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        n = min(5, len(w))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+    sets, label = [(i, grams(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    return {i: root(i) for i in label}
+
+
+def test_near_dedup_stage_equals_brute_force_jaccard(spark):
+    import corpus_pipeline as cp
+
+    rng, rows = random.Random(5), [(900, None), (901, " \n"), (902, "one two"), (903, "ONE\ttwo"), (904, "one two three")]
+    for base in range(30):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([40, 100, 200, 500]))]
+        rows.append((base * 20, " ".join(words)))
+        for k in range(1, 6):  # some chains: each copy is an edit of the last
+            words = list(words)
+            for _ in range(rng.choice([1, 2, 4])):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((base * 20 + k, " ".join(words)))
+    want = brute_near_copies(rows)
+    assert len(set(want.values())) < 100 and sum(c != i for i, c in want.items()) > 60
+    rng.shuffle(rows)
+    kept = [r["doc_id"] for r in cp.near_dedup(spark, docs(spark, [*rows, (None, "one two")]), SF).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(want.values())) and kept.count(None) == 1
+
+
+def test_near_dedup_links_that_miss_the_smallest_node(spark):
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(120):  # one large group; many pairs lie on either side of 0.8
+        words = list(base)
+        for _ in range(rng.choice([1, 5, 6, 7])):
+            words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {r["id"]: r["component"] for r in jaccard.near_copies(docs(spark, rows)).collect()}
+    assert got == brute_near_copies(rows)
+
+
 def test_media_round_trip(spark, tmp_path):
     root = f"file://{tmp_path}/m"
     got = media.media_columns(docs(spark, ODD), root).collect()
