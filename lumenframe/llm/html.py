@@ -3,7 +3,8 @@
 Elements whose subtree recurs across many pages of a host are template. Subtrees
 are hashed bottom-up (tag, text, children); Spark counts, for every host, the
 pages that hold each hash; those seen on ``MIN_PAGES`` pages or more, and on
-``MIN_SHARE`` of the host's pages, are deleted before the text is taken.
+``MIN_SHARE`` of the host's pages or ``ENOUGH_PAGES`` pages whatever its size, are
+deleted before the text is taken.
 
 The article is every outermost ``<article>``, else ``<main>`` (or an element
 marked as such), else the body. Chrome is dropped by tag, role and class words.
@@ -36,6 +37,8 @@ from .common import map_arrow, spread_join, table, written
 
 MIN_PAGES = 5
 MIN_SHARE = 0.1
+#: So many pages make a template on any host: the share must not raise the bar as the host grows.
+ENOUGH_PAGES = 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math xmp noembed noframes".split())
@@ -258,7 +261,15 @@ def host_of(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
-def recurring(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def recurring(
+    pages: DataFrame,
+    min_pages: int = MIN_PAGES,
+    min_share: float = MIN_SHARE,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    enough_pages: int = ENOUGH_PAGES,
+) -> DataFrame:
     """``(id, hashes)``: for every page that has any, its template subtrees."""
 
     def run(batches):
@@ -275,15 +286,23 @@ def recurring(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     pairs = written(map_arrow(rows, run, "id long, host string, hash long"), "subtrees")
     sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
     counts = pairs.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= min_pages)
-    common = spread_join(counts, sizes.withColumnRenamed("n", "pages"), ["host"], "hash", sizes).where(F.col("seen") >= F.col("pages") * min_share)
+    common = spread_join(counts, sizes.withColumnRenamed("n", "pages"), ["host"], "hash", sizes).where(F.col("seen") >= F.least(F.col("pages") * min_share, F.lit(enough_pages)))
     common = written(common.select("host", "hash", F.col("seen").alias("n")), "common")
     named = pairs.where("id is not null")
     return spread_join(named, common.select("host", "hash"), ["host", "hash"], "id", common).groupBy("id").agg(F.collect_set("hash").alias("hashes"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(
+    pages: DataFrame,
+    min_pages: int = MIN_PAGES,
+    min_share: float = MIN_SHARE,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    enough_pages: int = ENOUGH_PAGES,
+) -> DataFrame:
     """``(id, url, text, n_chars)`` for every page."""
-    template = written(recurring(pages, min_pages, min_share, id_col, url_col, html_col), "template")
+    template = written(recurring(pages, min_pages, min_share, id_col, url_col, html_col, enough_pages), "template")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     if template.isEmpty():
         rows = rows.withColumn("hashes", F.lit(None).cast("array<long>"))

@@ -452,6 +452,15 @@ def test_recurring_subtrees_go_and_shared_paragraphs_stay(spark):
     assert got[200] == ("", 0) and got[201][0] == "Follow us"
 
 
+def test_section_templates_of_a_large_host_go(spark):
+    # 12 sections of 25 pages, each 8.3 % of the host, and a block that only three pages share
+    rows = [(i, f"http://h.com/{i}", f"<body><div><p>Section {i % 12}</p><p>See also</p></div><div><p>Body {i}</p></div></body>") for i in range(300)]
+    rows += [(300 + i, f"http://h.com/{300 + i}", f"<body><div><p>Rare</p><p>pair</p></div><div><p>Body {300 + i}</p></div></body>") for i in range(3)]
+    got = {r["id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(300)] == [f"Body {i}" for i in range(300)]
+    assert got[301] == "Rare\npair\nBody 301"
+
+
 def test_broken_pages_end():
     assert html.main_text("<p>a<a " + "x" * 60 + '" >b</a>c') == "abc"
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
