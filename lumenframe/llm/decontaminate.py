@@ -10,7 +10,10 @@ and each partition searches windows of a matching length:
   blocks is a window, so any ``m`` neighbouring shingles lie in one window;
 * a window whose minimum under one of ``HASHES`` hash functions equals an
   item's is a candidate. At containment 0.8 the Jaccard similarity with the
-  window is 0.3 or more, and all 32 hashes miss with odds under 1e-5.
+  window is 0.296 or more, and all 32 hashes miss one window with odds of at
+  most 1.4e-5;
+* items of up to ``FEW`` shingles would be too small a part of any window. They
+  are candidates wherever one of their shingles occurs, so none is missed.
 
 Candidates are verified on the words themselves over the whole document.
 
@@ -40,6 +43,7 @@ from .common import map_arrow, slices, table
 WORDS = 5
 THRESHOLD = 0.8
 HASHES = 32
+FEW = 4
 ITEM_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
@@ -97,12 +101,15 @@ class Searcher:
         self.grams: list[set] = []
         self.lengths: list[int] = []
         parts: dict[int, list[int]] = defaultdict(list)
+        few: list[int] = []
         for i in range(len(texts)):
             own = words.row(i)
             n = min(WORDS, len(own))
             self.grams.append(grams(own, n) if n else set())
             self.lengths.append(n)
-            if n == WORDS:
+            if n == WORDS and len(self.grams[-1]) <= FEW:
+                few.append(i)
+            elif n == WORDS:
                 parts[max(8, 1 << (len(self.grams[-1]) - 1).bit_length())].append(i)
         hashes, row = words.shingles(WORDS)
         self.parts = []
@@ -119,15 +126,24 @@ class Searcher:
             for k in range(HASHES):
                 seen[k, keys[k] >> _TOP] = True
             self.parts.append((m // 4, keys, owner, seen))
+        at = np.flatnonzero(np.isin(row, few))
+        at = at[np.argsort(hashes[at], kind="stable")]
+        self.few, self.few_owner, self.few_seen = hashes[at], row[at], np.zeros(1 << 18, bool)
+        self.few_seen[self.few >> _TOP] = True
         self.short: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i, n in enumerate(self.lengths):
             if 0 < n < WORDS:
                 self.short[n][next(iter(self.grams[i]))].append(i)
 
     def candidates(self, words: Words) -> set[tuple[int, int]]:
-        """``(row, item)`` pairs that share a window minimum."""
+        """``(row, item)`` pairs that share a window minimum, or a shingle if the item has few."""
         hashes, row = words.shingles(WORDS)
         out: set[tuple[int, int]] = set()
+        if len(self.few):
+            hit = np.flatnonzero(self.few_seen[hashes >> _TOP])
+            a, b = np.searchsorted(self.few, hashes[hit], "left"), np.searchsorted(self.few, hashes[hit], "right")
+            for h, x, y in zip(hit[b > a], a[b > a], b[b > a], strict=True):
+                out.update((int(row[h]), int(i)) for i in self.few_owner[x:y])
         if not len(hashes) or not self.parts:
             return out
         size = np.bincount(row, minlength=len(words.bounds) - 1)

@@ -286,6 +286,14 @@ def test_containment_equals_brute_force(spark):
     assert kept.columns == docs(spark, rows).columns
 
 
+def test_items_of_few_shingles_are_never_missed():
+    rng = random.Random(8)
+    items = [" ".join(f"i{rng.randrange(10**6)}" for _ in range(5 + i % 4)) for i in range(6000)]
+    texts = [" ".join([f"t{rng.randrange(5000)}" for _ in range(rng.randrange(20, 40))] + [t] + [f"t{rng.randrange(5000)}" for _ in range(rng.randrange(20, 40))]) for t in items]
+    found = decontaminate.Searcher(items).search(pa.array(texts))
+    assert sorted((r, i) for r, i, *_ in found) == [(i, i) for i in range(6000)]
+
+
 # secrets
 
 
