@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, spread_join, table, written
+from .common import map_arrow, slices, spread_join, table, written
 
 SEED = 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -45,6 +45,8 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 SLICE_ROWS = 100_000
 #: Probes that walk the forest together, so the frontier stays small.
 PROBES = 4096
+#: Pairs of probe and node that one step of the walk visits.
+FRONTIER = 1 << 16
 
 
 def fingerprint(text: str | None, n: int = 3) -> int:
@@ -105,12 +107,12 @@ def build_forest(shard: np.ndarray, fp: np.ndarray) -> dict[str, np.ndarray]:
     ``first``/``last`` delimit each node's children, ordered by edge distance.
     """
     n = len(fp)
-    parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    parent, edge = np.full(n, -1, np.int32), np.zeros(n, np.int8)
     starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-    root = np.repeat(starts, np.diff(np.r_[starts, n]))
-    left, at = np.flatnonzero(root != np.arange(n)), root.copy()
+    root = np.repeat(starts, np.diff(np.r_[starts, n])).astype(np.int32)
+    left, at = np.flatnonzero(root != np.arange(n)).astype(np.int32), root.copy()
     while len(left):
-        d = np.bitwise_count(fp[left] ^ fp[at[left]]).astype(np.int64)
+        d = np.bitwise_count(fp[left] ^ fp[at[left]]).astype(np.int8)
         order = np.lexsort((left, d, at[left]))
         items, dist, under = left[order], d[order], at[left][order]
         head = np.r_[True, (under[1:] != under[:-1]) | (dist[1:] != dist[:-1])]
@@ -118,34 +120,40 @@ def build_forest(shard: np.ndarray, fp: np.ndarray) -> dict[str, np.ndarray]:
         parent[items[head]], edge[items[head]] = under[head], dist[head]
         at[items] = child
         left = items[~head]
-    kids = np.flatnonzero(parent >= 0)
+    kids = np.flatnonzero(parent >= 0).astype(np.int32)
     kids = kids[np.lexsort((edge[kids], parent[kids]))]
-    first = np.searchsorted(parent[kids], np.arange(n), "left")
-    last = np.searchsorted(parent[kids], np.arange(n), "right")
+    last = np.cumsum(np.bincount(parent[kids], minlength=n))
+    first = np.r_[0, last[:-1]]
     return {"fp": fp, "root": root, "edge": edge, "kids": kids, "first": first, "last": last}
 
 
 def probe_forest(forest: dict[str, np.ndarray], radius: int):
-    """Yield ``(probe, node)`` arrays of links, each found once (``node < probe``)."""
+    """Yield ``(probe, node)`` arrays of links, each found once (``node < probe``).
+
+    The walk goes depth first over chunks of the frontier: a chunk visits at most ``FRONTIER`` pairs or one
+    probe's children, and a tree of depth d keeps d chunks open, so a dense shard costs time but not memory.
+    """
     fp, edge, kids, first, last = (forest[k] for k in ("fp", "edge", "kids", "first", "last"))
     size = np.bincount(forest["root"], minlength=len(fp))[forest["root"]]
-    probes = np.flatnonzero(size > 1)
+    probes = np.flatnonzero(size > 1).astype(np.int32)
     for lo in range(0, len(probes), PROBES):
         q = probes[lo : lo + PROBES]
-        node = forest["root"][q]
-        while len(q):
-            d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
+        open_ = [(q, forest["root"][q])]
+        while open_:
+            q, node = open_.pop()
+            d = np.bitwise_count(fp[q] ^ fp[node])
             hit = (d <= radius) & (node < q)
             if hit.any():
                 yield q[hit], node[hit]
             counts = last[node] - first[node]
-            total = int(counts.sum())
-            if not total:
-                break
-            child = kids[np.repeat(first[node] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(total)]
-            q, d = np.repeat(q, counts), np.repeat(d, counts)
-            near = np.abs(edge[child] - d) <= radius
-            q, node = q[near], child[near]
+            some = np.flatnonzero(counts)
+            q, node, d, counts = q[some], node[some], d[some], counts[some]
+            for a, b in slices(counts, FRONTIER):
+                part = counts[a:b]
+                starts = first[node[a:b]] - (np.cumsum(part) - part)
+                child = kids[np.repeat(starts, part) + np.arange(int(part.sum()))]
+                near = np.abs(edge[child] - np.repeat(d[a:b], part).astype(np.int8)) <= radius
+                open_.append((np.repeat(q[a:b], part)[near], child[near]))
 
 
 def spanning_edges(shard: np.ndarray, rep: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
