@@ -36,11 +36,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     The written files outlive any executor, so later stages never redo the work.
+    They go when the session ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.folder = folder  # for discard
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote, once no later step reads it."""
+    df.folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df.folder, True)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,26 +93,28 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-#: A key is hot if it holds over one in ``HOT_SHARE`` of all rows, so fewer than ``HOT_SHARE`` keys are.
-HOT_SHARE = 1000
-SALTS = 64
+#: A key is hot if it holds over one in ``HOT_SHARE`` of all rows, or over ``MOST_ROWS`` of them.
+HOT_SHARE, LEAST_ROWS, MOST_ROWS = 1000, 64, 1_000_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, counts: DataFrame, strategy: str | None = None) -> DataFrame:
-    """Inner equi-join of many rows with one row a key, where a key may hold a large share of ``left``.
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str | None, counts: DataFrame, strategy: str | None = None, how: str = "inner") -> DataFrame:
+    """Equi-join (inner or left) of many rows with one row a key, where a key may hold a large share of ``left``.
 
-    ``counts`` has ``on`` and ``n``, the rows of each key. Rows of a hot key are dealt into ``SALTS`` groups
-    by the hash of ``by``, and the key's one row on the right is copied to each. Only the hot keys themselves
-    are broadcast: by their share there are fewer than ``HOT_SHARE``. Null keys join nothing.
+    ``counts`` has ``on`` and ``n``, the rows of each key. A hot key's rows are dealt into groups of about the
+    size that makes a key hot, and the key's one row on the right is copied to each group. Only the hot keys
+    are broadcast: there are fewer than ``HOT_SHARE``, or one in ``MOST_ROWS`` rows. Null keys match nothing.
+    Rows are dealt by the hash of ``by``; None deals them in turn, for a ``left`` read from files, whose order is fixed.
     ``strategy`` is a join hint for the narrow right side: ``shuffle_hash`` spares a sort of wide rows.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col("n") > max(total / HOT_SHARE, SALTS)).select(*on, F.lit(True).alias("_hot")))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    many = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    one = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return many.join(one.hint(strategy) if strategy else one, [*on, "_salt"]).drop("_salt")
+    most = max(min(total / HOT_SHARE, MOST_ROWS), LEAST_ROWS)
+    hot = F.broadcast(counts.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).alias("_groups")))
+    turn = F.monotonically_increasing_id() if by is None else F.xxhash64(by)
+    salt = F.when(F.col("_groups").isNotNull(), F.pmod(turn, F.col("_groups"))).otherwise(0).cast("int")
+    many = left.join(hot, on, "left").withColumn("_salt", salt).drop("_groups")
+    copies = F.sequence(F.lit(0), (F.coalesce("_groups", F.lit(1)) - 1).cast("int"))
+    one = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_groups")
+    return many.join(one.hint(strategy) if strategy else one, [*on, "_salt"], how).drop("_salt")
 
 
 def require(df: DataFrame, *columns: str) -> None:

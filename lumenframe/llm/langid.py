@@ -13,7 +13,9 @@ Prediction is one Arrow pass over whole texts without a shuffle: texts are cut
 into windows that run through the network together.
 
 Null texts and texts without a letter get ``und`` and score 0. If no labelled
-row exists, every row does. Repeated rows get equal predictions.
+row exists, every row does. Repeated rows get equal predictions. Of languages with
+equal scores the first in the alphabet wins. Empty labelled texts teach nothing.
+An input column with the name of an output column is replaced by it.
 """
 
 from __future__ import annotations
@@ -210,7 +212,7 @@ def train(
     picked = thin.withColumn("r", F.row_number().over(order)).where(f"r <= {int(docs_per_lang)}").select("i").distinct()
     # at most docs_per_lang ids of each language: its size is bounded by the label set
     some = rows.join(F.broadcast(picked), "i", "left_semi")
-    at = [F.pmod(F.xxhash64("i", F.lit(seed + k)), F.length("t")).cast("int") + 1 for k in range(1, excerpts + 1)]
+    at = [F.pmod(F.xxhash64("i", F.lit(seed + k)), F.greatest(F.length("t"), F.lit(1))).cast("int") + 1 for k in range(1, excerpts + 1)]
     found = some.select("i", "l", F.struct(*[F.col("t").substr(p, F.lit(EXCERPT_CHARS)).alias(f"e{k}") for k, p in enumerate(at)]).alias("e"))
     # rows that repeat an id count once, so the sample stays bounded
     found = found.groupBy("i", "l").agg(F.min("e").alias("e")).select("i", "l", "e.*").collect()
@@ -242,12 +244,11 @@ def train(
     return model
 
 
-def predict(docs: DataFrame, model: ByteGRU | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``lang_pred`` and ``score``."""
-    taken = [c for c in docs.columns if c in ("lang_pred", "score")]
-    if taken:
-        raise ValueError(f"columns in the way: {taken}")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(docs: DataFrame, model: ByteGRU | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """All columns of ``docs`` plus ``lang_out`` and ``score_out``; columns of these names are replaced."""
+    kept = [f for f in docs.schema.fields if f.name.lower() not in (lang_out.lower(), score_out.lower()) or f.name == text_col]
+    schema = T.StructType([*kept, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    docs = docs.select(*[f.name for f in kept])
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -262,7 +263,7 @@ def predict(docs: DataFrame, model: ByteGRU | None, text_col: str = "text") -> D
                     p = model.documents([texts[i].encode("utf-8", "replace") for i in live])
                     for i, best, s in zip(live, p.argmax(1), p.max(1), strict=True):
                         lang[i], score[i] = model.langs[best], min(1.0, float(s))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*b.schema.names, lang_out, score_out])
 
     return map_arrow(docs, run, schema)
 

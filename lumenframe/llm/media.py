@@ -203,7 +203,7 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
     root = root or fresh_path(docs.sparkSession, "media")
     index = store(docs, root, id_col, text_col)
     found = written(read_members(members(index), root), "media-members")
-    return spread_join(index.select("id", "n_bytes", "digest"), found.drop("n"), ["digest"], "id", found.select("digest", "n"))
+    return spread_join(index.select("id", "n_bytes", "digest"), found.drop("n"), ["digest"], None, found.select("digest", "n"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

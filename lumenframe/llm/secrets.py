@@ -157,7 +157,7 @@ class Ledger:
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(id, blob, findings...)`` for every row of ``docs``."""
         paths, blobs = self.update(docs, id_col, text_col)
-        return spread_join(paths, self.rows(), ["blob"], "id", blobs.select("blob", "n"))
+        return spread_join(paths, self.rows(), ["blob"], None, blobs.select("blob", "n"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ and doesn't depend on the input. A source that holds a third of the rows spreads
 evenly, as keys are row ids.
 
 A null key is placed as the empty string. Equal keys share a shard. An empty
-input gives an empty result; no shards is an error.
+input gives an empty result; no shards is an error. Input columns named ``slot``
+or ``shard`` are replaced by the placement; the key may be one of them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 SIZE = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -73,11 +74,11 @@ def table_frame(spark, shards: tuple[str, ...] = SHARDS, size: int = SIZE) -> Da
 
 def place(df: DataFrame, key_col: str, shards: tuple[str, ...] = SHARDS, size: int = SIZE) -> DataFrame:
     """All columns of ``df`` plus ``slot`` and ``shard``."""
-    taken = {"slot", "shard"} & set(df.columns)
-    if taken:
-        raise ValueError(f"columns in the way: {sorted(taken)}")
     lookup = table_frame(df.sparkSession, tuple(shards), size)
-    return df.withColumn("slot", slot_of(F.col(key_col), size)).join(F.broadcast(lookup), "slot").select(*df.columns, "slot", "shard")
+    key = free_name("slot", df.columns)
+    kept = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    placed = df.withColumn(key, slot_of(F.col(key_col), size)).select(*kept, F.col(key).alias("slot"))
+    return placed.join(F.broadcast(lookup), "slot").select(*kept, "slot", "shard")
 
 
 def op7_sharding(spark, sf_dir) -> DataFrame:

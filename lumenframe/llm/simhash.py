@@ -13,18 +13,19 @@ Plan
 3. Shards. 64 bits are cut into six blocks. Fingerprints within two bits agree
    on at least four whole blocks, so each fingerprint joins C(6,4) = 15 shards,
    each keyed by four blocks. Members of a shard differ in at most 22 free
-   bits: a shard holds at most 2**22 fingerprints (34 MB), whatever the input.
+   bits: a shard holds at most 2**22 fingerprints, whatever the input.
 4. Each shard becomes a BK-tree (a child hangs under its parent at their integer
    Hamming distance). Probes follow only edges whose distance lies within the
    radius of the probe's own distance to the parent. All shard trees of a slice
    are built and probed together as arrays. Links are reduced to a spanning
    forest per shard, so a dense group emits one edge per member, not all pairs.
+   Memory: about 110 bytes a fingerprint of a slice, and the chunks of one walk.
 5. Connected components by alternating large-star / small-star steps, each
    written to the shared folder. The links of a hub are dealt over many tasks.
 
 Null or blank texts have fingerprint zero and are linked like any other row.
 Rows with a null id are kept and classed, but cannot name a class unless all
-ids of the fingerprint are null. Repeated rows come out as often as they went in.
+ids of the class are null. Repeated rows come out as often as they went in.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, spread_join, table, written
+from .common import discard, map_arrow, slices, spread_join, table, written
 
 SEED = 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -156,13 +157,9 @@ def probe_forest(forest: dict[str, np.ndarray], radius: int):
                 open_.append((np.repeat(q[a:b], part)[near], child[near]))
 
 
-def spanning_edges(shard: np.ndarray, rep: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per shard, an edge from each linked member to the smallest id of its local component."""
-    forest = build_forest(shard, fp)
-    label = np.arange(len(fp))
-    rank = np.empty(len(fp), np.int64)
-    by_rep = np.argsort(rep, kind="stable")
-    rank[by_rep] = np.arange(len(fp))
+def spanning_edges(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per shard, an edge from each linked member to the first member of its local component, as positions."""
+    label = np.arange(len(fp), dtype=np.int32)
 
     def find(x: np.ndarray) -> np.ndarray:
         while True:
@@ -171,59 +168,55 @@ def spanning_edges(shard: np.ndarray, rep: np.ndarray, fp: np.ndarray, radius: i
                 return x
             x = up
 
-    touched = np.zeros(len(fp), bool)
-    for a, b in probe_forest(forest, radius):
-        touched[a] = touched[b] = True
+    for a, b in probe_forest(build_forest(shard, fp), radius):
         while len(a):
             a, b = find(a), find(b)
             apart = a != b
             a, b = a[apart], b[apart]
-            high, low = np.where(rank[a] > rank[b], a, b), np.where(rank[a] > rank[b], b, a)
-            label[high] = low
-        label = find(np.arange(len(fp)))
-    members = np.flatnonzero(touched & (label != np.arange(len(fp))))
-    return rep[members], rep[label[members]]
+            label[np.maximum(a, b)] = np.minimum(a, b)
+        label = find(np.arange(len(fp), dtype=np.int32))
+    members = np.flatnonzero(label != np.arange(len(fp)))
+    return members, label[members]
 
 
 def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """Links among distinct fingerprints ``(rep, fp)`` as a spanning forest: ``(u, v)`` with ``u > v``."""
+    """Links among distinct fingerprints ``(fp)`` as a spanning forest of each shard: ``(u, v)`` with ``u > v``."""
     masks = shard_masks(radius)
-    shards = nodes.select(
-        "rep", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("s")
-    ).select("s.t", "s.k", "rep", "fp")
+    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
+    shards = nodes.select("fp", F.explode(keys).alias("s")).select("s.t", "s.k", "fp")
 
     def run(batches):
-        def edges(parts):
-            t, k, rep, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        def edges(t, k, fp):
             shard = np.cumsum(np.r_[0, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
             busy = np.bincount(shard)[shard] > 1
             if busy.any():
-                u, v = spanning_edges(shard[busy], rep[busy], fp[busy].view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                fp = fp[busy]
+                a, b = spanning_edges(shard[busy], fp.view(np.uint64), radius)
+                a, b = fp[a], fp[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
 
         held, rows = [], 0
-        for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(cols[0]):
                 continue
             held.append(cols)
             rows += len(cols[0])
             if rows >= SLICE_ROWS:
-                t, k = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                t, k, fp = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.flatnonzero((t != t[-1]) | (k != k[-1])).max(initial=-1)) + 1
                 if cut:
-                    all_cols = [np.concatenate([h[i] for h in held]) for i in range(4)]
-                    yield from edges([[c[:cut] for c in all_cols]])
-                    held, rows = [[c[cut:] for c in all_cols]], rows - cut
+                    yield from edges(t[:cut], k[:cut], fp[:cut])
+                held, rows = [[x[cut:] for x in (t, k, fp)]], rows - cut
         if rows:
-            yield from edges(held)
+            yield from edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    spread = shards.repartition("t", "k").sortWithinPartitions("t", "k", "rep")
+    spread = shards.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
     return map_arrow(spread, run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)``: the smallest node reachable from every node that has a link.
+    """``(node, root)``: the smallest node reachable from every node that has a link; nodes are of any ordered type.
 
     Alternates large-star and small-star; each round's edges are written to the
     shared folder and the loop ends when a round changes nothing.
@@ -236,21 +229,33 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = tuple(seen)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "hubs")
-        large = spread_join(both.where("v > u"), low.select("u", "m"), ["u"], "v", low.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        hubs = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "hubs")
+        large = spread_join(both.where("v > u"), hubs.select("u", "m"), ["u"], "v", hubs.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large-star")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, low.select("u", "m"), ["u"], "v", low.select("u", "n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, edges = edges, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        for done in (before, hubs, large):
+            discard(done)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def named_classes(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``(node, component)``: the least ``rep`` of the class of every node ``(node, rep)``; ``found`` has nodes with links."""
+    rooted = written(nodes.join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "rooted")
+    names = written(rooted.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("n")), "names")
+    return spread_join(rooted.select("node", "root"), names.select("root", "component"), ["root"], None, names.select("root", "n")).select("node", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2) -> DataFrame:
-    """``(id, fp, component)`` for every row of ``docs``; ``component`` is the smallest id reachable."""
+    """``(id, fp, component)`` for every row of ``docs``; ``component`` is the smallest id reachable.
+
+    Rows are told apart by id and fingerprint, so rows that repeat an id with other texts keep classes of their own.
+    """
     rows = written(fingerprints(docs, id_col, text_col, n), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
-    found = components(near_links(nodes.where("rep is not null"), radius))
-    classes = nodes.join(found, nodes.rep == found.node, "left").select(F.col("fp"), F.coalesce("root", "rep").alias("component"))
-    return spread_join(rows, classes, ["fp"], "id", nodes.select("fp", "n")).select("id", "fp", "component")
+    classes = named_classes(nodes.withColumnRenamed("fp", "node"), components(near_links(nodes.select("fp"), radius))).withColumnRenamed("node", "fp")
+    return spread_join(rows, classes, ["fp"], None, nodes.select("fp", "n")).select("id", "fp", "component")
 
 
 def hex16(fp) -> F.Column:

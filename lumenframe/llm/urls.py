@@ -12,12 +12,14 @@ and its subdomains, and the longest fitting rule decides.
 
 Plan: DataFrame functions only. Outcomes shrink to one row per host by partial
 aggregation before anything else is shuffled by host; the page rows then join a
-table of hosts, a plain equi-join that adaptive execution splits where one host
-holds much of the input. Level totals are aggregates, not collected.
+table of hosts. Joins by host, domain and suffix deal a key of many rows over many
+tasks (``spread_join``). Level totals are aggregates, not collected.
 
 Null urls and urls without ``://`` have an empty host and path and are judged as
 the host ``''``. Pages without a label and labels without a page count nowhere.
-A page labelled twice is bad if any label says so. Repeated rows stay.
+A page labelled twice is bad if any label says so. Null labels are not bad ones.
+Repeated rows stay. Where the labelled hosts show no spread (one host, one page a
+host, all bad, all good) the level's prior weight is ``MOST_WEIGHT``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_join, table, written
 
 #: (verdict, host, path prefix)
 RULES = (
@@ -73,12 +75,12 @@ def weight(rates: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("g"), F.sum("n").cast("double").alias("n"), F.sum("k").cast("double").alias("k"),
         F.sum(F.col("n") * F.col("n")).cast("double").alias("nn"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"),
     )
-    p = F.col("k") / F.col("n")
+    p = F.try_divide("k", "n")
     spread = F.col("kk") - F.col("k") * p
     noise = p * (1 - p)
-    rho = (spread - noise * (F.col("g") - 1)) / (noise * (F.col("n") - F.col("nn") / F.col("n") - (F.col("g") - 1)))
+    rho = F.try_divide(spread - noise * (F.col("g") - 1), noise * (F.col("n") - F.try_divide("nn", "n") - (F.col("g") - 1)))
     ok = (F.col("g") > 1) & (noise > 0) & (rho > 1e-9)
-    return sums.select(F.when(ok, F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), 1 / rho - 1))).otherwise(F.lit(MOST_WEIGHT)).alias("s"))
+    return sums.select(F.when(ok, F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.try_divide(F.lit(1.0), rho) - 1))).otherwise(F.lit(MOST_WEIGHT)).alias("s"))
 
 
 def outcomes(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id") -> DataFrame:
@@ -100,7 +102,9 @@ def reputation(hosts: DataFrame, rates: DataFrame) -> DataFrame:
     named = lambda df, tag: df.withColumnRenamed("n", f"n{tag}").withColumnRenamed("k", f"k{tag}")
     known = hosts.select("host").withColumn("domain", domain).withColumn("suffix", suffix)
     known = known.join(named(rates.select("host", "n", "k"), 3), "host", "left")
-    known = known.join(named(by_domain.select("domain", "n", "k"), 2), "domain", "left").join(named(by_suffix, 1), "suffix", "left")
+    sizes = [known.groupBy(c).agg(F.count(F.lit(1)).alias("n")) for c in ("domain", "suffix")]
+    known = spread_join(known, named(by_domain.select("domain", "n", "k"), 2), ["domain"], "host", sizes[0], how="left")
+    known = spread_join(known, named(by_suffix, 1), ["suffix"], "host", sizes[1], how="left")
     known = known.fillna(0, ["n1", "k1", "n2", "k2", "n3", "k3"]).crossJoin(F.broadcast(priors))
     m1 = (F.col("k1") + F.col("s1") * F.col("m0")) / (F.col("n1") + F.col("s1"))
     m2 = (F.col("k2") + F.col("s2") * m1) / (F.col("n2") + F.col("s2"))
@@ -115,9 +119,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, block_above: float =
     """``(id, host, path, rule, verdict, bad_rate, low)`` for every page."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    known = reputation(rows.select("host").distinct(), outcomes(pages, labels, id_col, url_col))
+    sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    known = written(reputation(sizes.select("host"), outcomes(pages, labels, id_col, url_col)), "reputation")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    joined = rows.join(known, "host", "left")
+    joined = spread_join(rows, known, ["host"], "path", sizes, how="left")
     own = F.when(F.col("low") > block_above, F.lit("block")).otherwise(F.lit("allow"))
     return joined.select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_rate", "low")
 

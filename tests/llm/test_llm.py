@@ -168,6 +168,64 @@ def test_near_dedup_links_that_miss_the_smallest_node(spark):
     assert got == brute_near_copies(rows)
 
 
+@pytest.mark.parametrize("group", [3, 20])
+def test_near_copies_in_small_cells(spark, monkeypatch, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rng = random.Random(7)
+    base, passage, rows = [f"w{i}" for i in range(120)], [f"p{i}" for i in range(80)], []
+    for i in range(60):  # near copies on either side of 0.8
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    for i in range(60):  # a passage that texts share which are not copies, and some copies among them
+        own = own if i % 4 == 1 else [f"y{rng.randrange(10**6)}" for _ in range(12)]
+        rows.append((100 + i, " ".join(passage + own) + " end" * (i % 3)))
+    want = brute_near_copies(rows)
+    assert 10 < len(set(want.values())) < len(rows)
+    rng.shuffle(rows)
+    got = {r["id"]: r["component"] for r in jaccard.near_copies(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_every_pair_of_classes_meets_in_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    rows = [(7, bytes([i]), 9, bytes([0 if i < 20 else i])) for i in range(33)] + [(8, bytes([i]), 9, bytes([i])) for i in range(3)]
+    members = spark.createDataFrame(rows, "key long, node binary, size long, root binary")
+    met = defaultdict(list)
+    for r in jaccard.cells(members, jaccard.mixed(members)).collect():
+        met[r["key"], r["cell"]].append((r["part"], bytes(r["node"])))
+    pairs = {(k, *sorted((x, y))) for (k, _), v in met.items() for p, x in v for q, y in v if x != y and (p != q or p < 0)}
+    assert pairs >= {(k, *sorted((x, y))) for k, x, _, a in rows for m, y, _, b in rows if k == m and a != b}
+    assert max(map(len, met.values())) < 25
+
+
+def test_near_dedup_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "a b c d e f g h i"), (1, "quite another text that is no copy of it"), (1, "a b c d e f g h i"), (2, "A b c d e f g h i"), (None, "x"), (None, "x"), (3, None), (4, "")]
+    d = docs(spark, rows).withColumn("copies", F.lit(5)).withColumn("th", F.col("lang")).withColumn("component", F.lit(0))
+    out = cp.near_dedup(spark, d, SF)
+    assert out.columns == d.columns
+    got = sorted(((r["doc_id"], r["text"], r["copies"]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, rows[0][1], 5), (1, rows[1][1], 5), (None, "x", 5), (None, "x", 5), (3, None, 5)], key=repr)
+    assert cp.near_dedup(spark, d.limit(0), SF).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, t) for i, t in ODD] + [(20 + i, f"the house and the river of the town number {i} are here") for i in range(8)]
+    d = docs(spark, rows)
+    for c in ("score", "lang_pred", "copies", "blob", "spans", "held_out", "component", "salt"):
+        d = d.withColumn(c, F.lit("clash"))
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, d, SF)
+        assert out.columns == d.columns and all(r["score"] == r["spans"] == "clash" for r in out.collect())
+    # without labels no model can be trained, and only texts without letters go
+    assert cp.language_id(spark, d.withColumn("lang", F.lit(None).cast("string")), SF).count() == d.where(r"text rlike '\\p{L}'").count()
+
+
 def test_media_round_trip(spark, tmp_path):
     root = f"file://{tmp_path}/m"
     got = media.media_columns(docs(spark, ODD), root).collect()
@@ -372,6 +430,28 @@ def test_place_keeps_rows(spark):
     assert len(got) == len(ODD) and len({r["shard"] for r in got if r["doc_id"] == 5}) == 1 and all(r["shard"] for r in got)
 
 
+def test_place_replaces_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "x", 5), (2, "y", 5)], "doc_id long, shard string, slot int")
+    plain = {r["doc_id"]: r["shard"] for r in sharding.place(d.select("doc_id"), "doc_id").collect()}
+    got = sharding.place(d, "doc_id")
+    assert got.columns == ["doc_id", "slot", "shard"] and {r["doc_id"]: r["shard"] for r in got.collect()} == plain
+    assert sharding.place(d, "slot").count() == 2
+
+
+def test_lookup_table_equals_brute_force():
+    """Every shard in turn claims the first free slot of its own order."""
+    shards, size = tuple(f"s{i}" for i in range(7)), 101
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    orders = [[(number(f"offset:{s}") + j * (number(f"skip:{s}") % (size - 1) + 1)) % size for j in range(size)] for s in shards]
+    owner: dict[int, int] = {}
+    turn = 0
+    while len(owner) < size:
+        i = turn % len(shards)
+        owner[next(x for x in orders[i] if x not in owner)] = i
+        turn += 1
+    assert sharding.lookup_table(shards, size) == tuple(owner[i] for i in range(size))
+
+
 # language
 
 
@@ -409,9 +489,38 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in nothing} == {"und"} and len(nothing) == len(ODD)
 
 
+def test_empty_labelled_texts_teach_nothing(spark):
+    rows = [(i, "") for i in range(40)] + [(100 + i, f"the cat and the dog of the house {i}") for i in range(40)]
+    got = langid.identify(docs(spark, rows)).collect()
+    assert {r["lang_pred"] for r in got if r["id"] < 40} == {"und"} and {r["lang_pred"] for r in got if r["id"] >= 100} == {"en"}
+
+
+def test_documents_equal_a_loop_over_positions(spark):
+    model = langid.ByteGRU.blank(["en", "fr", "de"], seed=3)
+    texts = ["short", "ünïcödé " * 40, "x" * 64, "y" * 65, "z" * 1000]
+    got = model.documents([t.encode() for t in texts])
+    for t, p in zip(texts, got, strict=True):
+        raw, total = np.frombuffer(t.encode(), np.uint8), np.zeros(3)
+        for lo in range(0, len(raw), langid.WINDOW):
+            part = np.zeros(langid.WINDOW, np.uint8)
+            n = len(raw[lo : lo + langid.WINDOW])
+            part[:n] = raw[lo : lo + n]
+            for t_ in range(n):
+                total += model.position_probabilities(part[:, None])[t_, :, 0]
+        assert np.allclose(p, total / len(raw), atol=1e-5)
+
+
 # urls
 
 
+def test_prior_weights_without_spread(spark):
+    for outcome in ([0, 1, 0, 1, 0, 1], [1] * 6, [0] * 6, [1]):  # one page a host; all bad; all good; one host
+        pages = spark.createDataFrame([(i, f"http://h{i}.com/") for i in range(len(outcome))], "page_id long, url string")
+        labels = spark.createDataFrame([(i, None, t) for i, t in enumerate(outcome)], "doc_id long, quality int, toxic int")
+        got = urls.judge(pages, labels).collect()
+        assert len(got) == len(outcome) and all(0 < r["bad_rate"] < 1 and r["low"] < r["bad_rate"] for r in got)
+
+
 def test_url_rules_and_odd_urls(spark):
     cases = {
         "http://A.Example.COM/en/70?x": ("a.example.com", "/en/70", "example.com/en/7", "allow"),
@@ -546,8 +655,7 @@ def test_pipeline_equals_its_stages_in_plain_form(spark):
         before, after = {r["doc_id"]: r["text"] for r in d.collect()}, {r["doc_id"]: r["text"] for r in out.collect()}
         assert set(after) <= set(before) and out.count() == len(after)
         if name == "near_dedup":
-            want = brute_components(list(before.items()))
-            assert set(after) == {c for _, c in want.values()}
+            assert set(after) == set(brute_near_copies(list(before.items())).values())
         elif name == "secret_scan":
             assert after == {i: secrets.redact(t) for i, t in before.items()}
         elif name == "language_id":
