@@ -17,17 +17,20 @@ and each partition searches windows of a matching length:
 
 Candidates are verified on the words themselves over the whole document.
 
-Plan: one Arrow pass over the documents, no shuffle. Items travel with the task
-closure in blocks of at most ``ITEM_BYTES`` of text (measured before use); more
-items mean more passes, so what is broadcast never grows.
+Plan: one Arrow pass over the documents, no shuffle. Items are broadcast in blocks of
+about ``ITEM_BYTES`` of text (measured before use), of which the driver holds one at a
+time; more items mean more passes, so what is broadcast never grows. A Python worker
+keeps the search tables of the block that it used last.
 
 Words are runs of letters, marks, digits and underscores, lower-cased. An item
 of fewer than five words is one shingle of its whole length; an item without
-words never matches. Null texts hold no words. Repeated rows repeat results.
+words never matches. Null texts hold no words. Repeated rows and repeated items repeat
+results. A null id is an id like any other. Other columns stay as they are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from functools import reduce
 
@@ -38,13 +41,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import map_arrow, slices, table, written
 
 WORDS = 5
 THRESHOLD = 0.8
 HASHES = 32
 FEW = 4
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,19 +101,19 @@ class Searcher:
     def __init__(self, texts: list[str | None], threshold: float = THRESHOLD):
         words = Words(pa.array(texts, pa.string()))
         self.threshold = threshold
-        self.grams: list[set] = []
+        self.words = words
         self.lengths: list[int] = []
         parts: dict[int, list[int]] = defaultdict(list)
         few: list[int] = []
         for i in range(len(texts)):
             own = words.row(i)
             n = min(WORDS, len(own))
-            self.grams.append(grams(own, n) if n else set())
             self.lengths.append(n)
-            if n == WORDS and len(self.grams[-1]) <= FEW:
+            size = len(grams(own, n)) if n == WORDS else 0
+            if n == WORDS and size <= FEW:
                 few.append(i)
             elif n == WORDS:
-                parts[max(8, 1 << (len(self.grams[-1]) - 1).bit_length())].append(i)
+                parts[max(8, 1 << (size - 1).bit_length())].append(i)
         hashes, row = words.shingles(WORDS)
         self.parts = []
         for m, items in sorted(parts.items()):
@@ -133,7 +136,16 @@ class Searcher:
         self.short: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i, n in enumerate(self.lengths):
             if 0 < n < WORDS:
-                self.short[n][next(iter(self.grams[i]))].append(i)
+                self.short[n][tuple(words.row(i))].append(i)
+        self.known: dict[int, set] = {}
+
+    def grams(self, i: int) -> set[tuple[str, ...]]:
+        """The shingles of an item; of many items only those in use are kept."""
+        if i not in self.known:
+            if len(self.known) >= 4096:
+                self.known.clear()
+            self.known[i] = grams(self.words.row(i), self.lengths[i])
+        return self.known[i]
 
     def candidates(self, words: Words) -> set[tuple[int, int]]:
         """``(row, item)`` pairs that share a window minimum, or a shingle if the item has few."""
@@ -184,7 +196,7 @@ class Searcher:
         for r, items in sorted(by_row.items()):
             own = grams(words.row(r))
             for i in sorted(items):
-                shared, total = len(self.grams[i] & own), len(self.grams[i])
+                shared, total = len(self.grams(i) & own), len(self.grams(i))
                 if shared >= self.threshold * total - 1e-9:
                     found.append((r, i, shared, total))
         for n, known in self.short.items():
@@ -194,13 +206,39 @@ class Searcher:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = ITEM_BYTES) -> list[list[tuple]]:
-    """The items in blocks of about ``most`` bytes of text, one block at a time on the driver."""
-    size = items.agg(F.sum(F.octet_length(text_col)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+class Block:
+    """A broadcast of item ids and texts with a name that workers know it by."""
+
+    def __init__(self, spark, ids: list, texts: list):
+        self.name = uuid.uuid4().hex
+        self.sent = spark.sparkContext.broadcast((ids, texts))
+
+    @property
+    def value(self):
+        return self.sent.value
+
+
+_last: dict[tuple, tuple[list, Searcher]] = {}
+
+
+def searcher_of(block: Block, threshold: float) -> tuple[list, Searcher]:
+    """Item ids and search tables of a block, made once a worker."""
+    key = (block.name, threshold)
+    if key not in _last:
+        _last.clear()
+        ids, texts = block.value
+        _last[key] = ids, Searcher(texts, threshold)
+    return _last[key]
+
+
+def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = ITEM_BYTES):
+    """The items, broadcast in blocks of about ``most`` bytes of text; one block at a time is on the driver."""
+    items = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     n = max(1, -(-int((size.b or 0) + 64 * size.n) // most))
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.select(id_col, text_col).collect()]
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
+        yield Block(items.sparkSession, [r[0] for r in rows], [r[1] for r in rows])
 
 
 def find_leaks(
@@ -217,13 +255,13 @@ def find_leaks(
     for block in item_blocks(items, item_col, item_text):
 
         def run(batches, block=block):
-            searcher = Searcher([t for _, t in block], threshold)
+            names, searcher = searcher_of(block, threshold)
             for b in batches:
                 sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
                 for lo, hi in slices(sizes, BATCH_BYTES):
                     hits = searcher.search(b.column(1).slice(lo, hi - lo))
                     ids = b.column(0)
-                    cols = [[ids[lo + r].as_py() for r, *_ in hits], [block[i][0] for _, i, *_ in hits], [h[2] for h in hits], [h[3] for h in hits]]
+                    cols = [[ids[lo + r].as_py() for r, *_ in hits], [names[i] for _, i, *_ in hits], [h[2] for h in hits], [h[3] for h in hits]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "item", "shared", "shingles"])
 
         found.append(map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, "id long, item long, shared long, shingles long"))
@@ -231,12 +269,15 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they were."""
+    """The rows of ``docs`` that hold no item, all columns as they were.
+
+    Each further block of items takes the rows that the one before has left, from a written table.
+    """
     at = docs.columns.index(text_col)
-    for block in item_blocks(items, item_col, item_text):
+    for k, block in enumerate(item_blocks(items, item_col, item_text)):
 
         def run(batches, block=block):
-            searcher = Searcher([t for _, t in block], threshold)
+            searcher = searcher_of(block, threshold)[1]
             for b in batches:
                 sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
                 for lo, hi in slices(sizes, BATCH_BYTES):
@@ -245,7 +286,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
                     keep[[r for r, *_ in searcher.search(part.column(at))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = map_arrow(docs, run, docs.schema)
+        docs = map_arrow(written(docs, "not-leaked") if k else docs, run, docs.schema)
     return docs
 
 
@@ -260,7 +301,8 @@ b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS
 ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5),
 bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) >= 5),
 n AS (SELECT item_id, count(*) AS shingles FROM bs GROUP BY item_id),
-j AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+j AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id),
+few AS (SELECT doc_id, item_id, 1 AS shared, 1 AS shingles FROM d, b WHERE len(b.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' '))
 SELECT doc_id, item_id, shared, shingles, round(shared / shingles, 6) AS containment
-FROM j JOIN n USING (item_id) WHERE shared >= 0.8 * shingles - 1e-9
+FROM (SELECT doc_id, item_id, shared, shingles FROM j JOIN n USING (item_id) UNION ALL FROM few) WHERE shared >= 0.8 * shingles - 1e-9
 """

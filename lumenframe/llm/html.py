@@ -1,25 +1,27 @@
 """Main text of web pages, with site template removal.
 
 Elements whose subtree recurs across many pages of a host are template. Subtrees
-are hashed bottom-up (tag, text, children); Spark counts, for every host, the
-pages that hold each hash; those seen on ``MIN_PAGES`` pages or more, and on
-``MIN_SHARE`` of the host's pages or ``ENOUGH_PAGES`` pages whatever its size, are
-deleted before the text is taken.
+of the whole page are hashed bottom-up (tag, text, children); Spark counts, for
+every host, the pages that hold each hash; those seen on ``MIN_PAGES`` pages or more,
+and on ``MIN_SHARE`` of the host's pages or ``ENOUGH_PAGES`` pages whatever its size, are
+deleted before the article is looked for.
 
 The article is every outermost ``<article>``, else ``<main>`` (or an element
-marked as such), else the body. Chrome is dropped by tag, role and class words.
+marked as such), else the body. What the counts can't know, menus and notices that
+differ from page to page, goes by tag, role and name: an element is chrome if all words
+of one of its class names or of its id say so; inside an article that holds for containers only.
 Inside an article or main element, paragraphs, headings, list items and other
 text leaves are content and stay even if many pages share them: only containers
 there can be template. Without such an element every block may be.
 
 Plan: (1) one Arrow pass parses pages and emits distinct (host, hash) pairs;
 (2) two partial aggregations count them, and joins deal a huge host over many tasks;
-(3) recurring hashes come back as one set per page, and only if any exist do the
-pages move, once, by page id; (4) a second Arrow pass extracts.
+(3) recurring hashes come back as one set per page and join the pages by page id;
+(4) a second Arrow pass deletes and extracts.
 
 Null html gives an empty text, null url the empty host. Pages with a null id
-keep everything that only the host's counts could remove. Repeated rows come out
-as often as they went in.
+keep everything that only the host's counts could remove. Rows that repeat a page id share
+the sets of all of them. Repeated rows come out as often as they went in.
 """
 
 from __future__ import annotations
@@ -47,21 +49,29 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
+#: Elements that are never template as a whole.
+WHOLE = frozenset("html body article main".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th tr tbody thead caption summary".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Class or id words that mark chrome.
+#: Words that mark chrome, and words that may stand beside them in a name.
 CHROME = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads adv advert adverts advertisement advertising "
     "sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login "
     "search share sharing social comment comments disqus respond replies related recommended pagination pager toolbar skip".split()
 )
+BESIDE = frozenset(
+    "a bar block bottom box btn button buttons container content count counts cta desktop fixed float form global group header heading hidden icon icons inner item items js label "
+    "large layer left link links list main mobile module new on outer page panel policy post posts primary right row secondary section shell side site slot small stack sticky strip "
+    "tab tabs thread title tools top unit view wrap wrapper zone".split()
+)
 MAIN_WORDS = frozenset("article post entry content story".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z0-9]+")
+_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 #: Frames that a page's tree may take; elements nest deeper on broken pages than Python allows by default.
 DEEPEST = 1_000_000
 
@@ -141,7 +151,14 @@ def parse(source: str) -> Node:
     return root
 
 
+def names_chrome(name: str) -> bool:
+    """Whether every word of a class name or id is chrome's, or may stand beside such a word; ``search-term`` is not."""
+    words = _WORD.findall(_CAMEL.sub(r"\1 \2", name).lower())
+    return any(w in CHROME for w in words) and all(w in CHROME or w in BESIDE or w.isdigit() for w in words)
+
+
 def is_chrome(node: Node, inside: bool) -> bool:
+    """``inside``: within an article or main element, whose text leaves are content whatever they are called."""
     if node.tag in DROP or node.tag == "header" and not inside:
         return True
     if not node.attrs:
@@ -151,18 +168,24 @@ def is_chrome(node: Node, inside: bool) -> bool:
         return True
     if "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    words = set(_WORD.findall(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    return bool(words & CHROME) and node.tag not in ("html", "body", "article", "main") or bool(words & {"comment", "comments"})
+    if node.tag in ("html", "body") or inside and (node.tag in LEAF or node.tag not in BLOCK):
+        return False
+    names = [*a.get("class", "").split(), a.get("id", "")]
+    if node.tag in ("article", "main"):  # an article may be a reader's comment
+        return any(n.lower() in ("comment", "comments") for n in names)
+    return any(names_chrome(n) for n in names)
 
 
-def roots(tree: Node) -> tuple[list[Node], bool]:
-    """The content elements in page order, and whether they're marked as such."""
+def roots(tree: Node, template: frozenset[int] | set[int] = frozenset()) -> tuple[list[Node], bool]:
+    """The content elements in page order, and whether they're marked as such; template subtrees are passed over."""
     tiers: list[list[Node]] = [[], [], []]
 
     def walk(node: Node, in_main: bool, in_words: bool) -> None:
         for k in node.kids:
             if isinstance(k, str) or is_chrome(k, False):
                 continue
+            if template and k.tag in BLOCK and k.hash in template and k.tag not in WHOLE:
+                continue
             a = k.attributes() if k.attrs else {}
             if k.tag == "article":
                 tiers[0].append(k)
@@ -199,28 +222,37 @@ def subtree_hash(node: Node) -> int:
     return node.hash
 
 
+def is_marked(node: Node) -> bool:
+    if node.tag in ("article", "main"):
+        return True
+    a = node.attributes() if node.attrs else {}
+    return a.get("role") == "main" or a.get("itemprop") == "articleBody"
+
+
 def template_candidates(source: str | None) -> set[int]:
-    """Hashes of the subtrees of a page that may be template."""
+    """Hashes of the subtrees of a whole page that may be template."""
     found: set[int] = set()
-    content, marked = roots(parse(source or ""))
+    tree = parse(source or "")
+    subtree_hash(tree)
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, inside: bool) -> None:
         for k in node.kids:
-            if isinstance(k, str) or is_chrome(k, marked):
+            if isinstance(k, str):
                 continue
-            if k.tag in BLOCK and k.tag not in ("html", "body", "article", "main") and not (marked and k.tag in LEAF) and k.hash:
+            if k.hash and k.tag in BLOCK and k.tag not in WHOLE and not (inside and k.tag in LEAF):
                 found.add(k.hash)
-            walk(k)
+            walk(k, inside or is_marked(k))
 
-    for r in content:
-        subtree_hash(r)
-        walk(r)
+    walk(tree, False)
     return found
 
 
 def main_text(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the article in page order, one a line."""
-    content, marked = roots(parse(source or ""))
+    tree = parse(source or "")
+    if template:
+        subtree_hash(tree)
+    content, marked = roots(tree, template)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -238,7 +270,7 @@ def main_text(source: str | None, template: frozenset[int] | set[int] = frozense
                 line.append(" ")
             elif not is_chrome(k, marked):
                 block = k.tag in BLOCK
-                if template and block and not (marked and k.tag in LEAF) and k.hash in template:
+                if template and block and k.hash in template and k.tag not in WHOLE and not (marked and k.tag in LEAF):
                     flush()
                     continue
                 if block:
@@ -250,8 +282,6 @@ def main_text(source: str | None, template: frozenset[int] | set[int] = frozense
                 flush() if k.tag in BLOCK else line.append(" ")
 
     for r in content:
-        if template:
-            subtree_hash(r)
         walk(r)
         flush()
     return "\n".join(blocks)
@@ -289,7 +319,7 @@ def recurring(
     common = spread_join(counts, sizes.withColumnRenamed("n", "pages"), ["host"], "hash", sizes).where(F.col("seen") >= F.least(F.col("pages") * min_share, F.lit(enough_pages)))
     common = written(common.select("host", "hash", F.col("seen").alias("n")), "common")
     named = pairs.where("id is not null")
-    return spread_join(named, common.select("host", "hash"), ["host", "hash"], "id", common).groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+    return spread_join(named, common.select("host", "hash"), ["host", "hash"], None, common).groupBy("id").agg(F.collect_set("hash").alias("hashes"))
 
 
 def extract(
@@ -304,10 +334,9 @@ def extract(
     """``(id, url, text, n_chars)`` for every page."""
     template = written(recurring(pages, min_pages, min_share, id_col, url_col, html_col, enough_pages), "template")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    if template.isEmpty():
-        rows = rows.withColumn("hashes", F.lit(None).cast("array<long>"))
-    else:
-        rows = rows.join(template.hint("merge"), "id", "left")  # the same plan at every size
+    # the same plan at every size; the narrow side is hashed, so pages aren't sorted, and pages without id stay where they are
+    named = rows.where("id is not null").join(template.hint("shuffle_hash"), "id", "left")
+    rows = named.unionByName(rows.where("id is null").withColumn("hashes", F.lit(None).cast("array<long>")))
 
     def run(batches):
         for b in batches:

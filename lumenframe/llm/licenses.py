@@ -8,18 +8,22 @@ variants calibrates the probabilities. Below ``LEAST_PROBABILITY`` the family is
 ``unknown``. A prediction is confirmed when the paragraph holds enough of the
 word 3-grams of one of the family's notices.
 
+A paragraph is a line; where neighbouring lines each hold an anchor, as in a notice
+that is wrapped, they are a paragraph together as well. It is reported if it is confirmed and
+no line of it is confirmed by itself; its lines are reported otherwise.
+
 Features are grams that hold an anchor: a word of the notices that ordinary
 prose lacks. A paragraph without an anchor has no feature and is ``unknown`` by
 the bias alone, so only paragraphs with an anchor are scored, with equal results.
 
-Plan: DataFrame functions only. Paragraphs with an anchor are cut into grams,
-which join the broadcast weights (one row per gram of the trained vocabulary,
-below ``LARGEST_VOCABULARY`` rows whatever the input) and are summed per
-paragraph; grams of one paragraph are made in one task, so the sums combine
-before the shuffle.
+Plan: DataFrame functions only. Texts are read once: lines with an anchor, few, are written
+with a number of their row. They are cut into grams, which join a broadcast table (one row per
+gram of the trained vocabulary or of a notice, below ``LARGEST_VOCABULARY`` rows whatever the
+input) with weights and notices side by side, and are summed per paragraph.
 
-Null and empty texts have no paragraphs. Repeated rows give repeated findings.
-Paragraph numbers count lines from 0, blank ones included.
+Null and empty texts have no paragraphs. Repeated rows give repeated findings. Of families with
+equal scores the first listed wins, of notices the first. Paragraph numbers count lines from 0,
+blank ones included; ``lines`` is how many lines a paragraph has. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +33,10 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 UNKNOWN = "unknown"
 LEAST_PROBABILITY = 0.6
@@ -119,6 +124,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: CC0-1.0",
     ),
     "proprietary": (
+        "All rights reserved.",
         "Copyright 2020. All rights reserved.",
         "(c) 2021 by the authors. All rights reserved.",
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
@@ -265,18 +271,20 @@ def train(seed: int = 0, steps: int = 200, rate: float = 2.0, sparsity: float =
     return Model(classes, anchors, {vocabulary[i]: w[i].astype(np.float64) for i in used}, b.astype(np.float64), temperature, templates)
 
 
-def weight_frame(spark, model: Model) -> DataFrame:
-    """``(gram, w)`` rows from one literal, so no Python feeds them."""
-    listed = "\n".join(f"{g}\t{','.join(f'{v:.6f}' for v in w)}" for g, w in model.weights.items())
-    rows = spark.range(1).select(F.explode(F.split(F.lit(listed), "\n")).alias("r")).select(F.split("r", "\t").alias("r"))
-    return rows.select(F.col("r")[0].alias("gram"), F.split(F.col("r")[1], ",").cast("array<double>").alias("w"))
-
-
-def template_frame(spark, model: Model) -> DataFrame:
-    """``(gram, template, family, size)`` rows of the notices' 3-grams."""
-    listed = "\n".join(f"{g}\t{i}\t{f}\t{len(gs)}" for i, (f, gs) in enumerate(model.templates) for g in gs)
-    rows = spark.range(1).select(F.explode(F.split(F.lit(listed), "\n")).alias("r")).select(F.split("r", "\t").alias("r"))
-    return rows.select(F.col("r")[0].alias("gram"), F.col("r")[1].cast("int").alias("template"), F.col("r")[2].alias("family"), F.col("r")[3].cast("int").alias("size"))
+def gram_frame(spark, model: Model) -> DataFrame:
+    """``(gram, w, hits)`` rows from one literal, so no Python feeds them: weights, and the notices that hold the gram with their families and sizes."""
+    rows: dict[str, list[str]] = {g: [",".join(f"{v:.6f}" for v in w), ""] for g, w in model.weights.items()}
+    for i, (family, grams_) in enumerate(model.templates):
+        for g in grams_:
+            row = rows.setdefault(g, ["", ""])
+            row[1] += f"{';' if row[1] else ''}{i},{model.classes.index(family)},{len(grams_)}"
+    if len(rows) > LARGEST_VOCABULARY:
+        raise ValueError("vocabulary too large to broadcast")
+    listed = "\n".join(f"{g}\t{w}\t{h}" for g, (w, h) in rows.items())
+    made = spark.range(1).select(F.explode(F.split(F.lit(listed), "\n")).alias("r")).select(F.split("r", "\t").alias("r"))
+    w = F.when(F.col("r")[1] != "", F.split(F.col("r")[1], ",").cast("array<double>"))
+    hits = F.when(F.col("r")[2] != "", F.transform(F.split(F.col("r")[2], ";"), lambda h: F.split(h, ",").cast("array<int>")))
+    return made.select(F.col("r")[0].alias("gram"), w.alias("w"), hits.alias("hits"))
 
 
 def gram_column(n: int) -> F.Column:
@@ -286,40 +294,85 @@ def gram_column(n: int) -> F.Column:
     return F.when(F.size("ws") >= n, made).otherwise(F.array().cast("array<string>"))
 
 
+def trie_pattern(words_: list[str]) -> str:
+    """A pattern that matches any of the words as a whole word, branching letter by letter."""
+    tree: dict = {}
+    for w in words_:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def made(at: dict) -> str:
+        parts = [re.escape(c) + made(k) for c, k in sorted(at.items()) if c]
+        body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+        return f"(?:{body})?" if "" in at and body else body
+
+    return f"(?<![a-z0-9]){made(tree)}(?![a-z0-9])"
+
+
+LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def anchored_lines(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """``(rid, id, paragraph, line)``: lines, in lower case, that hold an anchor; ``rid`` numbers rows."""
+    low = F.split(F.translate(F.col(text_col), *LOWER), "\n")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.posexplode(low).alias("paragraph", "line"))
+    return rows.where(F.col("line").rlike(trie_pattern(model.anchors)))
+
+
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """``(rid, id, paragraph, lines, line)``: every line, and every run of neighbouring lines joined."""
+    w = W.partitionBy("rid").orderBy("paragraph")
+    start = F.when(F.col("paragraph") - F.lag("paragraph").over(w) == 1, 0).otherwise(1)
+    runs = lines.withColumn("run", F.sum(start).over(w)).groupBy("rid", "run").agg(
+        F.first("id").alias("id"), F.min("paragraph").alias("paragraph"), F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(F.struct("paragraph", "line"))).alias("all")
+    )
+    joined = runs.where("lines > 1").select("rid", "id", "paragraph", "lines", F.array_join(F.transform("all", lambda x: x["line"]), " ").alias("line"))
+    return lines.select("rid", "id", "paragraph", F.lit(1).cast("long").alias("lines"), "line").unionByName(joined)
+
+
+def scored(found: DataFrame, model: Model) -> DataFrame:
+    """Family, calibrated probability and nearest notice of every paragraph of which some family beats the unknown class."""
+    tokens = F.regexp_extract_all("line", F.lit("[a-z0-9]+"), 0)
+    key = ["rid", "paragraph", "lines"]
+    cut = found.select(*key, "id", tokens.alias("ws")).select(*key, "id", F.explode(F.array_distinct(F.concat(*[gram_column(n) for n in (1, 2, 3)]))).alias("gram"))
+    met = written(cut.join(F.broadcast(gram_frame(found.sparkSession, model)), "gram"), "grams")
+    sums = [F.sum(F.coalesce(F.col("w")[c], F.lit(0.0))).alias(f"z{c}") for c in range(len(model.classes))]
+    z = F.array(*[(F.col(f"z{c}") + F.lit(float(model.bias[c]))) / F.lit(model.temperature) for c in range(len(model.classes))])
+    best = met.groupBy(*key).agg(F.first("id").alias("id"), *sums).select(*key, "id", z.alias("z")).withColumn("top", F.array_max("z"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
+    best = best.select(*key, "id", (F.array_position("z", F.col("top")) - 1).cast("int").alias("best"), (1 / total).alias("probability")).where("best > 0")
+    hits = met.where("hits is not null").select(*key, F.explode("hits").alias("h"))
+    shared = hits.groupBy(*key, F.col("h")[0].alias("template"), F.col("h")[1].alias("best")).agg((F.count(F.lit(1)) / F.max(F.col("h")[2])).alias("similarity"))
+    nearest = shared.groupBy(*key, "best").agg(F.max(F.struct("similarity", (-F.col("template")).alias("t"))).alias("n"))
+    return best.join(nearest, [*key, "best"], "left")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """``(id, paragraph, family, probability, template, similarity, confirmed)``.
+    """``(id, paragraph, lines, family, probability, template, similarity, confirmed)``.
 
     One row for every paragraph for which some family beats the unknown class;
     its family is ``unknown`` where the calibrated probability is too low.
     """
     model = model or train()
-    spark = docs.sparkSession
-    anchor = r"(?i)(?<![a-zA-Z0-9])(?:" + "|".join(model.anchors) + r")(?![a-zA-Z0-9])"
-    lines = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.col("line").rlike(anchor))
-    tokens = F.regexp_extract_all(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), 0)
-    lines = lines.select("rid", "id", "paragraph", tokens.alias("ws"))
-    n_grams = [gram_column(n) for n in (1, 2, 3)]
-    found = lines.select("rid", "id", "paragraph", F.explode(F.array_distinct(F.concat(*n_grams))).alias("gram"))
-    key = ["rid", "paragraph", "id"]
-    sums = [F.sum(F.coalesce(F.col("w")[c], F.lit(0.0))).alias(f"z{c}") for c in range(len(model.classes))]
-    scored = found.join(F.broadcast(weight_frame(spark, model)), "gram", "left").groupBy(*key).agg(*sums)
-    z = F.array(*[(F.col(f"z{c}") + F.lit(float(model.bias[c]))) / F.lit(model.temperature) for c in range(len(model.classes))])
-    scored = scored.select(*key, z.alias("z")).select(*key, "z", F.array_max("z").alias("top"))
-    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
-    best = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.array_position("z", F.col("top")).cast("int"))
-    scored = scored.select(*key, best.alias("best"), (1 / total).alias("probability")).where(F.col("best") != UNKNOWN)
-    scored = scored.select(*key, F.when(F.col("probability") >= LEAST_PROBABILITY, F.col("best")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability")
-    shared = found.join(F.broadcast(template_frame(spark, model)), "gram").groupBy(*key, "family", "template").agg((F.count(F.lit(1)) / F.max("size")).alias("similarity"))
-    nearest = shared.groupBy(*key, "family").agg(F.max(F.struct("similarity", (-F.col("template")).alias("t"))).alias("n"))
-    # a null id is a key like any other
-    same = [scored.rid == nearest.rid, scored.paragraph == nearest.paragraph, scored.family == nearest.family]
-    out = scored.join(nearest, same[0] & same[1] & same[2], "left")
+    lines = written(anchored_lines(docs, model, id_col, text_col), "licence-lines")
+    family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("best") + 1)
+    known = F.col("probability") >= LEAST_PROBABILITY
     similarity = F.coalesce(F.col("n.similarity"), F.lit(0.0))
-    return out.select(
-        scored.id, scored.paragraph, scored.family, F.round("probability", 6).alias("probability"), (-F.col("n.t")).alias("template"),
-        F.round(similarity, 6).alias("similarity"), ((scored.family != UNKNOWN) & (similarity >= LEAST_SIMILARITY)).alias("confirmed"),
+    rows = scored(paragraphs(lines), model).select(
+        "rid", "id", "paragraph", "lines", F.when(known, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"),
+        (-F.col("n.t")).alias("template"), F.round(similarity, 6).alias("similarity"), (known & (similarity >= LEAST_SIMILARITY)).alias("confirmed"),
     )
+    # runs of a text don't overlap, so a line lies in the last run that starts at or before it
+    w = W.partitionBy("rid").orderBy("paragraph").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    runs = F.collect_list(F.when(F.col("lines") > 1, F.struct("paragraph", "lines", "confirmed"))).over(w)
+    sure = F.collect_list(F.when((F.col("lines") == 1) & F.col("confirmed"), F.col("paragraph"))).over(w)
+    rows = rows.withColumn("_runs", runs).withColumn("_sure", sure)
+    alone = lambda r: ~F.exists("_sure", lambda p: (p >= r["paragraph"]) & (p < r["paragraph"] + r["lines"]))
+    inside = F.exists("_runs", lambda r: r["confirmed"] & alone(r) & (F.col("paragraph") >= r["paragraph"]) & (F.col("paragraph") < r["paragraph"] + r["lines"]))
+    whole = F.col("confirmed") & alone({"paragraph": F.col("paragraph"), "lines": F.col("lines")})
+    return rows.where(F.when(F.col("lines") > 1, whole).otherwise(~inside)).drop("rid", "_runs", "_sure")
 
 
 def op1_licenses(spark, sf_dir) -> DataFrame:

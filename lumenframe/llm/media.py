@@ -35,7 +35,8 @@ from .common import fresh_path, map_arrow, spread_join, table, written
 WIDTH = 192
 HEADER_BYTES = 33
 SHARD_BYTES = 256 << 20
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
+MOST_TASKS = 100_000
 #: Digests that a task remembers, so that it stores a payload once; it starts anew beyond that.
 SEEN = 1 << 19
 _MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -194,7 +195,10 @@ def read_members(addresses: DataFrame, root: str, header_only: bool = False) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in MEMBER.split(", ")])
 
     ranges = F.floor(F.col("offset") / RANGE_BYTES)
-    dealt = addresses.select("digest", "shard", "offset", "length", "n").repartition("shard", ranges).sortWithinPartitions("shard", "offset")
+    # as many tasks as the media need: the index rows that are dealt say nothing of their size
+    total = addresses.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-total // RANGE_BYTES), MOST_TASKS))
+    dealt = addresses.select("digest", "shard", "offset", "length", "n").repartition(tasks, "shard", ranges).sortWithinPartitions("shard", "offset")
     return map_arrow(dealt, run, MEMBER)
 
 

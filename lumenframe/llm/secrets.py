@@ -43,11 +43,11 @@ _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MORE = {
-    "private_key": ("-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?")),
+    "private_key": ("-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?<=\n)[A-Za-z][A-Za-z-]*+:[^\n]*+\n|[A-Za-z0-9+/=\s])*+-----END [A-Z ]*PRIVATE KEY-----)?")),
     "jwt": ("eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     "github": ("gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")),
     "slack": ("xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
-    "url_password": ("://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/@:]{1,100}:([^\s/@]{3,100})@")),
+    "url_password": ("://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}+://[^\s/@:]*+:([^\s/@]{3,}+)@")),
 }
 RULES = "1-" + hashlib.sha256("\n".join([_ASSIGN.pattern, _ACCESS.pattern, _HEX.pattern, *(p.pattern for _, p in _MORE.values())]).encode()).hexdigest()[:12]
 
@@ -128,11 +128,14 @@ class Ledger:
         self.spark, self.rules = spark, rules
         self.path = path or fresh_path(spark, "ledger")
 
-    def rows(self) -> DataFrame:
-        """Findings of the current rules; a blob that two runs scanned at once counts once."""
+    def rows(self, blobs: DataFrame | None = None) -> DataFrame:
+        """Findings of the current rules, of ``blobs`` only if given; a blob that two runs scanned at once counts once."""
         if not self.known():
             return self.spark.createDataFrame([], FINDINGS)
-        return self.spark.read.schema(FINDINGS).parquet(f"{self.path}/rules={self.rules}").dropDuplicates(["blob"])
+        found = self.spark.read.schema(FINDINGS).parquet(f"{self.path}/rules={self.rules}")
+        if blobs is not None:
+            found = found.join(blobs.select("blob"), "blob", "left_semi")
+        return found.dropDuplicates(["blob"])
 
     def known(self) -> bool:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rules={self.rules}")
@@ -146,18 +149,19 @@ class Ledger:
         blobs = written(paths.groupBy("blob").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "blobs")
         fresh = blobs
         if self.known():
-            fresh = written(blobs.join(self.rows().select("blob"), "blob", "left_anti"), "unseen")
+            fresh = written(blobs.join(self.rows(blobs).select("blob"), "blob", "left_anti"), "unseen")
         named = fresh.where("id is not null")
         unseen = texts.select("id", blob, "text").join(named.select("id", "blob").hint("shuffle_hash"), ["id", "blob"], "left_semi").select("blob", "text")
-        nameless = texts.where("id is null").select(blob, "text").join(fresh.where("id is null").select("blob"), "blob", "left_semi")
-        found = scan_blobs(unseen.unionByName(nameless.dropDuplicates(["blob"])))
+        # copies without id combine before they move
+        nameless = texts.where("id is null").select(blob, "text").dropDuplicates(["blob"]).join(fresh.where("id is null").select("blob"), "blob", "left_semi")
+        found = scan_blobs(unseen.unionByName(nameless))
         found.write.mode("append").parquet(f"{self.path}/rules={self.rules}")
         return paths, blobs
 
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(id, blob, findings...)`` for every row of ``docs``."""
         paths, blobs = self.update(docs, id_col, text_col)
-        return spread_join(paths, self.rows(), ["blob"], None, blobs.select("blob", "n"))
+        return spread_join(paths, self.rows(blobs), ["blob"], None, blobs.select("blob", "n"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
@@ -172,7 +176,7 @@ def redact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ledger = ledger or Ledger(docs.sparkSession)
     _, blobs = ledger.update(docs, id_col, text_col)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), blob_of(F.coalesce(text_col, F.lit(""))).alias("blob"))
-    rows = spread_join(rows, ledger.rows().select("blob", "spans"), ["blob"], "id", blobs.select("blob", "n"), "shuffle_hash").select("row", "spans")
+    rows = spread_join(rows, ledger.rows(blobs).select("blob", "spans"), ["blob"], "id", blobs.select("blob", "n"), "shuffle_hash").select("row", "spans")
     at = docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
     out = list(docs.columns)

@@ -344,6 +344,18 @@ def test_containment_equals_brute_force(spark):
     assert kept.columns == docs(spark, rows).columns
 
 
+def test_items_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 5, 9, 30])))) for i in range(40)] + [(None, "w1 w2 w3 w4 w5 w6"), (1, "w1 w2 w3 w4 w5 w6")]
+    rows = [(i, " ".join([*(f"x{rng.randrange(99)}" for _ in range(50)), items[i % 42][1], "tail"])) for i in range(60)] + [(None, items[3][1]), (99, None)]
+    d, t = docs(spark, rows), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    want = sorted(map(repr, decontaminate.find_leaks(d, t).collect()))
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (400,))
+    assert sorted(map(repr, decontaminate.find_leaks(d, t).collect())) == want and len(want) > 60
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(d, t).collect()] == [99]
+    assert decontaminate.drop_leaks(d, t.limit(0)).count() == len(rows) and decontaminate.drop_leaks(d.limit(0), t).count() == 0
+
+
 def test_items_of_few_shingles_are_never_missed():
     rng = random.Random(8)
     items = [" ".join(f"i{rng.randrange(10**6)}" for _ in range(5 + i % 4)) for i in range(6000)]
@@ -381,6 +393,25 @@ def test_ledger_scans_only_unseen_blobs(spark):
     assert before + 1 <= stored <= before + 2  # a row that repeats may be scanned beside its copy, and counts once
 
 
+def test_secret_counts_and_hashes_equal_plain_rules(spark):
+    rules = {
+        "assign": (r"""(?i)(?a:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", lambda m: len(m[2]) >= 6),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    }
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op6_secrets"](spark, SF).collect():
+        found = [(m.start(), k, f"{k}:{m.start()}:{m.end()}") for k, (p, ok) in rules.items() for m in re.finditer(p, rows[r["doc_id"]] or "") if ok(m)]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(f[1] == k for f in found) for k in rules]
+        line = ",".join(f[2] for f in sorted(found, key=lambda f: (f[0], list(rules).index(f[1]))))
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_added_kinds_are_whole():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\nMIIabc+/=\nxx==\n-----END RSA PRIVATE KEY-----"
+    assert secrets.redact(f"a {key} b") == "a [private_key] b"
+    assert secrets.redact("redis://:pw12@h and pg://u:" + "p" * 500 + "@h and http://a.b:80/x@y") == "[url_password]h and [url_password]h and http://a.b:80/x@y"
+
+
 def test_redaction_takes_its_spans_from_the_ledger(spark):
     texts = [*ODD, (8, "🙂 token = abcdef99, clean"), (8, "🙂 token = abcdef99, clean"), (None, "password: longer-one"), (9, "secret=abcdefg AKIA" + "B" * 18)]
     rows = docs(spark, texts).withColumnsRenamed({"id": "spans", "rid": "row", "source": "blob"})
@@ -569,6 +600,42 @@ def test_recurring_subtrees_go_and_shared_paragraphs_stay(spark):
     assert got[200] == ("", 0) and got[201][0] == "Follow us"
 
 
+def test_templates_are_counted_over_whole_pages(spark):
+    """Blocks outside the article that no tag or name marks as chrome go by their counts, as a naive count says."""
+    rng, rows = random.Random(8), []
+    menus = {h: [f"Menu {h} {i}" for i in range(3)] for h in "abc"}
+    for i in range(90):
+        host = rng.choice("aabc")
+        menu = rng.choice(menus[host])
+        body = "".join(f"<p>Own {i} {k}</p>" for k in range(rng.randrange(1, 4)))
+        side = f"<div class=x9><div>{rng.choice(['Join us', f'Only {i}'])}</div><p>The club of {host}</p></div>"
+        rows.append((i, f"https://{host}.org/{i}", f"<html><body><div><p>{menu}</p><p>Start</p></div><div class=content><section>{body}</section>{side}</div></body></html>"))
+    seen, pages = defaultdict(set), defaultdict(int)
+    for i, url, page in rows:
+        pages[url[8]] += 1
+        tree = html.parse(page)
+        html.subtree_hash(tree)
+        stack = list(tree.kids)
+        while stack:
+            k = stack.pop()
+            if not isinstance(k, str):
+                if k.hash and k.tag in html.BLOCK and k.tag not in html.WHOLE:
+                    seen[url[8], k.hash].add(i)
+                stack += k.kids
+    template = {k for k, v in seen.items() if len(v) >= 5 and len(v) >= min(pages[k[0]] * 0.1, 20)}
+    assert template
+    got = {r["id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, url, page in rows:
+        assert got[i] == html.main_text(page, {h for host, h in template if host == url[8]}), page
+        assert "Menu" not in got[i] and "club" not in got[i] and f"Own {i} 0" in got[i] and ("Only" not in page or f"Only {i}" in got[i])
+
+
+def test_names_that_only_hold_a_listed_word_stay():
+    page = '<article><p class="search-term">How search works</p><p id="comment-policy">Policy</p><div class="share-data">Shares fell</div><div class="ad-slot">Buy</div><div class="cookieBanner">Ok?</div><ul class="related posts"><li>More</ul></article>'
+    assert html.main_text(page) == "How search works\nPolicy\nShares fell"
+    assert html.main_text('<body><div class="site-header">Top</div><div id="menu">M</div><p class="notice">N</p><p>Text</p></body>') == "Text"
+
+
 def test_section_templates_of_a_large_host_go(spark):
     # 12 sections of 25 pages, each 8.3 % of the host, and a block that only three pages share
     rows = [(i, f"http://h.com/{i}", f"<body><div><p>Section {i % 12}</p><p>See also</p></div><div><p>Body {i}</p></div></body>") for i in range(300)]
@@ -600,6 +667,55 @@ def test_licences(spark):
     assert got == [(1, 1, "apache-2.0", True), (2, 0, "mit", True), (2, 0, "mit", True), (3, 0, "gpl", True), (4, 0, "cc-by-nc", True)]
 
 
+def test_licence_lines_and_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in\nthe Software without restriction."
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation."
+    rows = [(1, "some text\nAll rights reserved.\nmore text"), (2, f"intro\n{mit}\nouter"), (3, gpl), (4, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (5, None), (6, "license " * 60_000)]
+    got = defaultdict(list)
+    for r in licenses.scan(docs(spark, rows).withColumn("family", F.lit(1)).withColumn("lines", F.lit(2))).collect():
+        got[r["id"]].append((r["paragraph"], r["lines"], r["family"], r["confirmed"]))
+    assert got[1] == [(1, 1, "proprietary", True)]
+    assert [g for g in got[2] if g[3]] == [(1, 3, "mit", True)] and all(g[1] == 3 for g in got[2])
+    assert [g for g in got[3] if g[3]] == [(0, 3, "gpl", True)]
+    assert sorted(got[4]) == [(0, 1, "mit", True), (1, 1, "apache-2.0", True)]
+    assert not got[5]
+
+
+def test_licence_query_equals_brute_force(spark):
+    model, rows = licenses.train(), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    grams = [(f, set(g)) for f, g in model.templates]
+    want = {}
+
+    def judge(i, at, n, line):
+        p = model.probabilities(line)
+        if int(p.argmax()):
+            family = model.classes[int(p.argmax())]
+            own = set(licenses.grams(licenses.words(line)))
+            near = max((len(own & g) / len(g) for f, g in grams if f == family), default=0.0)
+            known = p.max() >= licenses.LEAST_PROBABILITY
+            want[i, at, n] = (family if known else "unknown", bool(known and near >= licenses.LEAST_SIMILARITY))
+
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        held = [k for k, line in enumerate(lines) if set(licenses.words(line)) & set(model.anchors)]
+        for k in held:
+            judge(i, k, 1, lines[k])
+            if k - 1 not in held and k + 1 in held:
+                end = k
+                while end + 1 in held:
+                    end += 1
+                judge(i, k, end - k + 1, " ".join(lines[k : end + 1]))
+    for i, at, n in [k for k in want if k[2] > 1]:
+        inner = [(i, k, 1) for k in range(at, at + n)]
+        if not want[i, at, n][1] or any(want.get(k, (0, False))[1] for k in inner):
+            del want[i, at, n]
+        else:
+            for k in inner:
+                want.pop(k, None)
+    got = {(r["doc_id"], r["paragraph"], r["lines"]): (r["family"], r["confirmed"]) for r in QUERIES["op1_licenses"](spark, SF).collect()}
+    assert got == want and sum(c for _, c in want.values()) > 0
+
+
 def test_licence_probabilities_equal_the_plain_form(spark):
     model = licenses.train()
     text = "Code here is Released under the MIT License. Enjoy it"
@@ -622,6 +738,20 @@ def test_oracle(spark, name):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def test_features_equal_a_plain_loop(spark):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op3_media"](spark, SF).collect():
+        raw = (rows[r["doc_id"]] or "").encode()
+        data = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        mean = sum(data) / len(data)
+        deviation = (sum((x - mean) ** 2 for x in data) / len(data)) ** 0.5
+        parts = [data[k * len(data) // 64 : (k + 1) * len(data) // 64] for k in range(64)]
+        bits = int("".join("1" if sum(p) / len(p) > mean else "0" for p in parts), 2)
+        a, b, c = r["feature"].split(";")
+        assert abs(float(a) - mean) < 1e-3 and abs(float(b) - deviation) < 1e-3 and bin(int(c, 16) ^ bits).count("1") <= 1
+        assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and r["n_bytes"] == len(raw)
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert simhash.near_duplicates(none).count() == 0
