@@ -5,16 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import parsing
 from .functions.mcq import format_question
 from .functions.text import answer_keywords
 
 
-def convert_cases(items: DataFrame) -> DataFrame:
-    """Cases of a temporal question set with one gold interval; blank questions are invalid and left out."""
-    t = F.col("item_id") * 1.0
-    kind = F.when(F.col("item_id") % 3 == 0, "temporal_order").otherwise("general")
-    made = items.select(F.concat(F.lit("bench-"), F.col("item_id").cast("string")).alias("case_id"), F.trim("text").alias("question"), kind.alias("question_type"), t.alias("gold_start"), (t + 1.5).alias("gold_end"))
-    return made.where("question <> ''").withColumn("gold_t", (F.col("gold_start") + F.col("gold_end")) / 2)
+def benchmark_cases(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Cases of rows ``question_id, videoID, question, options, answer, task_type``; left out without a video or with a letter out of range."""
+    at = F.ascii(F.upper(F.trim("answer"))) - F.ascii(F.lit("A"))
+    made = rows.join(manifest.withColumnsRenamed({"video": "videoID"}), "videoID").withColumn("_o", F.when(at >= 0, F.try_element_at("options", at + 1))).where("_o is not null")
+    mode = parsing.modality("task_type")
+    return made.select(
+        F.concat(F.lit("vme-"), "question_id").alias("case_id"), "video_id", parsing.question_with_options("question", "options").alias("question"), mode.alias("modality_tag"),
+        F.lower("task_type").alias("question_type"), parsing.option_keywords("_o").alias("expected_keywords"), F.lit(1).alias("expected_citation_min"),
+        parsing.expected_kinds(F.col("task_type"), mode).alias("expected_citation_kinds"), parsing.option_text("_o").alias("reference_answer"),
+    )
+
+
+def frequent_videos(rows: DataFrame, video: str, least: int, most: int) -> DataFrame:
+    """The ``most`` videos with at least ``least`` questions, by count, then name."""
+    counts = rows.groupBy(video).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return counts.orderBy(F.col("n").desc(), video).limit(most)
+
+
+def first_successes(tried: DataFrame, order: str, ok: str, tries: int, wanted: int) -> DataFrame:
+    """The first ``wanted`` successes among the first ``tries`` attempts."""
+    return tried.orderBy(order).limit(tries).where(ok).orderBy(order).limit(wanted)
+
+
+def new_cases(rows: DataFrame, existing: DataFrame, key: str = "case_id") -> DataFrame:
+    """Rows whose key isn't there yet, each once."""
+    return rows.join(existing.select(key), key, "left_anti").dropDuplicates([key])
 
 
 def long_video_cases(rows: DataFrame) -> DataFrame:
@@ -30,8 +51,16 @@ def long_video_cases(rows: DataFrame) -> DataFrame:
 
 
 def interval_cases(rows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Rows of ``video_id, qid, type, question, answer`` with their gold intervals ``(video_id, qid, spans)``; none is invalid."""
-    spans = F.transform("spans", lambda s: F.struct(s[0].alias("start"), s[1].alias("end")))
-    made = rows.join(intervals, ["video_id", "qid"]).withColumn("gold_scenes", spans)
-    made = made.withColumn("gold_timestamps", F.transform("gold_scenes", lambda s: (s["start"] + s["end"]) / 2))
-    return made.withColumn("expected_action", F.when(F.col("type").isin("TN", "TC", "TP"), "build_timeline")).drop("spans")
+    """Cases of rows ``video_id, qid, type, question, answer, a0..a4`` with gold intervals ``(video_id, qid, spans)``, if any.
+
+    A row without id, video, question or answer is invalid. Spans below two ends are left out.
+    """
+    full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    spans = F.filter(F.coalesce("spans", F.array().cast("array<array<double>>")), lambda s: F.size(s) >= 2)
+    scenes = F.transform(spans, lambda s: F.struct(F.least(s[0], s[1]).alias("start"), F.greatest(s[0], s[1]).alias("end")))
+    made = rows.where(full("qid") & full("video_id") & full("question") & full("answer")).join(intervals, ["video_id", "qid"], "left").withColumn("gold_scenes", scenes)
+    return made.select(
+        F.concat_ws("-", F.lit("interval"), "video_id", "qid").alias("case_id"), format_question("question", F.array(*[F.coalesce(f"a{i}", F.lit("")) for i in range(5)])).alias("question"),
+        F.col("answer").alias("reference_answer"), answer_keywords("answer").alias("required_keywords"), F.transform("gold_scenes", lambda s: (s["start"] + s["end"]) / 2).alias("gold_timestamps"),
+        "gold_scenes", F.when(F.col("type").isin("TN", "TC", "TP"), "build_timeline").alias("expected_action"),
+    )

@@ -17,7 +17,7 @@ def extract(c) -> Column:
 
     def one(m):
         a = F.regexp_extract(m, rf"t=({NUMBER})", 1).cast("double")
-        b = F.coalesce(F.expr("null").cast("double"), F.regexp_extract(m, rf"-({NUMBER})\]", 1).try_cast("double"), a)
+        b = F.coalesce(F.regexp_extract(m, rf"-({NUMBER})\]", 1).try_cast("double"), a)
         kind = F.lower(F.regexp_extract(m, r"\[([A-Z]+):", 1))
         return F.struct(m.alias("raw"), kind.alias("kind"), F.least(a, b).alias("t_start"), F.greatest(a, b).alias("t_end"))
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .text import col
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once: a lambda would compute an expression anew for every element."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def truthy_or(a, b) -> Column:
     """``a`` unless it is null or zero: zero counts as missing."""
     return F.when(col(a).isNotNull() & (col(a) != 0), col(a)).otherwise(col(b) if isinstance(b, (str, Column)) else F.lit(b))

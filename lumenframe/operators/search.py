@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine
 
-TOKEN = r"[\p{L}\p{N}]+"
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēėęěğģīįıķłļńņňőřśşšťţūůűųźżž"
+PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeeeggiiikllnnnorsssttuuuuzzz"
 
 
 def keyword_search(df: DataFrame, keyword: str, k: int, text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -23,31 +26,53 @@ def like_fallback(df: DataFrame, query: str, k: int, text: str = "text", order:
     return df.where(F.contains(low, F.lit(query.lower()))).orderBy(order).limit(k).withColumn("rank", F.lit(0.0))
 
 
-def bm25(df: DataFrame, terms: list[str], text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def fold(c) -> F.Column:
+    """Lower case without the accents of Latin letters; texts of ASCII alone are only lower-cased."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, ACCENTED, PLAIN)).otherwise(low)
+
+
+def terms_of(query: str, most: int = 12) -> list[list[str]]:
+    """A question's terms: the first ``most`` between blanks without double quotes, each a phrase of its words."""
+    folded = query.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    words = [re.findall(r"[^\W_]+", t.replace('"', "")) for t in folded.split()[:most]]
+    return [list(w) for w in dict.fromkeys(map(tuple, filter(None, words)))]
+
+
+def bm25(df: DataFrame, terms: list[str] | str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(id, bm25)`` of every row that holds a term. Statistics cover the whole table.
 
-    One scan counts terms and lengths per row; only those few numbers meet in the
-    single-row statistics, so nothing but one row is broadcast.
+    ``terms`` is a question or a list of terms; a term of several words is a phrase.
+    Rows that hold no term as a substring are only measured. What follows is narrow,
+    so the single-row statistics are all that is broadcast.
     """
-    terms = list(dict.fromkeys(t.lower() for t in terms))
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
-    rows = df.select(F.col(id_col), tokens.alias("tk")).select(id_col, F.size("tk").alias("dl"), *[F.size(F.filter("tk", _equals(t))).alias(f"f{i}") for i, t in enumerate(terms)])
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
+    phrases = terms_of(terms) if isinstance(terms, str) else [w for t in dict.fromkeys(t.lower() for t in terms) for w in terms_of(t.replace(" ", "-"), 1)]
+    if not phrases:
+        return df.select(id_col, F.lit(0.0).alias("bm25")).where("false")
+    # cut once: every token between two blanks, so a term is a substring with its blanks
+    line = F.concat(F.lit(" "), F.regexp_replace(fold(F.col(text)), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+    rows = df.select(F.col(id_col), line.alias("line"))
+    blank = lambda c: F.length(c) - F.length(F.replace(c, F.lit("  "), F.lit(" ")))
+    trimmed = F.trim("line")
+    length = F.when(trimmed == "", 0).otherwise(blank(trimmed) + 1)
+
+    def count(words: list[str]) -> F.Column:
+        needle = " " + "  ".join(words) + " "
+        n = (F.length("line") - F.length(F.replace("line", F.lit(needle), F.lit("")))) / len(needle)
+        return F.when(F.contains("line", F.lit(needle)), n.cast("int")).otherwise(0)
+
+    rows = rows.select(id_col, length.alias("dl"), *[count(w).alias(f"f{i}") for i, w in enumerate(phrases)])
+    many = range(len(phrases))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in many])
+    score, hit = F.lit(0.0), F.lit(False)
+    for i in many:
         f, n = F.col(f"f{i}"), F.col(f"n{i}")
         idf = F.greatest(F.log((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
         score = score + idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    hit = F.lit(False)
-    for i in range(len(terms)):
-        hit = hit | (F.col(f"f{i}") > 0)
+        hit = hit | (f > 0)
     return rows.where(hit).crossJoin(F.broadcast(stats)).select(id_col, score.alias("bm25"))
 
 
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def top(df: DataFrame, score: str, k: int, *tie: str) -> DataFrame:
     return df.orderBy(F.col(score).desc(), *tie).limit(k)
 
@@ -68,10 +93,10 @@ def rrf(lists: list[DataFrame], keys: list[str], order: str, k: int, c: int = 60
     both = tagged[0]
     for d in tagged[1:]:
         both = both.unionByName(d)
-    seen = F.col("src") * 1_000_000 + F.col("rank")
+    seen = F.struct("src", "rank")
+    last = F.struct((-F.col("src")).alias("src"), (-F.col("rank")).alias("rank"))
     fused = both.groupBy(*keys).agg(
-        F.sum(1.0 / (c + F.col("rank"))).alias("rrf"), F.min(seen).alias("seen"),
-        F.max(F.struct(F.col("score"), (-seen).alias("s"), F.col(order).alias("payload")))["payload"].alias(order),
+        F.sum(1.0 / (c + F.col("rank"))).alias("rrf"), F.min(seen).alias("seen"), F.max(F.struct(F.col("score"), last.alias("s"), F.col(order).alias("payload")))["payload"].alias(order)
     )
     return fused.orderBy(F.col("rrf").desc(), "seen").limit(k)
 
@@ -95,7 +120,8 @@ def two_stage(scenes: DataFrame, frames: DataFrame, query: list[float], n: int,
     scored = dense(frames, query).select("ts", "score")
     gated = scored.join(F.broadcast(gates), (F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end")), "left_semi")
     first = ranked(gated, "score", scene_quota(k, True), "ts").withColumn("tier", F.lit(0))
-    rest = ranked(scored, "score", 3 * k, "ts").withColumn("tier", F.lit(1))
+    # one frame a timestamp, so that equal ones don't use up the list
+    rest = ranked(scored.groupBy("ts").agg(F.max("score").alias("score")), "score", 3 * k, "ts").withColumn("tier", F.lit(1))
     both = first.unionByName(rest)
     once = both.withColumn("r", F.row_number().over(W.partitionBy("ts").orderBy("tier", "rank"))).where("r = 1")
     return once.orderBy("tier", "rank").limit(k).select("ts", "score", "tier")

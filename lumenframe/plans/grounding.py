@@ -1,40 +1,20 @@
-"""Grounding of answers in evidence, and evaluation of answers against cases."""
+"""Grounding of answers in evidence."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markers import extract, frame_times
-from ..functions.text import contains_any
+from ..functions import mcq
+from ..functions.markers import extract
+from .predicates import claim_lines, guesses, has_scope, is_audiovisual_question, is_brand_question, is_negative_question, needs_slide, says_no
 
 FRAME_TOLERANCE, TEXT_TOLERANCE = 0.65, 0.75
-# fixed values: substring lexicons
-NEGATIVE = ("no ", "not ", "none", "absent", "doesn't", "didn't", "cannot see", "can't see", "没有", "不存在", "未看到", "看不到", "没看到", "无法看到")
-NEGATIVE_SCOPE = ("checked", "available", "provided", "retrieved", "evidence", "frames", "已检查", "当前", "现有", "提供", "检索", "证据", "关键帧")
-VISUAL_CLAIMS = (
-    "shows", "shown", "visible", "appears", "looks", "wearing", "holding", "standing", "walking", "running", "moving", "object", "person", "scene", "frame",
-    "看到", "画面", "显示", "出现", "人物", "人", "物体", "颜色", "穿", "拿", "站", "走", "跑", "移动", "动作", "镜头",
-)
-RANKING = ("top 1", "top 2", "top 3", "rank", "ranking", "listed", "order", "sequence", "correct order", "first", "second", "third", "第", "排名", "顺序")
-SLIDE_WORDS = ("ocr", "slide", "screen", "text", "shown", "featured", "company", "logo", "list", "listed", "top", "rank", "ranking", "PPT", "画面文字", "屏幕", "公司", "标志", "榜单", "排名")
-GUESSES = ("widely recognized", "typical", "characteristic", "least implausible", "most consistent", "commonly associated", "standard product", "likely", "probably", "猜测", "可能")
-NEGATIVE_QUESTION = ("no ", "without", "有没有", "是否有", "没有", "不存在")
-
-
-def is_negative_question(q: Column, kind: Column) -> Column:
-    t = F.lower(F.trim(q))
-    return (kind == "existence") | t.rlike(r"^(is|are|was|were) there ") | t.rlike(r"\bany\b") | contains_any(t, NEGATIVE_QUESTION)
-
-
-def needs_slide(q: Column, kind: Column) -> Column:
-    return (F.lower(kind) == "text_ocr") | contains_any(q, SLIDE_WORDS)
-
-
-def claim_lines(answer: Column) -> Column:
-    """Sentences that claim something visible."""
-    parts = F.transform(F.split(answer, "[\n。！？.!?]+"), lambda p: F.trim(p))
-    return F.filter(parts, lambda p: (p != "") & contains_any(p, VISUAL_CLAIMS))
+#: What the input of ``grounding_report`` may leave out.
+OPTIONAL = {
+    "question_type": "string", "profile": "string", "frames": "array<double>", "transcripts": "array<struct<t_start: double, t_end: double>>",
+    "slides": "array<struct<t_start: double, t_end: double>>", "recommended_label": "string", "matrix": "array<struct<label: string, decision: string>>",
+}
 
 
 def uncited_claims(answer: Column) -> Column:
@@ -59,85 +39,57 @@ def invalid_markers(answer: Column, frames: Column, transcripts: Column, slides:
 
 
 def grounding_report(df: DataFrame) -> DataFrame:
-    """Adds ``warnings``, ``grounded`` and ``next_action``.
+    """Adds ``warnings``, ``grounded``, ``next_action``, ``selected_label``, ``uncited`` (five at most) and valid and invalid markers.
 
-    Columns: question, question_type, profile, answer, frames (times), transcripts and slides (spans).
+    Columns: question, answer and those of ``OPTIONAL``, which count as empty where they are missing or null.
     """
-    q, a = F.col("question"), F.col("answer")
-    bad = invalid_markers(a, F.col("frames"), F.col("transcripts"), F.col("slides"))
-    has = lambda kind: F.exists(F.filter(bad, lambda m: m["kind"] == kind), lambda m: F.lit(True))
-    negative = (F.col("profile") == "negative_check") | is_negative_question(q, F.col("question_type"))
-    says_no, visual = contains_any(a, NEGATIVE), a.rlike(r"\[(FRAME|SLIDE):t=[0-9]")
-    slide = a.rlike(r"\[SLIDE:t=[0-9]")
-    want = needs_slide(q, F.col("question_type"))
-    ocr_missing = want & ~slide & F.contains(F.lower(q), F.lit("ocr"))
+    df = df.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in df.columns})
+    q, a = F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))
+    kind, profile = F.coalesce("question_type", F.lit("")), F.coalesce("profile", F.lit(""))
+    times = [F.coalesce(c, F.array().cast(OPTIONAL[c])) for c in ("frames", "transcripts", "slides")]
+    markers, opts = extract(a), mcq.options(q)
+    work = df.withColumn("_q", q).withColumn("_a", a).withColumn("_bad", invalid_markers(a, *times)).withColumn("_all", markers).withColumn("_opts", opts)
+    work = work.withColumn("selected_label", mcq.selected_label("_a", "_opts"))
+    q, a, opts, label = F.col("_q"), F.col("_a"), F.col("_opts"), F.col("selected_label")
+    has = lambda of, kind: F.exists(of, lambda m: m["kind"] == kind)
+    negative = ((profile == "negative_check") | is_negative_question(q, kind)) & says_no(a)
+    slide = has("_all", "slide")
+    visual = slide | has("_all", "frame")
+    asks_slide = needs_slide(q, kind)
+    ocr = asks_slide & ~slide & F.contains(F.lower(q), F.lit("ocr"))
+    mcq_on = F.size(opts) > 0
+    none = mcq_on & label.isNull()
+    differs = mcq_on & label.isNotNull() & F.coalesce(label != F.col("recommended_label"), F.lit(False))
+    clash = mcq_on & ~none & ~differs & mcq.option_contradiction(a, opts, label).isNotNull()
+    weak = mcq_on & ~none & ~differs & ~clash & ~mcq.supports_option(a, mcq.option_of(label, opts)["text"])
+    row = F.try_element_at(F.filter("matrix", lambda m: m["label"] == label), F.lit(1))
+    rejected = is_audiovisual_question(q) & label.isNotNull() & F.coalesce(row["decision"] == "reject", F.lit(False))
+    brand = is_brand_question(q) & guesses(a)
+    uncited = uncited_claims(a)
+    revise, again = "revise_answer_with_citations", "answer_with_evidence"
     rules = [
-        ("invalid_frame_markers", has("frame"), None),
-        ("invalid_transcript_markers", has("transcript"), None),
-        ("invalid_slide_markers", has("slide"), None),
-        ("uncited_visual_claims", F.size(uncited_claims(a)) > 0, None),
-        ("negative_without_check", negative & says_no & (F.col("profile") != "negative_check"), "retrieve_video_evidence"),
-        ("negative_without_scope", negative & says_no & ~contains_any(a, NEGATIVE_SCOPE), None),
+        ("invalid_frame_markers", has("_bad", "frame"), None),
+        ("invalid_transcript_markers", has("_bad", "transcript"), None),
+        ("invalid_slide_markers", has("_bad", "slide"), None),
+        ("uncited_visual_claims", F.size(uncited) > 0, None),
+        ("negative_without_check", negative & (profile != "negative_check"), "retrieve_video_evidence"),
+        ("negative_without_scope", negative & ~has_scope(a), None),
         ("visual_claims_without_marker", (F.size(claim_lines(a)) > 0) & ~visual, None),
-        ("slide_marker_missing", ocr_missing, None),
-        ("visual_marker_missing", want & ~ocr_missing & ~visual, None),
-        ("brand_guess", contains_any(a, GUESSES) & F.contains(F.lower(q), F.lit("brand")) & ~slide, "revise_answer_with_citations"),
+        ("slide_marker_missing", ocr, None),
+        ("visual_marker_missing", asks_slide & ~ocr & ~visual, None),
+        ("no_candidate_selected", none, None),
+        ("contradicts_recommended_option", differs, again),
+        ("contradicts_selected_option", clash, again),
+        ("weak_support_of_selected_option", weak, None),
+        ("rejected_by_matrix", rejected, again),
+        ("brand_guess_without_marker", brand & ~visual, revise),
+        ("brand_guess_without_slide", brand & visual & ~slide & F.contains(F.lower(q), F.lit("brand")), revise),
     ]
-    action, warnings = F.lit(None).cast("string"), []
-    for name, fires, then in rules:
-        warnings.append(F.when(fires, F.lit(name)))
+    action = F.lit(revise)
+    for _, fires, then in rules:
         if then:
             action = F.when(fires, F.lit(then)).otherwise(action)
-    found = F.array_compact(F.array(*warnings))
-    default = F.when(F.size(found) == 0, F.lit("final")).otherwise(F.lit("revise_answer_with_citations"))
-    return df.withColumn("warnings", found).withColumn("grounded", F.size(found) == 0).withColumn("next_action", F.coalesce(action, default))
-
-
-def evaluate_answer(df: DataFrame, uncertainty: tuple[str, ...] = ("not sure", "uncertain", "cannot", "unclear", "insufficient")) -> DataFrame:
-    """Adds answered, hallucination_free, citation_correct, uncertainty_ok and answer_passed.
-
-    Columns: answer, required and forbidden keywords, requires_uncertainty, frames (evidence times).
-    """
-    low, times = F.lower("answer"), frame_times("answer")
-    near = lambda t: F.exists("frames", lambda e: F.abs(e - t) <= FRAME_TOLERANCE)
-    cited = F.when(F.size("frames") > 0, (F.size(times) > 0) & F.forall(times, near)).otherwise(F.size(times) == 0)
-    out = df.withColumn("answered", (F.trim("answer") != "") & F.forall("required", lambda k: F.contains(low, F.lower(k))))
-    out = out.withColumn("hallucination_free", ~F.exists("forbidden", lambda k: F.contains(low, F.lower(k))))
-    out = out.withColumn("citation_correct", cited).withColumn("uncertainty_ok", ~F.col("requires_uncertainty") | contains_any("answer", uncertainty))
-    return out.withColumn("answer_passed", F.col("answered") & F.col("hallucination_free") & F.col("citation_correct") & F.col("uncertainty_ok"))
-
-
-def evaluate_retrieval(gold: DataFrame, found: DataFrame, key: str, tolerance: float = 2.0) -> DataFrame:
-    """``(key, recall, mean_distance, passed)`` of gold times; null where a case has none."""
-    from ..operators.intervals import nearest
-
-    n = nearest(gold, found, key)
-    hit = F.coalesce((F.col("distance") <= tolerance).cast("double"), F.lit(0.0))
-    out = n.groupBy(key).agg(F.avg(hit).alias("recall"), F.avg("distance").alias("mean_distance"))
-    return out.withColumn("passed", F.col("recall") == 1.0)
-
-
-def case_gate(retrieval: Column, answer: Column, agent: Column, judge: Column, free: Column, sure: Column) -> Column:
-    """A judge's yes waives retrieval, keywords, citations and the agent gate, never hallucination or uncertainty."""
-    ok = F.coalesce(judge, F.lit(False))
-    strict = F.coalesce(retrieval, F.lit(True)) & answer & F.coalesce(agent, F.lit(True))
-    return F.when(ok, free & sure).otherwise(strict)
-
-
-def failure_tags(flags: dict[str, Column]) -> Column:
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in flags.items()]))))
-
-
-def case_group(case_id: Column) -> Column:
-    """The prefix before the first dash; ``misc`` if empty."""
-    p = F.split_part(case_id, F.lit("-"), F.lit(1))
-    return F.when(p == "", F.lit("misc")).otherwise(p)
-
-
-def summarize(results: DataFrame, group: str) -> DataFrame:
-    """Counts and rates by group with a total row (group null): passed, judge_score and sections with null for n/a."""
-    return results.rollup(group).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"),
-        F.coalesce(F.round(F.count_if("passed") / F.count(F.lit(1)), 6), F.lit(0.0)).alias("pass_rate"),
-        F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(F.col("section_passed").cast("double")), 6).alias("section_rate"),
-    )
+    found = F.array_compact(F.array(*[F.when(fires, F.lit(name)) for name, fires, _ in rules]))
+    out = work.withColumn("warnings", found).withColumn("_act", action).withColumn("uncited", F.slice(uncited, 1, 5))
+    out = out.withColumn("grounded", F.size("warnings") == 0).withColumn("next_action", F.when(F.size("warnings") == 0, F.lit("final_answer")).otherwise(F.col("_act")))
+    return out.withColumn("invalid", F.col("_bad")).withColumn("valid", F.size("_all") - F.size("_bad")).drop("_q", "_a", "_bad", "_all", "_opts", "_act")

@@ -90,13 +90,19 @@ def event_windows(spark, sf):
     return w.select((F.unix_micros("start") / 1e6).alias("start_s"), "event_type", "n")
 
 
-@query("registry_fold")
+@query("registry_fold", f"""WITH e AS (SELECT user_id, event_id, event_type, event_id % 3 = 0 AS added, {T_SQL} AS t, floor(value)::BIGINT::VARCHAR AS v FROM events),
+s AS (SELECT user_id, event_type, min(event_id) AS start FROM e WHERE added GROUP BY ALL),
+l AS (SELECT user_id, event_type, start, max(t) AS last_seen_t, min(t) FILTER (added) AS first_seen_t, list(v ORDER BY event_id) AS vs FROM e JOIN s USING (user_id, event_type) WHERE event_id >= start GROUP BY ALL)
+SELECT user_id AS thread, event_type AS id, round(first_seen_t, 3) AS first_seen_t, round(last_seen_t, 3) AS last_seen_t, list_sort(list_distinct(vs)) AS attributes FROM l
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN last_seen_t IS NULL THEN 0 ELSE last_seen_t END DESC, start) <= 15""")
 def registry(spark, sf):
     e = read(spark, sf, "events")
     op = F.when(F.col("event_id") % 3 == 0, "add").otherwise("update")
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - EPOCH
-    delta = F.to_json(F.struct(op.alias("op"), F.col("event_type").alias("id"), t.alias("first_seen"), t.alias("last_seen"), F.array(F.floor("value").cast("string")).alias("attributes"), F.array(t).alias("evidence")))
-    return state.registries(e.select(F.col("user_id").alias("thread"), F.col("event_id").alias("pos"), delta.alias("delta")))
+    value = F.array(F.floor("value").cast("string"))
+    delta = F.to_json(F.struct(op.alias("op"), F.col("event_type").alias("id"), t.alias("first_seen_t"), t.alias("last_seen_t"), value.alias("attributes"), value.alias("attributes_add"), F.array(t).alias("evidence_frames")))
+    found = state.registries(e.select(F.col("user_id").alias("thread"), F.col("event_id").alias("pos"), delta.alias("delta")))
+    return found.select("thread", "id", F.round("first_seen_t", 3).alias("first_seen_t"), F.round("last_seen_t", 3).alias("last_seen_t"), F.array_sort(F.array_distinct("attributes")).alias("attributes"))
 
 
 @query("registry_sets", "SELECT user_id, event_type, max(event_id) AS last_seen, list_sort(list(DISTINCT floor(value)::BIGINT)) AS attributes FROM events GROUP BY user_id, event_type")

@@ -54,15 +54,18 @@ def convert(spark, sf):
     return convert_cases(read(spark, sf, "benchmark"))
 
 
-@query("captions_stub")
+@query("captions_stub", "SELECT doc_id, 'caption ' || left(sha1(text), 8) AS caption FROM documents")
 def captions(spark, sf):
     from ..udf import map_text
 
     return map_text(read(spark, sf, "documents").select("doc_id", "text"), "text", "caption").select("doc_id", "caption")
 
 
-@query("encoder_stub")
+@query("encoder_stub", r"""WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM conversations), h AS (SELECT conv_id, turn, ('0x' || left(md5(w), 8))::BIGINT AS h FROM w),
+b AS (SELECT conv_id, turn, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1.0 ELSE -1.0 END) AS v FROM h GROUP BY ALL), n AS (SELECT conv_id, turn, sqrt(sum(v * v)) AS n FROM b GROUP BY ALL)
+SELECT conv_id, turn, i::INT AS i, round(v / n, 6) AS v FROM b JOIN n USING (conv_id, turn) WHERE v <> 0""")
 def encoder(spark, sf):
     from ..udf import encode_text
 
-    return encode_text(read(spark, sf, "conversations").select("conv_id", "turn", "text"), "text", "vector").select("conv_id", "turn", F.size("vector").alias("dims"))
+    made = encode_text(read(spark, sf, "conversations").select("conv_id", "turn", "text"), "text", "vector")
+    return made.select("conv_id", "turn", F.posexplode("vector").alias("i", "v")).where("v <> 0").select("conv_id", "turn", "i", F.round("v", 6).alias("v"))

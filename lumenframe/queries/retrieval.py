@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import even_indices
 from ..operators import search
-from .registry import query, read
+from .registry import query, read, read_even
 
 TERMS = ["the", "ertion", "onble"]
 QUERY = [1.0 if i % 3 == 0 else -0.5 if i % 3 == 1 else 0.25 for i in range(64)]
@@ -19,7 +19,7 @@ def _bm25_sql(limit: str) -> str:
     ns = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(TERMS)))
     score = " + ".join(f"greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(TERMS)))
     hit = " OR ".join(f"f{i} > 0" for i in range(len(TERMS)))
-    return f"""t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS tk FROM documents),
+    return f"""t AS (SELECT doc_id, lang, regexp_extract_all(translate(lower(text), '{search.ACCENTED}', '{search.PLAIN}'), '[\\p{{L}}\\p{{N}}]+') AS tk FROM documents),
 r AS (SELECT doc_id, lang, len(tk) AS dl, {fs} FROM t), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {ns} FROM r),
 b AS (SELECT doc_id, lang, {score} AS bm25 FROM r, s WHERE {hit} ORDER BY bm25 DESC, doc_id {limit})"""
 
@@ -36,13 +36,13 @@ def keyword_like(spark, sf):
 
 @query("bm25_topk", f"WITH {_bm25_sql('LIMIT 20')} SELECT doc_id, round(bm25, 6) AS score FROM b")
 def bm25_topk(spark, sf):
-    found = search.bm25(read(spark, sf, "documents"), TERMS)
+    found = search.bm25(read_even(spark, sf, "documents"), TERMS)
     return search.top(found, "bm25", 20, "doc_id").select("doc_id", F.round("bm25", 6).alias("score"))
 
 
 @query("fts_inverse_score", f"WITH {_bm25_sql('LIMIT 20')} SELECT doc_id, round(1 / (1 + abs(-bm25)), 6) AS inverse_score FROM b")
 def fts_inverse(spark, sf):
-    found = search.top(search.bm25(read(spark, sf, "documents"), TERMS), "bm25", 20, "doc_id")
+    found = search.top(search.bm25(read_even(spark, sf, "documents"), TERMS), "bm25", 20, "doc_id")
     return found.select("doc_id", F.round(1 / (1 + F.abs(-F.col("bm25"))), 6).alias("inverse_score"))
 
 
@@ -64,10 +64,10 @@ SELECT doc_id, round(rrf, 9) AS rrf, '[TRANSCRIPT:t=' || printf('%.1f', doc_id *
 def hybrid_rrf(spark, sf):
     from ..functions.markers import marker
 
-    docs = read(spark, sf, "documents")
+    docs = read_even(spark, sf, "documents")
     span = lambda d: d.select("doc_id", "score", "rank", F.bround(F.col("doc_id") * 3.0, 2).alias("t_start"), F.bround(F.col("doc_id") * 3.0 + 4.0, 2).alias("t_end"))
     sparse = search.ranked(search.bm25(docs, TERMS).withColumnRenamed("bm25", "score"), "score", 10, "doc_id")
-    vectors = read(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    vectors = read(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id").join(read(spark, sf, "documents").select("doc_id"), "doc_id", "left_semi")
     near = search.ranked(search.dense(vectors, QUERY).select("doc_id", "score"), "score", 10, "doc_id")
     fused = search.rrf([span(sparse), span(near)], ["t_start", "t_end"], "doc_id", 5)
     return fused.select("doc_id", F.round("rrf", 9).alias("rrf"), marker(F.lit("transcript"), "t_start", "t_end").alias("marker"))
@@ -76,7 +76,7 @@ def hybrid_rrf(spark, sf):
 @query(
     "two_stage_retrieve",
     f"""WITH f AS (SELECT vec_id::DOUBLE AS ts, {COSINE} AS score FROM embeddings),
-sc AS (SELECT vec_id::DOUBLE AS s, vec_id + 9.0 AS e, {COSINE} AS score FROM embeddings WHERE vec_id % 10 = 0 ORDER BY score DESC, s LIMIT 5),
+sc AS (SELECT vec_id::DOUBLE AS s, vec_id + 9.0 AS e, {COSINE} AS score FROM embeddings ORDER BY score DESC, s LIMIT 5),
 ga AS (SELECT ts, score, 0 AS tier, row_number() OVER (ORDER BY score DESC, ts) AS rank FROM f WHERE EXISTS (SELECT 1 FROM sc WHERE ts BETWEEN s AND e) QUALIFY rank <= 8),
 gl AS (SELECT ts, score, 1 AS tier, row_number() OVER (ORDER BY score DESC, ts) AS rank FROM f QUALIFY rank <= 36),
 o AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY tier, rank) AS r FROM (SELECT * FROM ga UNION ALL SELECT * FROM gl))
@@ -85,7 +85,7 @@ SELECT ts, round(score, 6) AS score, tier FROM o WHERE r = 1 ORDER BY tier, rank
 def two_stage(spark, sf):
     e = read(spark, sf, "embeddings")
     frames = e.select(F.col("vec_id").cast("double").alias("ts"), "embedding")
-    scenes = e.where("vec_id % 10 = 0").select(F.col("vec_id").cast("double").alias("start"), (F.col("vec_id") + 9.0).alias("end"), "embedding")
+    scenes = e.select(F.col("vec_id").cast("double").alias("start"), (F.col("vec_id") + 9.0).alias("end"), "embedding")
     return search.two_stage(scenes, frames, QUERY, 5, 12).select("ts", F.round("score", 6).alias("score"), "tier")
 
 

@@ -121,7 +121,7 @@ def nearest_timestamp(spark, sf):
 j AS (SELECT g.user_id, g.event_id, min(abs(g.t - f.t)) AS d FROM g LEFT JOIN f USING (user_id) GROUP BY ALL)
 SELECT user_id, round(avg(CASE WHEN d <= 7200 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(d), 3) AS mean_distance, avg(CASE WHEN d <= 7200 THEN 1.0 ELSE 0.0 END) = 1 AS passed FROM j GROUP BY user_id""")
 def retrieval_recall(spark, sf):
-    from ..plans.grounding import evaluate_retrieval
+    from ..plans.evaluation import evaluate_retrieval
 
     e = seconds(read(spark, sf, "events"))
     g = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("gold_t"))

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import markers, mcq, text
 from ..operators import matrix
 from ..sources.files import vtt_cues
-from .registry import query, read
+from .registry import query, read, read_even
 
-TOKENS = "list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g')), ' '), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this'))"
-ANSWER = "('Saw it [SLIDE:t=' || turn || '.5] and ' || left(text, 20) || ' [TRANSCRIPT:t=' || (turn + 9) || '-' || (turn + 3) || '.25] then [FRAME:t=' || (conv_id % 60) || '.0].')"
+NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g'))"
+_CONTENT = ", ".join(f"'{w}'" for w in text.CONTENT_STOPWORDS)
+TOKENS = f"list_filter(string_split({NORMAL}, ' '), lambda x: length(x) >= 3 AND x NOT IN ({_CONTENT}))"
+ANSWER = "('Saw it [SLIDE:t=' || turn || '.5] and ' || text || ' [TRANSCRIPT:t=' || (turn + 9) || '-' || (turn + 3) || '.25] then [FRAME:t=' || (conv_id % 60) || '.0].')"
 
 
 def answers(spark, sf):
     c = read(spark, sf, "conversations")
     s = lambda x: x.cast("string")
     return c.withColumn("answer", F.concat(
-        F.lit("Saw it [SLIDE:t="), s(F.col("turn")), F.lit(".5] and "), F.substring("text", 1, 20), F.lit(" [TRANSCRIPT:t="), s(F.col("turn") + 9), F.lit("-"), s(F.col("turn") + 3),
+        F.lit("Saw it [SLIDE:t="), s(F.col("turn")), F.lit(".5] and "), F.col("text"), F.lit(" [TRANSCRIPT:t="), s(F.col("turn") + 9), F.lit("-"), s(F.col("turn") + 3),
         F.lit(".25] then [FRAME:t="), s(F.col("conv_id") % 60), F.lit(".0]."),
     ))
 
 
-@query("content_tokens", f"SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens, list_slice({TOKENS.format('text')}, 1, 5) AS first_tokens FROM documents")
+@query("content_tokens", f"WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS tk FROM documents) SELECT doc_id, len(tk) AS n_tokens, md5(array_to_string(tk, ' ')) AS tokens FROM t")
 def content_tokens(spark, sf):
-    t = text.content_tokens("text")
-    return read(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.slice(t, 1, 5).alias("first_tokens"))
+    t = read(spark, sf, "documents").select("doc_id", text.content_tokens("text").alias("tk"))
+    return t.select("doc_id", F.size("tk").cast("long").alias("n_tokens"), F.md5(F.array_join("tk", " ")).alias("tokens"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.KEYWORD_STOPWORDS)
@@ -48,44 +51,63 @@ def markers_extract(spark, sf):
     return m.select("conv_id", "turn", "pos", "m.raw", "m.kind", "m.t_start", "m.t_end")
 
 
-@query("mcq_parse", """WITH b AS (SELECT item_id, trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g')) AS o1, trim(regexp_replace(substr(text, 31, 30), '\\s+', ' ', 'g')) AS o2 FROM benchmark)
-SELECT item_id, 'A' AS label, o1 AS option_text, CASE WHEN item_id % 2 = 0 THEN 'A' ELSE 'B' END AS selected FROM b UNION ALL SELECT item_id, 'B', o2, CASE WHEN item_id % 2 = 0 THEN 'A' ELSE 'B' END FROM b""")
+@query("mcq_parse", f"""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS a, item_id % 4 AS k FROM benchmark),
+p AS (SELECT item_id, CASE k WHEN 0 THEN 'B' WHEN 1 THEN 'A' WHEN 2 THEN CASE WHEN {NORMAL.format('a')} <> '' THEN 'A' ELSE 'B' END END AS selected, a FROM b)
+SELECT item_id, 'A' AS label, a AS option_text, selected FROM p WHERE a <> '' UNION ALL SELECT item_id, 'B', 'none of ' || a, selected FROM p""")
 def mcq_parse(spark, sf):
-    part = lambda i: text.squeeze(F.substring("text", i, 30))
-    q = mcq.format_question(F.lit("Which one?"), F.array(part(1), part(31)))
-    b = read(spark, sf, "benchmark").select("item_id", mcq.options(q).alias("opts"))
-    picked = mcq.selected_label(F.concat(F.lit("The answer: "), F.when(F.col("item_id") % 2 == 0, "A").otherwise("B"), F.lit(") so")), F.col("opts"))
-    return b.select("item_id", picked.alias("selected"), F.explode("opts").alias("o")).select("item_id", "o.label", F.col("o.text").alias("option_text"), "selected")
-
-
-@query("mcq_option_scores", f"""WITH o AS (SELECT item_id, {TOKENS.format("text")} AS tk FROM benchmark WHERE item_id < 5), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g')) AS n FROM documents)
-SELECT doc_id, item_id, len(list_filter(list_distinct(tk), lambda x: contains(n, x))) AS hits, len(list_filter(list_distinct(tk), lambda x: contains(n, x))) >= least(2, greatest(1, len(list_distinct(tk)))) AS supported FROM d, o""")
+    """Options of whole item texts; the answer names one explicitly, by a bare letter, by its text, or not at all."""
+    b = read(spark, sf, "benchmark").select("item_id", text.squeeze("text").alias("a"))
+    q = F.concat(F.lit("Which one?\n\nCandidates:\nA) "), "a", F.lit("\nB) none of "), "a", F.lit("\n \nReference key frames please"))
+    k = F.col("item_id") % 4
+    said = F.when(k == 0, "the ANSWER: **b** ) so").when(k == 1, "so A) it is").when(k == 2, F.concat(F.lit("it was none of "), "a")).otherwise("neither")
+    rows = b.select("item_id", mcq.options(q).alias("opts"), said.alias("said"))
+    picked = mcq.selected_label("said", "opts")
+    return rows.select("item_id", picked.alias("selected"), F.explode("opts").alias("o")).select("item_id", "o.label", F.col("o.text").alias("option_text"), "selected")
+
+
+@query("mcq_option_scores", f"""WITH n AS (SELECT count(*) AS n FROM benchmark), o AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS i, item_id, {TOKENS.format("text")} AS tk FROM benchmark),
+d AS (SELECT doc_id, doc_id % n AS i, {NORMAL.format("text")} AS n FROM documents, n)
+SELECT doc_id, item_id, len(list_filter(tk, lambda x: contains(n, x))) AS hits, len(list_filter(tk, lambda x: contains(n, x))) >= least(2, greatest(1, len(tk))) AS supported FROM d JOIN o USING (i)""")
 def mcq_scores(spark, sf):
-    o = read(spark, sf, "benchmark").where("item_id < 5").select("item_id", F.array_distinct(text.content_tokens("text")).alias("tk"))
-    d = read(spark, sf, "documents").select("doc_id", text.normalize("text").alias("n"))
-    hits = text.token_hits("n", F.col("tk"))  # five options: a broadcast of a few rows
-    return d.crossJoin(F.broadcast(o)).select("doc_id", "item_id", hits.cast("long").alias("hits"), (hits >= F.least(F.lit(2), F.greatest(F.lit(1), F.size("tk")))).alias("supported"))
+    """Every document against the option that its id points to."""
+    items = read(spark, sf, "benchmark")
+    numbered = items.withColumn("i", F.row_number().over(W.orderBy("item_id")) - 1)  # the questions of one set are few
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    d = read_even(spark, sf, "documents").select("doc_id", "text").crossJoin(F.broadcast(n)).withColumn("i", F.col("doc_id") % F.col("n"))
+    o = numbered.select("i", "item_id", F.array(F.struct(F.lit("A").alias("label"), F.col("text"))).alias("opts"))
+    scored = d.join(o, "i").select("doc_id", "item_id", mcq.option_scores("text", "opts")[0].alias("s"))
+    return scored.select("doc_id", "item_id", F.col("s.hits").cast("long").alias("hits"), "s.supported")
 
 
-_CAND = f"c AS (SELECT item_id, {TOKENS.format('text')} AS tk FROM benchmark WHERE item_id < 20)"
+_CAND = f"c AS (SELECT item_id, {TOKENS.format('text')} AS tk FROM benchmark)"
 
 
-@query("candidate_timeline", f"""WITH {_CAND}, p AS (SELECT item_id, doc_id, len(list_filter(tk, lambda x: contains(lower(text), x))) AS hits, len(tk) AS n FROM c, documents),
+@query("candidate_timeline", f"""WITH {_CAND}, e AS (SELECT doc_id, lower(text) AS low FROM documents), p AS (SELECT item_id, doc_id, len(list_filter(tk, lambda x: contains(low, x))) AS hits, len(tk) AS n FROM c, e),
 b AS (SELECT item_id, doc_id, hits FROM p WHERE hits >= CASE WHEN n <= 2 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) = 1)
 SELECT c.item_id::VARCHAR AS label, CASE WHEN b.item_id IS NULL THEN 'missing' ELSE 'found' END AS status, b.doc_id::DOUBLE AS t, coalesce(hits, 0)::BIGINT AS hits FROM c LEFT JOIN b USING (item_id)""")
 def candidate_timeline(spark, sf):
-    c = read(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").cast("string").alias("label"), "text")
-    e = read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("double").alias("t"), "text")
+    c = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("label"), "text")
+    e = read_even(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("double").alias("t"), "text")
     return matrix.candidate_timeline(c, e).select("label", "status", "t", F.col("hits").cast("long").alias("hits"))
 
 
-@query("av_matrix", f"""WITH {_CAND}, x AS (SELECT item_id, lang, len(list_filter(list_slice(tk, 1, 6), lambda x: contains(lower(text), x))) = len(list_slice(tk, 1, 6)) AND len(tk) > 0 OR (len(tk) > 0 AND len(list_filter(tk, lambda x: contains(lower(text), x))) >= least(2, len(tk))) AS hit FROM c, documents WHERE lang IN ('de', 'es')),
-f AS (SELECT item_id, coalesce(bool_or(hit) FILTER (lang = 'de'), false) AS visual, coalesce(bool_or(hit) FILTER (lang = 'es'), false) AS audio FROM x GROUP BY item_id)
-SELECT item_id::VARCHAR AS label, visual, audio, CASE WHEN visual AND NOT audio THEN 'match' ELSE 'reject' END AS decision FROM f""")
+_SIX = "list_slice({}, 1, 6)"
+_HOLDS = "len(list_filter({}, lambda x: contains(low, x)))"
+
+
+@query("av_matrix", f"""WITH c AS (SELECT item_id, tk, list_filter(tk, lambda x, i: list_position(tk, x) = i) AS u FROM (SELECT item_id, {TOKENS.format('text')} AS tk FROM benchmark)),
+e AS (SELECT doc_id, lang, lower(text) AS low FROM documents WHERE lang IN ('de', 'es')),
+x AS (SELECT item_id, doc_id, lang, len(tk) > 0 AND {_HOLDS.format(_SIX.format('tk'))} = len({_SIX.format('tk')}) AS full_, CASE WHEN len(u) > 0 AND {_HOLDS.format('u')} >= least(2, len(u)) THEN {_HOLDS.format('u')} END AS n, list_filter({_SIX.format('tk')}, lambda x: contains(low, x)) AS here, {_SIX.format('tk')} AS six FROM c, e),
+f AS (SELECT item_id, lang, min(doc_id) FILTER (full_) AS first_full, arg_max(doc_id, n * 1000000000 - doc_id) FILTER (n IS NOT NULL) AS best, any_value(six) AS six, list_distinct(flatten(list(here))) AS found FROM x GROUP BY ALL),
+s AS (SELECT item_id, lang, coalesce(first_full, best) AS ord, first_full IS NOT NULL OR best IS NOT NULL OR (len(six) > 0 AND len(list_filter(six, lambda t: NOT list_contains(found, t))) = 0) AS seen FROM f),
+m AS (SELECT c.item_id, coalesce(v.seen, false) AS visual, coalesce(a.seen, false) AS audio, v.ord AS slide, a.ord AS transcript FROM c LEFT JOIN s v ON v.item_id = c.item_id AND v.lang = 'de' LEFT JOIN s a ON a.item_id = c.item_id AND a.lang = 'es')
+SELECT item_id::VARCHAR AS label, visual, audio, slide, transcript, CASE WHEN visual AND NOT audio THEN 'match' ELSE 'reject' END AS not_heard, CASE WHEN audio AND NOT visual THEN 'match' ELSE 'reject' END AS not_seen, CASE WHEN audio AND visual THEN 'match' ELSE 'unknown' END AS both_ FROM m""")
 def av_matrix(spark, sf):
-    c = read(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").cast("string").alias("label"), "text")
-    d = read(spark, sf, "documents")
-    return matrix.av_matrix(c, d.where("lang = 'de'"), d.where("lang = 'es'"), "visible_not_mentioned").select("label", "visual", "audio", "decision")
+    c = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("label"), "text")
+    d = read_even(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text", "lang")
+    m = matrix.av_matrix(c, d.where("lang = 'de'"), d.where("lang = 'es'"), "visible_not_mentioned").withColumnRenamed("decision", "not_heard")
+    v, a = F.col("visual"), F.col("audio")
+    return m.select("label", "visual", "audio", "slide", "transcript", "not_heard", F.when(a & ~v, "match").otherwise("reject").alias("not_seen"), F.when(a & v, "match").otherwise("unknown").alias("both_"))
 
 
 _VTT = "printf('%02d:%02d:%02d.%03d', ({0}) // 3600000, ({0}) // 60000 % 60, ({0}) // 1000 % 60, ({0}) % 1000)"
@@ -127,6 +149,6 @@ def duration_bucket(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.when(d <= 60, "short").when(d <= 600, "medium").otherwise("long").alias("bucket"))
 
 
-@query("fts_terms", "SELECT doc_id, list_filter(list_transform(list_slice(regexp_split_to_array(trim(text), '\\s+'), 1, 12), lambda x: replace(x, '\"', '')), lambda x: x <> '') AS terms FROM documents WHERE lang = 'en'")
+@query("fts_terms", "SELECT doc_id, list_filter(list_transform(list_slice(regexp_split_to_array(trim(text), '\\s+'), 1, 12), lambda x: replace(x, '\"', '')), lambda x: x <> '') AS terms FROM documents")
 def fts_terms(spark, sf):
-    return read(spark, sf, "documents").where("lang = 'en'").select("doc_id", text.fts_terms("text").alias("terms"))
+    return read(spark, sf, "documents").select("doc_id", text.fts_terms("text").alias("terms"))

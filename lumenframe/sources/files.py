@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,8 +49,21 @@ def read_frames(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
-    df.write.mode(mode).json(path)
-    return df.sparkSession.read.schema(df.schema).json(path).count()
+    """Write and give the number of rows written, counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
+    return seen.get["n"]
+
+
+def write_segments(df: DataFrame, kind: str, path: str, key: str, order: str, vtt: str | None = None) -> int:
+    """Normalized transcripts or slides as JSON lines, and as subtitles where ``vtt`` names a folder; how many rows."""
+    from ..functions.parsing import segment
+
+    start, end, text, source = segment(kind, "t_start", "t_end", "text", "source" if "source" in df.columns else None)
+    rows = df.withColumns({"_a": start, "_b": end, "_t": text, "source": source}).drop("t_start", "t_end", "text").withColumnsRenamed({"_a": "t_start", "_b": "t_end", "_t": "text"})
+    if vtt:
+        write_vtt(rows, key, order, vtt)
+    return write_jsonl(rows, path)
 
 
 def append_cache(df: DataFrame, path: str) -> None:
@@ -64,7 +77,89 @@ def read_cache(spark: SparkSession, path: str, value: str = "string") -> DataFra
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)
+    """Append rows to a CSV index; ``read_csv_index`` gives the names, which stand in no part file."""
+    df.write.mode("append").csv(path)
+
+
+def read_csv_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A JSON document, or the rows of a JSON list."""
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_nested(spark: SparkSession, path: str, value: str = "array<array<double>>") -> DataFrame:
+    """``(video, qid, spans)`` of a document ``{video: {location: {qid: spans}}}``."""
+    doc = spark.read.option("wholetext", True).text(path)
+    videos = doc.select(F.explode(F.from_json("value", f"map<string,struct<location: map<string,{value}>>>")).alias("video", "v"))
+    return videos.select("video", F.explode("v.location").alias("qid", "spans"))
+
+
+def resolve_files(wanted: DataFrame, files: DataFrame, name: str = "name", path: str = "path", extensions: tuple[str, ...] = (".mp4", ".mkv", ".webm", ".avi")) -> DataFrame:
+    """Each wanted name with the file that fits best: by whole path, by file name, by stem and extension; null if none."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    tries = F.array(F.struct(F.lit(0).alias("rank"), last(F.col(name)).alias("base")), *[F.struct(F.lit(i).alias("rank"), F.concat(F.regexp_replace(last(F.col(name)), r"\.[A-Za-z0-9]+$", ""), F.lit(e)).alias("base")) for i, e in enumerate(extensions, 1)])
+    asked = wanted.select(name, F.explode(tries).alias("t")).select(name, "t.*")
+    there = files.select(F.col(path), last(F.col(path)).alias("base"))
+    rank = F.when(F.col(path).endswith(F.concat(F.lit("/"), F.col(name))) | (F.col(path) == F.col(name)), -1).otherwise(F.col("rank"))
+    best = asked.join(there, "base").groupBy(name).agg(F.min_by(path, F.struct(rank.alias("r"), F.col(path).alias("p"))).alias(path))
+    return wanted.join(best, name, "left")
+
+
+def stage_copies(wanted: DataFrame, files: DataFrame, done: DataFrame, name: str = "name", content: str = "content_id") -> DataFrame:
+    """``(name, content_id, status)``: staged, skipped where the content is there already or comes twice, missing where no file is."""
+    rows = wanted.join(files, name, "left").join(done.select(content, F.lit(True).alias("_d")).distinct(), content, "left")
+    first = F.row_number().over(W.partitionBy(content).orderBy(name)) == 1
+    status = F.when(F.col(content).isNull(), "missing").when(F.col("_d").isNotNull() | ~first, "skipped").otherwise("staged")
+    return rows.select(name, content, status.alias("status"))
+
+
+def split_audit(cases: DataFrame, manifest: DataFrame, files: DataFrame, case_id: str = "case_id", video: str = "video") -> tuple[DataFrame, DataFrame]:
+    """Cases with their file, and the others with the reason why they are left out."""
+    rows = cases.join(manifest, case_id, "left").join(files.select(video, "path"), video, "left")
+    reason = F.when(F.col(video).isNull(), "not_in_manifest").when(F.col("path").isNull(), "file_missing")
+    rows = rows.withColumn("reason", reason)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
+
+
+def write_index(df: DataFrame, path: str, text: str, encoder, *by: str) -> None:
+    """Replace a dense index: rows with the ``embedding`` of their text, by partition where ``by`` names columns."""
+    from ..udf import encode_text
+
+    made = encode_text(df, text, "embedding", encoder)
+    if by:
+        write_partition(made, path, *by)
+    else:
+        made.write.mode("overwrite").parquet(path)
+
+
+def dense_frame_index(videos: DataFrame, path: str, encoder, fps: float = 1.0) -> None:
+    """Frames of every video on a time grid with their ``embedding``, a partition a video."""
+    from ..functions.parsing import frame_name
+    from ..operators.intervals import time_grid
+    from ..udf import encode_images
+
+    rows = time_grid(videos, fps).withColumn("frame", frame_name("ts"))
+    write_partition(encode_images(rows, "frame", "embedding", encoder), path, "video_id")
+
+
+def purge(spark: SparkSession, *paths: str) -> int:
+    """Delete files and folders that exist; how many did."""
+    n = 0
+    for path in paths:
+        if exists(spark, path):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
+def mark_done(spark: SparkSession, path: str) -> None:
+    """An empty marker file beside what a run has made."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_DONE")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True).close()
 
 
 def write_partition(df: DataFrame, path: str, *by: str) -> None:

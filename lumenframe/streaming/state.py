@@ -1,4 +1,4 @@
-"""Streams: latest progress by key, running message state, ordered registry folds."""
+"""Streams: latest progress by key, windowed counts, ordered registry folds."""
 
 from __future__ import annotations
 
@@ -36,28 +36,53 @@ def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "co
     return stream.sparkSession.table(name)
 
 
-def fold_registry(deltas: list[dict], size: int = REGISTRY_SIZE) -> list[dict]:
-    """Apply add/update deltas in order; unknown ops, blank ids and updates of unknown ids do nothing."""
-    known: dict[str, dict] = {}
+def _number(x) -> float | None:
+    try:
+        return float(x)
+    except (TypeError, ValueError):
+        return None
+
+
+def _numbers(xs) -> list[float]:
+    return [round(n, 1) for n in map(_number, xs if isinstance(xs, list) else []) if n is not None]
+
+
+def _strings(xs) -> list[str]:
+    return [t for t in (str(x).strip() for x in (xs if isinstance(xs, list) else [])) if t]
+
+
+def fold_registry(deltas: list[dict], size: int = REGISTRY_SIZE, known: list[dict] | None = None) -> list[dict]:
+    """Subjects after add and update deltas, applied in order to those ``known``; the latest seen first.
+
+    Unknown operations, blank ids and updates of unknown ids do nothing. A time of zero counts as missing where another can stand in.
+    """
+    by_id = {str(e["id"]): dict(e) for e in known or [] if isinstance(e, dict) and e.get("id")}
     for d in deltas:
-        key, op = (d.get("id") or "").strip(), d.get("op")
-        if not key or op not in ("add", "update"):
+        if not isinstance(d, dict):
+            continue
+        key, op = str(d.get("id") or "").strip(), str(d.get("op") or "").strip().lower()
+        first, entry = _number(d.get("first_seen_t")), by_id.get(key)
+        if not key or op not in ("add", "update") or op == "update" and entry is None:
             continue
-        times = [round(float(t), 1) for t in d.get("evidence") or []]
-        attributes, seen = list(d.get("attributes") or []), d.get("last_seen") or d.get("first_seen")
-        if key in known:
-            e = known[key]
-            e["attributes"] = sorted({*e["attributes"], *attributes})
-            e["evidence"] = sorted({*e["evidence"], *times})
-            e["last_seen"] = max(e["last_seen"] or 0.0, seen or 0.0)
-            if op == "add" and d.get("first_seen") is not None:
-                e["first_seen"] = d["first_seen"] if e["first_seen"] is None else min(e["first_seen"], d["first_seen"])
-        elif op == "add":
-            known[key] = {"id": key, "label": d.get("label") or key, "first_seen": d.get("first_seen"), "last_seen": seen, "attributes": attributes, "evidence": times}
-    return sorted(known.values(), key=lambda e: -(e["last_seen"] or 0.0))[:size]
-
-
-REGISTRY = "thread long, entry_no int, id string, label string, first_seen double, last_seen double, attributes array<string>, evidence array<double>"
+        suffix = "" if op == "add" else "_add"
+        attributes, frames = _strings(d.get(f"attributes{suffix}")), _numbers(d.get(f"evidence_frames{suffix}"))
+        last = _number(d.get("last_seen_t"))
+        if op == "add":
+            last = last or first
+        if entry is None:
+            by_id[key] = {"id": key, "label": d.get("label") or key, "first_seen_t": first, "last_seen_t": last, "attributes": attributes, "evidence_frames": frames}
+            continue
+        entry["attributes"] = sorted({*_strings(entry.get("attributes")), *attributes})
+        entry["evidence_frames"] = sorted({*_numbers(entry.get("evidence_frames")), *frames})
+        if last is not None:
+            entry["last_seen_t"] = max(_number(entry.get("last_seen_t")) or 0.0, last)
+        if op == "add" and first is not None:
+            at = _number(entry.get("first_seen_t"))
+            entry["first_seen_t"] = first if at is None else min(at, first)
+    return sorted(by_id.values(), key=lambda e: -(_number(e.get("last_seen_t")) or 0.0))[:size]
+
+
+REGISTRY = "thread long, entry_no int, id string, label string, first_seen_t double, last_seen_t double, attributes array<string>, evidence_frames array<double>"
 
 
 def registries(deltas: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ No weights are shipped. The stubs are deterministic, so pipelines can be tested.
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -32,22 +35,83 @@ def hashed_vector(text: str, size: int = 64) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-def map_text(df: DataFrame, column: str, out: str, backend: Backend = stub_caption, retries: int = 1) -> DataFrame:
-    """A model call per row in Arrow batches; an empty reply is asked for once more."""
+def stub_pixels(name: str, side: tuple[int, int] = (9, 8)) -> np.ndarray:
+    """Grey levels that stand in for a decoded picture."""
+    seed = int(hashlib.md5(name.encode()).hexdigest()[:8], 16)
+    return np.random.default_rng(seed).integers(0, 256, (side[1], side[0]))
+
+
+def difference_hash(grey: np.ndarray) -> int:
+    """64 bits: whether each of 8 by 9 grey levels is below its right neighbour, the first bit highest; signed."""
+    bits = (grey[:, :-1] < grey[:, 1:]).ravel()
+    value = int("".join("1" if b else "0" for b in bits), 2)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def stub_segments(path: str) -> list[dict]:
+    """Speech of a file: a segment of 0.1 s is among them, as recognizers give."""
+    n = int(hashlib.md5(path.encode()).hexdigest()[:2], 16) % 4 + 1
+    return [{"t_start": 3.0 * i, "t_end": 3.0 * i + 2.5, "text": f"segment {i} of {path}"} for i in range(n)] + [{"t_start": 0.0, "t_end": 0.1, "text": "uh"}]
+
+
+def stub_probe(path: str) -> dict:
+    h = int(hashlib.md5(path.encode()).hexdigest()[:4], 16)
+    if path.endswith(".broken"):
+        raise OSError("moov atom not found")
+    return {"fps": 25.0, "frames": 25 * (h % 600 + 1), "width": 640, "height": 360}
+
+
+def stub_judge(text: str) -> str:
+    same = len(set(text.lower().split())) % 2 == 0
+    return f'{{"correct": {str(same).lower()}, "score": {5 if same else 1}, "justification": "stub"}}'
+
+
+class Retry:
+    """Calls a backend again after temporary failures, after waits that double."""
+
+    def __init__(self, backend: Backend, tries: int = 6, wait: float = 1.0, longest: float = 30.0, sleep: Callable[[float], None] = time.sleep):
+        self.backend, self.tries, self.wait, self.longest, self.sleep = backend, tries, wait, longest, sleep
+
+    def __call__(self, x: str) -> str:
+        for i in range(self.tries):
+            try:
+                return self.backend(x)
+            except (OSError, TimeoutError) as e:
+                if i + 1 == self.tries:
+                    raise
+                self.sleep(min(self.longest, getattr(e, "retry_after", None) or self.wait * 2**i))
+        raise AssertionError
+
+
+def degrade(frames: list, side: int, call: Callable[[list, int], str], times: int = 3) -> str:
+    """Asks with half the frames and three quarters of the side, up to ``times``, while the prompt is too long."""
+    for i in range(times + 1):
+        try:
+            return call(frames, side)
+        except ValueError as e:
+            if "too long" not in str(e) or i == times:
+                raise
+            frames, side = frames[:: 2] if len(frames) > 1 else frames, int(side * 0.75)
+    raise AssertionError
+
+
+def map_text(df: DataFrame, column: str, out: str, backend: Backend = stub_caption, retries: int = 1, group: int = 8) -> DataFrame:
+    """Model calls in groups of ``group`` at once; an empty reply is asked for once more. Nulls stay."""
     ship(df.sparkSession)
 
     @F.pandas_udf("string")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(x):
-            if x is None:
+            if x is None or x != x:
                 return None
             reply = backend(x)
             for _ in range(retries):
                 reply = reply or backend(x)
             return reply
 
-        for s in batches:
-            yield s.map(one, na_action="ignore")
+        with ThreadPoolExecutor(group) as pool:
+            for s in batches:
+                yield pd.Series(list(pool.map(one, s)), index=s.index, dtype=object)
 
     return df.withColumn(out, call(F.col(column)))
 
@@ -58,11 +122,71 @@ def encode_text(df: DataFrame, column: str, out: str, encoder: Callable[[str], l
     @F.pandas_udf("array<double>")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda x: encoder(x or ""))
+            yield pd.Series([encoder("" if x is None or x != x else x) for x in s], index=s.index)
+
+    return df.withColumn(out, call(F.col(column)))
+
+
+#: Encodes pictures as ``encode_text`` does texts: a backend gets their names.
+encode_images = encode_text
+
+
+def picture_hashes(df: DataFrame, column: str, out: str, decode: Callable[[str], np.ndarray] = stub_pixels) -> DataFrame:
+    """Difference hashes of pictures."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("long")
+    def call(s: pd.Series) -> pd.Series:
+        return pd.Series([difference_hash(decode(x)) for x in s], index=s.index, dtype="int64")
 
     return df.withColumn(out, call(F.col(column)))
 
 
+def transcribe(df: DataFrame, column: str, backend: Callable[[str], list[dict]] = stub_segments, least: float = 0.2) -> DataFrame:
+    """A row for every speech segment of ``least`` seconds or more: ``t_start``, ``t_end``, ``text``."""
+    kind = "array<struct<t_start: double, t_end: double, text: string>>"
+    made = map_text(df, column, "_json", lambda x: json.dumps(backend(x)))
+    made = made.withColumn("s", F.explode(F.from_json("_json", kind))).select(*df.columns, "s.*")
+    return made.where(F.col("t_end") - F.col("t_start") >= least)
+
+
+def slide_texts(df: DataFrame, column: str, backend: Callable[[str], list]) -> DataFrame:
+    """Rows whose picture holds text, with ``text``; ``backend`` gives ``[box, text, score]`` rows."""
+    from .functions.parsing import ocr_blocks, ocr_text
+
+    made = map_text(df, column, "_json", lambda x: json.dumps(backend(x)))
+    return made.withColumn("text", ocr_text(ocr_blocks("_json"))).where("text <> ''").drop("_json")
+
+
+def probe(df: DataFrame, column: str, backend: Callable[[str], dict] = stub_probe, repair: Callable[[str], str] | None = None, duration: Callable[[str], float] | None = None) -> DataFrame:
+    """``fps``, ``frames``, ``width``, ``height``, ``duration`` and ``error`` of containers.
+
+    A container that can't be opened is repaired and opened again; where that fails too, its duration alone is asked for.
+    """
+
+    def one(path: str) -> str:
+        try:
+            try:
+                found = backend(path)
+            except OSError:
+                if repair is None:
+                    raise
+                found = backend(repair(path))
+            return json.dumps(found | {"duration": found["frames"] / found["fps"]})
+        except OSError as e:
+            return json.dumps({"duration": duration(path) if duration else None, "error": str(e)})
+
+    made = map_text(df, column, "_json", one, 0)
+    return made.withColumn("p", F.from_json("_json", "fps double, frames long, width int, height int, duration double, error string")).select(*df.columns, "p.*")
+
+
+def judge(df: DataFrame, prompt: str, out: str = "judge", backend: Backend = stub_judge) -> DataFrame:
+    """A judge's verdict ``struct<correct, score, justification, error>`` on every prompt."""
+    from .plans.evaluation import judge_json
+
+    return map_text(df, prompt, "_reply", backend).withColumn(out, judge_json(F.col("_reply"))).drop("_reply")
+
+
 def read_through(rows: DataFrame, cache: DataFrame, key: str, column: str, out: str, backend: Backend) -> DataFrame:
     """Cached replies where known; the backend answers the rest."""
     hits = rows.join(cache.withColumnRenamed("value", out), key)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import markers, mcq, numeric, text
 from lumenframe.operators import intervals, matrix, sampling, search
-from lumenframe.plans import grounding, planner
+from lumenframe.plans import evaluation, grounding, planner
 from lumenframe.sources import files
 from lumenframe.streaming import state
 
@@ -76,7 +76,7 @@ def test_repair():
 
 def test_answer_evaluation(spark):
     df = spark.createDataFrame([("A red bus [FRAME:t=9.9]", ["red"], ["cat"], False, [10.0]), ("A cat [FRAME:t=50]", ["cat"], ["cat"], False, [10.0])], "answer string, required array<string>, forbidden array<string>, requires_uncertainty boolean, frames array<double>")
-    got = grounding.evaluate_answer(df).select("answered", "hallucination_free", "citation_correct", "answer_passed").collect()
+    got = evaluation.evaluate_answer(df).select("answered", "hallucination_free", "citation_correct", "answer_passed").collect()
     assert [tuple(r) for r in got] == [(True, True, True, True), (True, False, False, False)]
 
 
@@ -94,14 +94,16 @@ def test_sufficiency_last_action_wins(spark):
 
 def test_registry_fold():
     deltas = [
-        {"op": "add", "id": "p1", "first_seen": 3.0, "attributes": ["z", "a"], "evidence": [1.04]},
-        {"op": "update", "id": "ghost", "attributes": ["x"]},
-        {"op": "update", "id": "p1", "attributes": ["b"], "last_seen": 9.0},
+        {"op": " Add", "id": "p1", "first_seen_t": 3.0, "attributes": ["z", "a"], "evidence_frames": [1.04, "x"]},
+        {"op": "update", "id": "ghost", "attributes_add": ["x"]},
+        {"op": "update", "id": "p1", "attributes_add": ["b"]},
+        {"op": "update", "id": "p1", "attributes_add": ["b", " "], "last_seen_t": 9.0},
         {"op": "drop", "id": "p1"},
         {"op": "add", "id": " "},
+        "no delta",
     ]
-    assert state.fold_registry(deltas) == [{"id": "p1", "label": "p1", "first_seen": 3.0, "last_seen": 9.0, "attributes": ["a", "b", "z"], "evidence": [1.0]}]
-    many = [{"op": "add", "id": f"p{i}", "first_seen": float(i)} for i in range(20)]
+    assert state.fold_registry(deltas) == [{"id": "p1", "label": "p1", "first_seen_t": 3.0, "last_seen_t": 9.0, "attributes": ["a", "b", "z"], "evidence_frames": [1.0]}]
+    many = [{"op": "add", "id": f"p{i}", "first_seen_t": float(i)} for i in range(20)]
     assert [e["id"] for e in state.fold_registry(many)][:2] == ["p19", "p18"] and len(state.fold_registry(many)) == 15
 
 
