@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import let
 from .text import col, contains_any, contains_tokens, content_tokens, normalize, squeeze, token_hits
 
 # fixed values: the phrases that end a block of candidates, after a blank line
@@ -64,13 +65,11 @@ def option_of(label, opts) -> Column:
 def option_scores(text, opts) -> Column:
     """``array<struct<label, hits, supported>>``: content tokens of each option, repeats included, found in the text."""
 
-    def one(o):
-        tokens = content_tokens(o["text"])
-        hits = F.size(F.filter(tokens, lambda t: F.contains(normalize(text), t)))
-        need = F.least(F.lit(2), F.greatest(F.lit(1), F.size(tokens)))
-        return F.struct(o["label"].alias("label"), hits.alias("hits"), (hits >= need).alias("supported"))
+    def row(o, n, hits):
+        return F.struct(o["label"].alias("label"), hits.alias("hits"), (hits >= F.least(F.lit(2), F.greatest(F.lit(1), n))).alias("supported"))
 
-    return F.transform(col(opts), one)
+    one = lambda low, o: let(content_tokens(o["text"]), lambda tokens: let(token_hits(low, tokens), lambda hits: row(o, F.size(tokens), hits)))
+    return let(normalize(text), lambda low: F.transform(col(opts), lambda o: one(low, o)))
 
 
 def temporal_option(opts, order) -> Column:

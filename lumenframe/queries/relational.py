@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import KEYWORD_STOPWORDS
 from ..operators import merge
 from .registry import query, read
 
@@ -47,11 +48,20 @@ def recent_sessions(spark, sf):
     return o.orderBy(F.col("o_orderdate").desc(), F.col("o_totalprice").desc(), "o_orderkey").limit(50).select("o_custkey", "o_orderkey")
 
 
-@query("dataset_convert", """SELECT 'bench-' || item_id AS case_id, trim(text) AS question, CASE WHEN item_id % 3 = 0 THEN 'temporal_order' ELSE 'general' END AS question_type, item_id * 1.0::DOUBLE AS gold_start, item_id * 1.0::DOUBLE + 1.5 AS gold_end, (item_id * 2.0 + 1.5) / 2 AS gold_t FROM benchmark WHERE trim(text) <> ''""")
+@query("dataset_convert", f"""WITH b AS (SELECT *, 'v' || item_id % 7 AS v FROM benchmark WHERE text <> '' AND item_id % 5 > 0),
+w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_'']+'), lambda x: length(x) >= 3 AND x NOT IN ({", ".join(f"'{x}'" for x in KEYWORD_STOPWORDS)})) AS w FROM b)
+SELECT 'interval-' || v || '-' || item_id AS case_id, trim(text) || chr(10) || chr(10) || 'Candidates:' || chr(10) || 'A) ' || text || chr(10) || 'C) no' || chr(10) || chr(10) || 'Answer the question and reference key frames with [FRAME:t=...] markers.' AS question, text AS reference_answer,
+ list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 5) AS required_keywords, CASE WHEN item_id % 2 = 0 THEN item_id + 1.0 END::DOUBLE AS gold, CASE WHEN item_id % 3 = 0 THEN 'build_timeline' END AS expected_action FROM b JOIN w USING (item_id)""")
 def convert(spark, sf):
-    from ..datasets import convert_cases
-
-    return convert_cases(read(spark, sf, "benchmark"))
+    from ..datasets import interval_cases
+
+    i = F.col("item_id")
+    b = read(spark, sf, "benchmark").withColumns({"video_id": F.concat(F.lit("v"), (i % 7).cast("string")), "qid": i.cast("string")})
+    rows = b.select("video_id", "qid", F.when(i % 3 == 0, "TN").otherwise("CH").alias("type"), F.col("text").alias("question"), F.when(i % 5 > 0, F.col("text")).alias("answer"), F.col("text").alias("a0"), F.lit("").alias("a1"), F.lit("no").alias("a2"), F.lit(None).cast("string").alias("a3"), F.lit("").alias("a4"))
+    x = i.cast("double")
+    spans = b.where("item_id % 2 = 0").select("video_id", "qid", F.array(F.array(x + 2, x), F.array(x)).alias("spans"))
+    made = interval_cases(rows, spans)
+    return made.select("case_id", "question", "reference_answer", "required_keywords", F.try_element_at("gold_timestamps", F.lit(1)).alias("gold"), "expected_action")
 
 
 @query("captions_stub", "SELECT doc_id, 'caption ' || left(sha1(text), 8) AS caption FROM documents")
