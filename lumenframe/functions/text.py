@@ -16,7 +16,8 @@ KEYWORD_STOPWORDS = (
 GREETINGS = ("who are you", "what can you do", "你是谁", "你是什么", "你能做什么", "hello", "hi there", "hi!", "hey", "你好", "嗨", "在吗")
 # fixed values: spoken terms and their written form
 TERMS = ((r"(?i)\ba\s*(?:二|2|two)\s*c\b", "A2C"), (r"(?i)\brl\b", "RL"), (r"(?i)\breinforce\b", "REINFORCE"), (r"(?i)\btd\b", "TD"))
-EMOJI = "[\U0001f1e6-\U0001f1ff\U0001f300-\U0001faff✀-➿☀-⛿]+"
+# fixed values: ranges of emoji
+EMOJI = r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}]+"
 
 
 def col(c) -> Column:
