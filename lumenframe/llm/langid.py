@@ -42,7 +42,12 @@ BATCH_BYTES = 4 << 20
 DOCS_PER_LANG = 400
 EXCERPTS = 6
 EXCERPT_CHARS = 48
-_LETTER = re.compile(r"[^\W\d_]").search
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; fractions and superscript digits, which the pattern takes too, are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -228,7 +233,7 @@ def train(
         per[r["l"]] += 1
         for k in range(excerpts):
             raw = r[f"e{k}"].encode("utf-8", "replace")
-            if len(raw) >= 8 and _LETTER(r[f"e{k}"]):
+            if len(raw) >= 8 and has_letter(r[f"e{k}"]):
                 windows.append((raw * (half // len(raw) + 1))[:half])
                 y.append(langs.index(r["l"]))
     if not windows:
@@ -258,7 +263,7 @@ def predict(docs: DataFrame, model: ByteGRU | None, text_col: str = "text", lang
                 part = b.slice(lo, hi - lo)
                 texts = part.column(at).to_pylist()
                 lang, score = [UND] * len(texts), [0.0] * len(texts)
-                live = [i for i, t in enumerate(texts) if t and _LETTER(t)] if model else []
+                live = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
                 if live:
                     p = model.documents([texts[i].encode("utf-8", "replace") for i in live])
                     for i, best, s in zip(live, p.argmax(1), p.max(1), strict=True):
