@@ -143,7 +143,8 @@ WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 l AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 h AS (SELECT host, string_split(host, '.') AS p FROM (SELECT DISTINCT host FROM u)),
-names AS (SELECT host, array_to_string(p[-2:], '.') AS domain, p[-1] AS suffix FROM h),
+w AS (SELECT host, p, array_to_string(p[-2:], '.') IN {TWO_LABEL_SUFFIXES} AS wide FROM h),
+names AS (SELECT host, array_to_string(CASE WHEN wide THEN p[-3:] ELSE p[-2:] END, '.') AS domain, CASE WHEN wide THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM w),
 r3 AS (SELECT host, count(*) AS n, sum(bad) AS k FROM u JOIN l ON page_id = doc_id GROUP BY host),
 r2 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM r3 JOIN names USING (host) GROUP BY domain, suffix),
 r1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM r2 GROUP BY suffix),
