@@ -8,8 +8,8 @@ variants calibrates the probabilities. Below ``LEAST_PROBABILITY`` the family is
 ``unknown``. A prediction is confirmed when the paragraph holds enough of the
 word 3-grams of one of the family's notices.
 
-A paragraph is a line; where neighbouring lines each hold an anchor, as in a notice
-that is wrapped, they are a paragraph together as well. It is reported if it is confirmed and
+A paragraph is a line that holds an anchor; with the neighbouring lines after it that hold an anchor or three
+words of a notice one after another, as in a notice that is wrapped, it is a paragraph as well. It is reported if it is confirmed and
 no line of it is confirmed by itself; its lines are reported otherwise.
 
 Features are grams that hold an anchor: a word of the notices that ordinary
@@ -314,28 +314,36 @@ def trie_pattern(words_: list[str]) -> str:
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def anchored_lines(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """``(rid, id, paragraph, line)``: lines, in lower case, that hold an anchor; ``rid`` numbers rows."""
-    low = F.split(F.translate(F.col(text_col), *LOWER), "\n")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.posexplode(low).alias("paragraph", "line"))
-    return rows.where(F.col("line").rlike(trie_pattern(model.anchors)))
+def notice_lines(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """``(rid, id, paragraph, line, anchored)``: lines, in lower case, that hold an anchor or three words of a notice
+    one after another, of texts with any anchor; ``rid`` numbers rows."""
+    anchor, low = trie_pattern(model.anchors), F.translate(F.col(text_col), *LOWER)
+    three = sorted({g for _, grams_ in model.templates for g in grams_})
+    # numbered before lines are, since one select would number lines
+    rows = docs.where(low.rlike(anchor)).select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), low.alias("low"))
+    rows = rows.select("rid", "id", F.posexplode(F.split("low", "\n")).alias("paragraph", "line"))
+    rows = rows.withColumn("anchored", F.col("line").rlike(anchor))
+    return rows.where(F.col("anchored") | F.regexp_replace("line", "[^a-z0-9]+", " ").rlike(trie_pattern(three)))
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
-    """``(rid, id, paragraph, lines, line)``: every line, and every run of neighbouring lines joined."""
+    """``(rid, id, run, paragraph, lines, line)``: every anchored line, and every run of neighbouring lines, from its first anchored one on, joined."""
     w = W.partitionBy("rid").orderBy("paragraph")
     start = F.when(F.col("paragraph") - F.lag("paragraph").over(w) == 1, 0).otherwise(1)
-    runs = lines.withColumn("run", F.sum(start).over(w)).groupBy("rid", "run").agg(
+    numbered = lines.withColumn("run", F.sum(start).over(w))
+    since = W.partitionBy("rid", "run").orderBy("paragraph").rowsBetween(W.unboundedPreceding, 0)
+    numbered = numbered.withColumn("begun", F.max("anchored").over(since)).where("begun")
+    runs = numbered.groupBy("rid", "run").agg(
         F.first("id").alias("id"), F.min("paragraph").alias("paragraph"), F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(F.struct("paragraph", "line"))).alias("all")
     )
-    joined = runs.where("lines > 1").select("rid", "id", "paragraph", "lines", F.array_join(F.transform("all", lambda x: x["line"]), " ").alias("line"))
-    return lines.select("rid", "id", "paragraph", F.lit(1).cast("long").alias("lines"), "line").unionByName(joined)
+    joined = runs.where("lines > 1").select("rid", "id", "run", "paragraph", "lines", F.array_join(F.transform("all", lambda x: x["line"]), " ").alias("line"))
+    return numbered.where("anchored").select("rid", "id", "run", "paragraph", F.lit(1).cast("long").alias("lines"), "line").unionByName(joined)
 
 
 def scored(found: DataFrame, model: Model) -> DataFrame:
     """Family, calibrated probability and nearest notice of every paragraph of which some family beats the unknown class."""
     tokens = F.regexp_extract_all("line", F.lit("[a-z0-9]+"), 0)
-    key = ["rid", "paragraph", "lines"]
+    key = ["rid", "run", "paragraph", "lines"]
     cut = found.select(*key, "id", tokens.alias("ws")).select(*key, "id", F.explode(F.array_distinct(F.concat(*[gram_column(n) for n in (1, 2, 3)]))).alias("gram"))
     met = written(cut.join(F.broadcast(gram_frame(found.sparkSession, model)), "gram"), "grams")
     sums = [F.sum(F.coalesce(F.col("w")[c], F.lit(0.0))).alias(f"z{c}") for c in range(len(model.classes))]
@@ -356,23 +364,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     its family is ``unknown`` where the calibrated probability is too low.
     """
     model = model or train()
-    lines = written(anchored_lines(docs, model, id_col, text_col), "licence-lines")
+    lines = written(notice_lines(docs, model, id_col, text_col), "licence-lines")
     family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("best") + 1)
     known = F.col("probability") >= LEAST_PROBABILITY
     similarity = F.coalesce(F.col("n.similarity"), F.lit(0.0))
     rows = scored(paragraphs(lines), model).select(
-        "rid", "id", "paragraph", "lines", F.when(known, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"),
+        "rid", "run", "id", "paragraph", "lines", F.when(known, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"),
         (-F.col("n.t")).alias("template"), F.round(similarity, 6).alias("similarity"), (known & (similarity >= LEAST_SIMILARITY)).alias("confirmed"),
     )
-    # runs of a text don't overlap, so a line lies in the last run that starts at or before it
-    w = W.partitionBy("rid").orderBy("paragraph").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    runs = F.collect_list(F.when(F.col("lines") > 1, F.struct("paragraph", "lines", "confirmed"))).over(w)
-    sure = F.collect_list(F.when((F.col("lines") == 1) & F.col("confirmed"), F.col("paragraph"))).over(w)
-    rows = rows.withColumn("_runs", runs).withColumn("_sure", sure)
-    alone = lambda r: ~F.exists("_sure", lambda p: (p >= r["paragraph"]) & (p < r["paragraph"] + r["lines"]))
-    inside = F.exists("_runs", lambda r: r["confirmed"] & alone(r) & (F.col("paragraph") >= r["paragraph"]) & (F.col("paragraph") < r["paragraph"] + r["lines"]))
-    whole = F.col("confirmed") & alone({"paragraph": F.col("paragraph"), "lines": F.col("lines")})
-    return rows.where(F.when(F.col("lines") > 1, whole).otherwise(~inside)).drop("rid", "_runs", "_sure")
+    # a confirmed run stands for its lines, unless one of them is confirmed alone
+    w = W.partitionBy("rid", "run")
+    sure = F.coalesce(F.max((F.col("lines") == 1) & F.col("confirmed")).over(w), F.lit(False))
+    whole = F.coalesce(F.max((F.col("lines") > 1) & F.col("confirmed")).over(w), F.lit(False))
+    rows = rows.withColumn("_whole", whole & ~sure)
+    return rows.where(F.when(F.col("lines") > 1, F.col("_whole")).otherwise(~F.col("_whole"))).drop("rid", "run", "_whole")
 
 
 def op1_licenses(spark, sf_dir) -> DataFrame:
