@@ -2,9 +2,10 @@
 
 Elements whose subtree recurs across many pages of a host are template. Subtrees
 of the whole page are hashed bottom-up (tag, text, children); Spark counts, for
-every host, the pages that hold each hash; those seen on ``MIN_PAGES`` pages or more,
-and on ``MIN_SHARE`` of the host's pages or ``ENOUGH_PAGES`` pages whatever its size, are
-deleted before the article is looked for.
+every host, the distinct pages that hold each hash, so a page that is stored many times or
+under many urls votes once. Those on ``MIN_PAGES`` distinct pages or more, whatever the
+host's size, are deleted before the article is looked for. A subtree that holds an article
+or more than half of the text is looked into instead, and a page that would be left empty keeps its text.
 
 The article is every outermost ``<article>``, else ``<main>`` (or an element
 marked as such), else the body. What the counts can't know, menus and notices that
@@ -37,14 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, spread_join, table, written
 
+#: So many distinct pages make a template on any host.
 MIN_PAGES = 5
-MIN_SHARE = 0.1
-#: So many pages make a template on any host: the share must not raise the bar as the host grows.
-ENOUGH_PAGES = 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math xmp noembed noframes".split())
-DROP = RAW | frozenset("head nav footer aside form button select option dialog menu canvas object audio video datalist fieldset label".split())
+DROP = RAW | frozenset("head nav footer aside form button select option dialog menu canvas object audio video datalist fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -66,6 +65,9 @@ BESIDE = frozenset(
     "large layer left link links list main mobile module new on outer page panel policy post posts primary right row secondary section shell side site slot small stack sticky strip "
     "tab tabs thread title tools top unit view wrap wrapper zone".split()
 )
+#: Words that mark a notice or advert in the name of a paragraph or an inline element, where all words are such.
+NOTICE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup newsletter".split())
+COMMENT = frozenset("comment comments disqus respond replies reply".split())
 MAIN_WORDS = frozenset("article post entry content story".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
@@ -151,12 +153,32 @@ def parse(source: str) -> Node:
     return root
 
 
+def words_of(name: str) -> list[str]:
+    return _WORD.findall(_CAMEL.sub(r"\1 \2", name).lower())
+
+
 def names_chrome(name: str) -> bool:
     """Whether every word of a class name or id is chrome's, or may stand beside such a word; ``search-term`` is not."""
-    words = _WORD.findall(_CAMEL.sub(r"\1 \2", name).lower())
+    words = words_of(name)
     return any(w in CHROME for w in words) and all(w in CHROME or w in BESIDE or w.isdigit() for w in words)
 
 
+def names_header(name: str) -> bool:
+    """A page's header by name; that of a post is content."""
+    words = words_of(name)
+    return "header" in words and all(w in BESIDE or w.isdigit() for w in words) and not MAIN_WORDS & set(words) and not {"section", "title", "post"} & set(words)
+
+
+def names_notice(name: str) -> bool:
+    words = words_of(name)
+    return bool(words) and all(w in NOTICE for w in words)
+
+
+def names_comment(name: str) -> bool:
+    words = words_of(name)
+    return bool(COMMENT & set(words)) and all(w in CHROME or w in BESIDE or w in COMMENT or w == "body" or w.isdigit() for w in words)
+
+
 def is_chrome(node: Node, inside: bool) -> bool:
     """``inside``: within an article or main element, whose text leaves are content whatever they are called."""
     if node.tag in DROP or node.tag == "header" and not inside:
@@ -168,12 +190,33 @@ def is_chrome(node: Node, inside: bool) -> bool:
         return True
     if "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    if node.tag in ("html", "body") or inside and (node.tag in LEAF or node.tag not in BLOCK):
+    if node.tag in ("html", "body"):
         return False
     names = [*a.get("class", "").split(), a.get("id", "")]
     if node.tag in ("article", "main"):  # an article may be a reader's comment
-        return any(n.lower() in ("comment", "comments") for n in names)
-    return any(names_chrome(n) for n in names)
+        return any(names_comment(n) for n in names)
+    if inside and (node.tag in LEAF or node.tag not in BLOCK):
+        return any(names_notice(n) for n in names)
+    return any(names_chrome(n) or not inside and names_header(n) for n in names)
+
+
+def is_marked(node: Node) -> bool:
+    if node.tag in ("article", "main"):
+        return True
+    a = node.attributes() if node.attrs else {}
+    return a.get("role") == "main" or a.get("itemprop") == "articleBody"
+
+
+def holds_marked(node: Node) -> bool:
+    """Whether an article or main element lies within."""
+    todo = [node]
+    while todo:
+        for k in todo.pop().kids:
+            if not isinstance(k, str):
+                if is_marked(k):
+                    return True
+                todo.append(k)
+    return False
 
 
 def roots(tree: Node, template: frozenset[int] | set[int] = frozenset()) -> tuple[list[Node], bool]:
@@ -184,7 +227,7 @@ def roots(tree: Node, template: frozenset[int] | set[int] = frozenset()) -> tupl
         for k in node.kids:
             if isinstance(k, str) or is_chrome(k, False):
                 continue
-            if template and k.tag in BLOCK and k.hash in template and k.tag not in WHOLE:
+            if template and k.tag in BLOCK and k.hash in template and k.tag not in WHOLE and not holds_marked(k):
                 continue
             a = k.attributes() if k.attrs else {}
             if k.tag == "article":
@@ -222,15 +265,8 @@ def subtree_hash(node: Node) -> int:
     return node.hash
 
 
-def is_marked(node: Node) -> bool:
-    if node.tag in ("article", "main"):
-        return True
-    a = node.attributes() if node.attrs else {}
-    return a.get("role") == "main" or a.get("itemprop") == "articleBody"
-
-
-def template_candidates(source: str | None) -> set[int]:
-    """Hashes of the subtrees of a whole page that may be template."""
+def template_candidates(source: str | None) -> tuple[int, set[int]]:
+    """A page's own hash, and those of its subtrees that may be template."""
     found: set[int] = set()
     tree = parse(source or "")
     subtree_hash(tree)
@@ -244,15 +280,11 @@ def template_candidates(source: str | None) -> set[int]:
             walk(k, inside or is_marked(k))
 
     walk(tree, False)
-    return found
+    return tree.hash, found
 
 
-def main_text(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the article in page order, one a line."""
-    tree = parse(source or "")
-    if template:
-        subtree_hash(tree)
-    content, marked = roots(tree, template)
+def blocks_of(content: list[Node], marked: bool, goes) -> list[str]:
+    """Texts of the blocks of elements in page order; ``goes`` tells which template subtrees do."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -270,73 +302,77 @@ def main_text(source: str | None, template: frozenset[int] | set[int] = frozense
                 line.append(" ")
             elif not is_chrome(k, marked):
                 block = k.tag in BLOCK
-                if template and block and k.hash in template and k.tag not in WHOLE and not (marked and k.tag in LEAF):
-                    flush()
-                    continue
                 if block:
                     flush()
+                    if goes(k):
+                        continue
                 walk(k)
                 if block:
                     flush()
-            elif k.tag in BLOCK or k.tag in DROP:
-                flush() if k.tag in BLOCK else line.append(" ")
+            elif k.tag in BLOCK:
+                flush()
 
     for r in content:
         walk(r)
         flush()
-    return "\n".join(blocks)
+    return blocks
+
+
+def main_text(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks of the article in page order, one a line."""
+    tree = parse(source or "")
+    if not template:
+        return "\n".join(blocks_of(*roots(tree, template), lambda k: False))
+    subtree_hash(tree)
+    content, marked = roots(tree, template)
+    whole = blocks_of(content, marked, lambda k: False)
+    size = sum(map(len, whole))
+
+    def goes(k: Node) -> bool:
+        if k.hash not in template or k.tag in WHOLE or marked and k.tag in LEAF:
+            return False
+        return 2 * sum(map(len, blocks_of([k], marked, lambda _: False))) <= size
+
+    return "\n".join(blocks_of(content, marked, goes) or whole)
 
 
 def host_of(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
-def recurring(
-    pages: DataFrame,
-    min_pages: int = MIN_PAGES,
-    min_share: float = MIN_SHARE,
-    id_col: str = "page_id",
-    url_col: str = "url",
-    html_col: str = "html",
-    enough_pages: int = ENOUGH_PAGES,
-) -> DataFrame:
+def recurring(pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, hashes)``: for every page that has any, its template subtrees."""
 
     def run(batches):
         for b in batches:
-            ids, hosts, hashes = [], [], []
+            ids, hosts, whole, hashes = [], [], [], []
             for i, host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                for h in sorted(template_candidates(source.as_py())):
+                page, found = template_candidates(source.as_py())
+                for h in sorted(found):
                     ids.append(i)
                     hosts.append(host)
+                    whole.append(page)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["id", "host", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(hashes, pa.int64())], names=["id", "host", "page", "hash"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col))
-    pairs = written(map_arrow(rows, run, "id long, host string, hash long"), "subtrees")
-    sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
-    counts = pairs.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= min_pages)
-    common = spread_join(counts, sizes.withColumnRenamed("n", "pages"), ["host"], "hash", sizes).where(F.col("seen") >= F.least(F.col("pages") * min_share, F.lit(enough_pages)))
-    common = written(common.select("host", "hash", F.col("seen").alias("n")), "common")
+    pairs = written(map_arrow(rows, run, "id long, host string, page long, hash long"), "subtrees")
+    # equal pages of a host vote once; what moves is one row a task for each of their subtrees
+    votes = pairs.select("host", "page", "hash").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= min_pages).select("host", "hash")
     named = pairs.where("id is not null")
+    rows = named.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    common = written(votes.join(rows, ["host", "hash"]), "common")
     return spread_join(named, common.select("host", "hash"), ["host", "hash"], None, common).groupBy("id").agg(F.collect_set("hash").alias("hashes"))
 
 
-def extract(
-    pages: DataFrame,
-    min_pages: int = MIN_PAGES,
-    min_share: float = MIN_SHARE,
-    id_col: str = "page_id",
-    url_col: str = "url",
-    html_col: str = "html",
-    enough_pages: int = ENOUGH_PAGES,
-) -> DataFrame:
-    """``(id, url, text, n_chars)`` for every page."""
-    template = written(recurring(pages, min_pages, min_share, id_col, url_col, html_col, enough_pages), "template")
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``(id, url, text, n_chars)`` for every page of a table read from files."""
+    template = written(recurring(pages, min_pages, id_col, url_col, html_col), "template")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    # the same plan at every size; the narrow side is hashed, so pages aren't sorted, and pages without id stay where they are
-    named = rows.where("id is not null").join(template.hint("shuffle_hash"), "id", "left")
-    rows = named.unionByName(rows.where("id is null").withColumn("hashes", F.lit(None).cast("array<long>")))
+    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    # the same plan at every size: the narrow side is hashed, so pages aren't sorted, an id of very many rows is dealt over tasks, and pages without id stay where they are
+    named = spread_join(rows.where("id is not null"), template, ["id"], None, counts, "shuffle_hash", "left")
+    rows = named.select("id", "url", "html", "hashes").unionByName(rows.where("id is null").withColumn("hashes", F.lit(None).cast("array<long>")))
 
     def run(batches):
         for b in batches:
