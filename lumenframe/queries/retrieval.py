@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import even_indices
 from ..operators import search
+from ..operators.textindex import TextIndex
+from ..runtime import scratch
 from .registry import query, read, read_even
 
 TERMS = ["the", "ertion", "onble"]
@@ -104,3 +106,55 @@ def evenly_spaced(spark, sf):
 def scene_quota(spark, sf):
     rows = [(k, r, search.scene_quota(k, r)) for k, r in ((12, True), (12, False), (1, True), (4, True))]
     return spark.createDataFrame(rows, "k int, ranged boolean, quota int")
+
+
+_WORDS = f"regexp_extract_all(translate(lower(text), '{search.ACCENTED}', '{search.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+#: Documents of every source but one, which was written again with every third of its documents.
+_LIVE = "SELECT doc_id, source, text FROM documents WHERE source IS NOT NULL AND (source <> 'src3' OR doc_id % 3 = 0)"
+
+
+def document_index(spark, sf):
+    """All documents, an owner a source; one source is then replaced by a third of its documents."""
+    docs = read_even(spark, sf, "documents").where("source is not null").select(F.col("source").alias("video"), F.lit("transcript").alias("kind"), F.col("doc_id").alias("doc"), "text")
+    index = TextIndex(spark, scratch(spark, "text-index"))
+    index.write(docs)
+    index.write(docs.where("video = 'src3' and doc % 3 = 0"))
+    return index
+
+
+@query(
+    "text_index_bm25",
+    f"""WITH t AS (SELECT doc_id, {_WORDS} AS tk FROM ({_LIVE})),
+r AS (SELECT doc_id, len(tk) AS dl, len(list_filter(tk, lambda x: x = 'the')) AS f0, len(list_filter(range(1, len(tk)), lambda i: tk[i] = 'of' AND tk[i + 1] = 'the')) AS f1, len(list_filter(tk, lambda x: x = 'une')) AS f2 FROM t),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1, count(*) FILTER (f2 > 0) AS n2 FROM r),
+b AS (SELECT doc_id, {" + ".join(f"greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(3))} AS bm25 FROM r, s WHERE f0 > 0 OR f1 > 0 OR f2 > 0)
+SELECT doc_id, round(bm25, 6) AS score FROM b ORDER BY bm25 DESC, doc_id LIMIT 50""",
+)
+def text_index_bm25(spark, sf):
+    return document_index(spark, sf).search("The of-the une", 50).select(F.col("doc").alias("doc_id"), F.round("bm25", 6).alias("score"))
+
+
+_QUESTIONS = """q AS (SELECT conv_id, 'src' || conv_id % 20 AS source, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id)"""
+
+
+@query(
+    "batched_text_retrieval",
+    f"""WITH {_QUESTIONS},
+p AS (SELECT conv_id, source, unnest(list_distinct(list_filter(list_transform(list_filter(regexp_split_to_array(translate(lower(question), '{search.ACCENTED}', '{search.PLAIN}'), '\\s+'), lambda x: x <> '')[1:12],
+  lambda x: regexp_extract_all(replace(x, '"', ''), '[\\p{{L}}\\p{{N}}]+')), lambda w: len(w) > 0))) AS ph FROM q),
+t AS (SELECT doc_id, source, {_WORDS} AS tk FROM ({_LIVE})), st AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM t),
+w AS (SELECT doc_id, source, len(tk) AS dl, tk, unnest(tk) AS w, unnest(range(1, len(tk) + 1)) AS i FROM t),
+f AS (SELECT ph, doc_id, source, dl, count(*) AS f FROM (SELECT DISTINCT ph FROM p) JOIN w ON w.w = ph[1] AND tk[i:i + len(ph) - 1] = ph GROUP BY ALL),
+c AS (SELECT ph, count(*) AS nt FROM f GROUP BY ph),
+s AS (SELECT conv_id, doc_id, sum(greatest(ln((n - nt + 0.5) / (nt + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM p JOIN c USING (ph) JOIN f USING (ph, source), st GROUP BY conv_id, doc_id)
+SELECT conv_id, doc_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY bm25 DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 5""",
+)
+def batched_text_retrieval(spark, sf):
+    found = document_index(spark, sf).search_many(questions(spark, sf), 5, "conv_id")
+    return found.select("conv_id", F.col("doc").alias("doc_id"), F.round("bm25", 6).alias("score"), "rank")
+
+
+def questions(spark, sf):
+    """Every conversation's last question, about the video of one source."""
+    c = read(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
+    return c.withColumn("video", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")))
