@@ -125,3 +125,38 @@ def two_stage(scenes: DataFrame, frames: DataFrame, query: list[float], n: int,
     both = first.unionByName(rest)
     once = both.withColumn("r", F.row_number().over(W.partitionBy("ts").orderBy("tier", "rank"))).where("r = 1")
     return once.orderBy("tier", "rank").limit(k).select("ts", "score", "tier")
+
+
+def rrf_many(lists: list[DataFrame], by: str, keys: list[str], k: int, c: int = 60) -> DataFrame:
+    """Fusion for many questions: ``(by, keys, rrf, rank)``, the best ``k`` a question, from lists with ``by``, ``keys`` and ``rank``.
+
+    Ties keep first-seen order, as in ``rrf``.
+    """
+    both = lists[0].select(by, *keys, "rank").withColumn("src", F.lit(0))
+    for i, d in enumerate(lists[1:], 1):
+        both = both.unionByName(d.select(by, *keys, "rank").withColumn("src", F.lit(i)))
+    fused = both.groupBy(by, *keys).agg(F.sum(1.0 / (c + F.col("rank"))).alias("rrf"), F.min(F.struct("src", "rank")).alias("seen"))
+    rank = F.row_number().over(W.partitionBy(by).orderBy(F.col("rrf").desc(), "seen", *keys))
+    return fused.withColumn("rank", rank).where(F.col("rank") <= k).drop("seen")
+
+
+def two_stage_many(questions: DataFrame, scenes: DataFrame, frames: DataFrame, by: str = "question_id", owner: str = "video", query: str = "query") -> tuple[DataFrame, DataFrame]:
+    """``two_stage`` for a table of questions: ``(by, start, end, score, rank)`` of their scenes, ``(by, ts, score, tier, rank)`` of their frames.
+
+    ``questions`` has ``by``, ``owner``, ``query``, and ``n_scenes`` and ``n_frames``, how many each gets. A question
+    meets the scenes and frames of its owner; group limits cut each list before it moves on.
+    """
+    from .intervals import points_in_intervals
+
+    asked = questions.select(by, owner, F.col(query).alias("_q"), "n_scenes", "n_frames")
+    order = lambda *tie: F.row_number().over(W.partitionBy(by).orderBy(F.col("score").desc(), *tie))
+    near = asked.join(scenes.select(owner, "start", "end", F.col("embedding").alias("_v")), owner).withColumn("score", cosine("_v", "_q"))
+    gates = near.withColumn("rank", order("start", "end")).where("rank <= n_scenes").select(by, "start", "end", "score", "rank")
+    scored = asked.join(frames.select(owner, "ts", F.col("embedding").alias("_v")), owner).select(by, "n_frames", "ts", cosine("_v", "_q").alias("score"))
+    gated = points_in_intervals(scored, gates.select(by, "start", "end"), by, how="left_semi")
+    quota = F.greatest(F.lit(1), F.floor(F.col("n_frames") * 2 / 3))
+    first = gated.withColumn("rank", order("ts")).where(F.col("rank") <= quota).withColumn("tier", F.lit(0))
+    rest = scored.groupBy(by, "n_frames", "ts").agg(F.max("score").alias("score")).withColumn("rank", order("ts")).where(F.col("rank") <= 3 * F.col("n_frames")).withColumn("tier", F.lit(1))
+    both = first.unionByName(rest).withColumn("r", F.row_number().over(W.partitionBy(by, "ts").orderBy("tier", "rank"))).where("r = 1")
+    last = F.row_number().over(W.partitionBy(by).orderBy("tier", "rank"))
+    return gates, both.withColumn("place", last).where("place <= n_frames").select(by, "ts", "score", "tier", F.col("place").alias("rank"))

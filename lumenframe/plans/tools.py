@@ -1,17 +1,20 @@
 """Tools of the question-answering agent as transformations of session rows.
 
 A state row holds ``STATE``; every tool returns the rows with its columns renewed, so
-many sessions take a step in one pass. Retrieval tools take their hits as columns
-(made by ``operators.search``) and merge them; what a model would say comes in as a
-column as well (``lumenframe.udf``).
+many sessions take a step in one pass. ``search_*`` tools search an index or the video's
+tables for all rows at once and merge their hits; ``retrieve_*`` merge hits that are columns
+already. What a model would say comes in as a column as well (``lumenframe.udf``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import mcq
+from ..operators import search
+from ..operators.textindex import TextIndex
 from . import evidence as ev
 from . import grounding, planner
 from .predicates import has_temporal_candidates, is_audiovisual_question, is_negative_question, needs_slide
@@ -71,6 +74,58 @@ def retrieve_texts(rows: DataFrame, kind: str, hits: str) -> DataFrame:
     return rows.withColumn(kind, ev.merge_texts(kind, hits))
 
 
+def text_hits(rows: DataFrame, by: str, index: TextIndex, chunks: DataFrame, kind: str, k: int, dense: DataFrame | None = None, query: Column | None = None) -> DataFrame:
+    """Rows with ``hits``: the best ``k`` chunks of the session's video for its question, as ``evidence.TEXT``.
+
+    ``chunks`` has the index's owner columns and ``doc``, ``t_start``, ``t_end`` and ``text``. ``dense``, where given, is a second
+    ranked list ``(by, doc, rank)``, such as ``VectorIndex.search_many`` makes; both are fused by reciprocal rank.
+    One search serves all rows; what comes back are at most ``k`` rows a session.
+    """
+    asked = rows.select(F.col(by).alias("_by"), "video", F.lit(kind).alias("kind"), (query if query is not None else F.col("question")).alias("question"))
+    found = index.search_many(asked, k if dense is None else 2 * k, "_by").select("_by", "doc", "rank")
+    if dense is not None:
+        found = search.rrf_many([found, dense.select(F.col(by).alias("_by"), "doc", "rank")], "_by", ["doc"], k)
+    found = found.join(asked.select("_by", "video", "kind"), "_by").join(chunks, ["video", "kind", "doc"])
+    item = F.struct("kind", F.col("t_start").cast("double").alias("t_start"), F.col("t_end").cast("double").alias("t_end"), "text", (1.0 / (60 + F.col("rank"))).alias("score"))
+    packed = found.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("h"))))["h"].alias("hits"))
+    return rows.join(packed.withColumnRenamed("_by", by), by, "left").withColumn("hits", ev.either("hits", ev.TEXT))
+
+
+def search_texts(rows: DataFrame, by: str, index: TextIndex, chunks: DataFrame, kind: str, k: int = 8, dense: DataFrame | None = None) -> DataFrame:
+    """Searches transcripts or slides for every session and merges what it finds."""
+    found = text_hits(rows, by, index, chunks, kind, k, dense)
+    return retrieve_texts(found, "transcripts" if kind == "transcript" else "slides", "hits").drop("hits")
+
+
+def search_keyword(rows: DataFrame, by: str, keyword: str, chunks: DataFrame, k: int = 8) -> DataFrame:
+    """The first ``k`` transcripts of every session's video that hold the keyword in the column ``keyword``, merged."""
+    word = F.lower(F.trim(keyword))
+    met = rows.select(F.col(by).alias("_by"), "video", word.alias("_w")).where("_w <> ''").join(chunks.where("kind = 'transcript'"), "video").where(F.contains(F.lower("text"), F.col("_w")))
+    first = met.withColumn("rank", F.row_number().over(W.partitionBy("_by").orderBy("doc"))).where(F.col("rank") <= k)
+    item = F.struct("kind", F.col("t_start").cast("double").alias("t_start"), F.col("t_end").cast("double").alias("t_end"), "text", F.lit(1.0).alias("score"))
+    packed = first.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("h"))))["h"].alias("_hits"))
+    found = rows.join(packed.withColumnRenamed("_by", by), by, "left")
+    return retrieve_texts(found, "transcripts", "_hits").drop("_hits")
+
+
+def search_video(rows: DataFrame, by: str, scenes: DataFrame, frames: DataFrame, query: str = "query", hypothesis: str | None = None) -> DataFrame:
+    """Two-stage search for every session: plans how much to take, finds scenes and frames of its video, merges both.
+
+    ``query`` names the vector of the question, or of question and ``hypothesis`` where that column is given.
+    """
+    rows = plan(rows)
+    gates, hits = search.two_stage_many(rows.select(F.col(by).alias("_by"), "video", query, "n_scenes", "n_frames"), scenes, frames, "_by", query=query)
+    caption = F.col("caption") if "caption" in scenes.columns else F.lit(None).cast("string")
+    named = gates.join(rows.select(F.col(by).alias("_by"), "video"), "_by").join(scenes.select("video", "start", "end", caption.alias("caption")), ["video", "start", "end"])
+    scene = F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "caption")
+    s = named.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("rank", scene.alias("h"))))["h"].alias("_scenes"))
+    f = hits.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("ts").alias("h"))))["h"].alias("_frames"))
+    found = rows.join(s.withColumnRenamed("_by", by), by, "left").join(f.withColumnRenamed("_by", by), by, "left")
+    found = found.withColumn("_frames", F.coalesce("_frames", F.array().cast("array<double>")))
+    merged = retrieve_video(found, "_frames", "_scenes") if hypothesis is None else retrieve_hypothesis(found, "_frames", "_scenes", hypothesis)
+    return merged.drop("_frames", "_scenes")
+
+
 def align_audiovisual(rows: DataFrame, t: str, frames: str, transcripts: str, slides: str, radius: float = 4.0) -> DataFrame:
     """Merges frames, transcripts and slides around a time, and renews the matrix."""
     lo, hi = F.greatest(F.col(t) - radius, F.lit(0.0)), F.col(t) + radius
@@ -188,7 +243,7 @@ def answer_prompt(rows: DataFrame) -> Column:
 
 
 TOOLS = {
-    "retrieve_video_evidence": retrieve_video, "retrieve_transcript_evidence": retrieve_texts, "search_transcript_keyword": retrieve_texts, "retrieve_slide_evidence": retrieve_texts,
-    "align_audiovisual_evidence": align_audiovisual, "build_timeline": build_timeline, "retrieve_hypothesis_evidence": retrieve_hypothesis, "segment_focus": segment_focus,
+    "retrieve_video_evidence": search_video, "retrieve_transcript_evidence": search_texts, "search_transcript_keyword": search_keyword, "retrieve_slide_evidence": search_texts,
+    "align_audiovisual_evidence": align_audiovisual, "build_timeline": build_timeline, "retrieve_hypothesis_evidence": search_video, "segment_focus": segment_focus,
     "expand_temporal_evidence": expand_temporal, "stitched_verify": stitched_verify, "assess_evidence_sufficiency": assess, "answer_with_evidence": answer, "verify_grounding": ground,
 }

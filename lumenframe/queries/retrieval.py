@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import even_indices
 from ..operators import search
 from ..operators.textindex import TextIndex
+from ..operators.vectorindex import VectorIndex
+from ..plans import tools
 from ..runtime import scratch
 from .registry import query, read, read_even
 
@@ -158,3 +160,39 @@ def questions(spark, sf):
     """Every conversation's last question, about the video of one source."""
     c = read(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
     return c.withColumn("video", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")))
+
+
+@query(
+    "vector_index_exact",
+    """SELECT q.vec_id AS question, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id)::INT AS rank
+FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 QUALIFY rank <= 10""",
+)
+def vector_index_exact(spark, sf):
+    e = read(spark, sf, "embeddings")
+    index = VectorIndex.build(e, scratch(spark, "vector-index"), 16, "vec_id")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("query"))
+    return index.search_many(asked, 10, "question", "vec_id", probes=None).select("question", "vec_id", "rank")
+
+
+_FRAMES = "SELECT label, vec_id::DOUBLE AS ts, vec_id::DOUBLE AS s, vec_id + 9.0 AS e, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+@query(
+    "session_search",
+    f"""WITH {_QUESTIONS}, fr AS ({_FRAMES}), qv AS (SELECT conv_id, conv_id % 10 AS label, embedding::DOUBLE[] AS qv FROM q JOIN embeddings ON vec_id = conv_id),
+sc AS (SELECT conv_id, s, e, row_number() OVER (PARTITION BY conv_id ORDER BY list_cosine_similarity(v, qv) DESC, s, e) AS rank FROM qv JOIN fr USING (label) QUALIFY rank <= 5),
+f AS (SELECT conv_id, ts, list_cosine_similarity(v, qv) AS score FROM qv JOIN fr USING (label)),
+ga AS (SELECT conv_id, ts, score, 0 AS tier, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, ts) AS rank FROM f WHERE EXISTS (SELECT 1 FROM sc WHERE sc.conv_id = f.conv_id AND ts BETWEEN s AND e) QUALIFY rank <= 8),
+gl AS (SELECT conv_id, ts, score, 1 AS tier, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, ts) AS rank FROM f QUALIFY rank <= 36),
+o AS (SELECT * FROM (SELECT * FROM ga UNION ALL SELECT * FROM gl) QUALIFY row_number() OVER (PARTITION BY conv_id, ts ORDER BY tier, rank) = 1),
+t AS (SELECT conv_id, ts FROM o QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY tier, rank) <= 12)
+SELECT conv_id, list(ts ORDER BY ts) AS frames, (SELECT list(s ORDER BY s) FROM sc WHERE sc.conv_id = t.conv_id) AS scenes FROM t GROUP BY conv_id""",
+)
+def session_search(spark, sf):
+    """The tool's own two-stage search for every conversation that has a vector, in the frames of one label."""
+    e = read(spark, sf, "embeddings").withColumn("video", F.col("label"))
+    frames = e.select("video", F.col("vec_id").cast("double").alias("ts"), "embedding")
+    scenes = e.select("video", F.col("vec_id").cast("double").alias("start"), (F.col("vec_id") + 9.0).alias("end"), "embedding")
+    asked = questions(spark, sf).join(e.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("query")), "conv_id").withColumn("video", (F.col("conv_id") % 10).cast("int"))
+    got = tools.search_video(tools.state(asked), "conv_id", scenes, frames)
+    return got.where(F.size("frames") > 0).select("conv_id", F.transform("frames", lambda f: f["timestamp"]).alias("frames"), F.transform("scenes", lambda s: s["start"]).alias("scenes"))
