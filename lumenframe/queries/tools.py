@@ -8,8 +8,10 @@ from ..functions import parsing
 from ..operators import dialogue as dl
 from ..plans import evidence as ev
 from ..plans import tools
+from ..runtime import scratch
 from ..streaming import chat
-from .registry import query, read
+from ..streaming import sessions as sessions_of
+from .registry import ORACLES, query, read
 
 def sessions(spark, sf):
     """A session a user: events as frames, scenes and texts, in order of their ids."""
@@ -340,3 +342,58 @@ def probe(spark, sf):
     k = F.col("p_partkey")
     rows = read(spark, sf, "part").select("p_partkey", F.concat(k.cast("string"), F.when(k % 5 == 0, ".broken").otherwise(".mp4")).alias("path"))
     return run(rows, "path", repair=lambda p: p.replace(".broken", ".mp4") if int(p.split(".")[0]) % 2 else p, duration=lambda p: 1.0).select("p_partkey", "duration", "error")
+
+
+@query("chat_stream_fold", ORACLES["chat_fold"])
+def chat_stream_fold(spark, sf):
+    """``chat_fold`` as a stream: the same events in four cuts that heed neither sessions nor order."""
+    c = read(spark, sf, "conversations").withColumn("session", F.col("conv_id").cast("string"))
+    word = c.select("session", F.when(F.col("turn") == 0, 0).otherwise(F.col("turn") + 1).alias("pos"), F.lit("token").alias("kind"), F.to_json(F.struct("text")).alias("data"))
+    tool = c.where("turn = 0").select("session", F.lit(1).alias("pos"), F.lit("tool").alias("kind"), F.lit('{"updates": []}').alias("data"))
+    events, path = word.unionByName(tool), scratch(spark, "chat")
+    for k in range(4):
+        events.where(F.pmod(F.xxhash64("session", "pos"), F.lit(4)) == k).coalesce(2).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    sent = sessions_of.run_to_table(sessions_of.fold_stream(stream), scratch(spark, "sent"), scratch(spark, "chat-state"))
+    return sent.groupBy("session").agg(F.count_if(F.col("event") == "token").alias("tokens"), F.sum(F.when(F.col("event") == "token", F.length(F.get_json_object("data", "$.text")))).alias("chars"))
+
+
+@query(
+    "progress_stream",
+    """WITH p AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE event_type END AS stage FROM events WHERE event_id % 10 <> 0),
+s AS (SELECT user_id, event_id AS subscriber, ts AS since FROM events WHERE event_id % 10 = 0),
+l AS (SELECT user_id, subscriber, since, max(p.ts) AS last FROM s LEFT JOIN p USING (user_id) WHERE p.ts <= since OR p.ts IS NULL GROUP BY ALL),
+r AS (SELECT s.*, p.stage, p.event_id FROM s LEFT JOIN l USING (user_id, subscriber, since) LEFT JOIN p ON p.user_id = s.user_id AND p.ts = last),
+e AS (SELECT subscriber, min(p.ts) AS stop FROM s JOIN p USING (user_id) WHERE p.ts > since AND stage IN ('done', 'failed') GROUP BY subscriber),
+o AS (SELECT subscriber, event_id, stage FROM r WHERE stage IS NOT NULL
+ UNION ALL SELECT subscriber, p.event_id, p.stage FROM r JOIN p USING (user_id) LEFT JOIN e USING (subscriber) WHERE p.ts > since AND coalesce(r.stage NOT IN ('done', 'failed'), true) AND (stop IS NULL OR p.ts <= stop))
+SELECT subscriber::VARCHAR AS subscriber, event_id::VARCHAR AS item, stage, CASE stage WHEN 'done' THEN 'done' WHEN 'failed' THEN 'error' ELSE 'stage' END AS event FROM o""",
+)
+def progress_stream(spark, sf):
+    """Events of a user as progress of a video; every tenth is a subscriber. Four cuts by time, then one row that ends the wait."""
+    e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stage = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    rows = e.select(F.col("user_id").cast("string").alias("video"), "ts", stage.alias("stage"), F.col("event_id").cast("string").alias("item"), (F.col("event_id") % 10 == 0).alias("subscribes"))
+    path = scratch(spark, "progress")
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for k in range(4):
+        rows.where(week == k).coalesce(1).write.mode("append").parquet(path)
+    end = rows.limit(1).select(F.lit("").alias("video"), F.expr("timestamp'2200-01-01'").alias("ts"), F.lit("end").alias("stage"), F.lit("").alias("item"), F.lit(False).alias("subscribes"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    feed = sessions_of.feed_stream(stream.where("not subscribes"), stream.where("subscribes").withColumnRenamed("item", "subscriber"), "1 day", 86_400)
+    return sessions_of.run_to_table(feed, scratch(spark, "feed"), scratch(spark, "feed-state")).select("subscriber", "item", "stage", "event")
+
+
+@query(
+    "checkpoint_history",
+    """SELECT user_id AS thread, event_id AS step, last_value(event_type IGNORE NULLS) OVER w AS event_type, last_value(CASE WHEN value > 50 THEN value END IGNORE NULLS) OVER w AS value
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def checkpoint_history(spark, sf):
+    """Updates of all sessions put into a store in two goes; the state after every step."""
+    e = read(spark, sf, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("step"), "event_type", F.when(F.col("value") > 50, F.col("value")).alias("value"))
+    store = sessions_of.CheckpointStore(spark, scratch(spark, "checkpoints"), "event_type", "value")
+    store.put(e.where("step % 2 = 1"))
+    store.put(e.where("step % 2 = 0"))
+    return store.history()
