@@ -84,7 +84,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, n) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            # one text at a time, so a worker holds no second copy of the batch
+            fps = np.array([fingerprint(t.as_py(), n) for t in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)), run, "id long, fp long")
