@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import dialogue, evaluation, relational, retrieval, temporal, texts, tools  # noqa: F401  they register themselves
+from .queries import agents, dialogue, evaluation, relational, retrieval, temporal, texts, tools  # noqa: F401  they register themselves
 from .queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 
 def points_in_intervals(points: DataFrame, spans: DataFrame, key: str, ts: str = "ts", start: str = "start", end: str = "end", bucket: float = 3600.0, how: str = "inner") -> DataFrame:
     """Points joined to the closed intervals of the same key that hold them."""
@@ -34,19 +36,51 @@ def overlapping(spans: DataFrame, key: str, at: DataFrame, radius: float, bucket
     return s.join(a, hit & first).drop("b", "sb", "at_key")
 
 
+def _pick(rows: DataFrame, key: str, gold_t: str) -> DataFrame:
+    """Of rows with the previous time ``p`` and the next time ``n``: the nearer one, the earlier on a tie."""
+    dp, dn = F.abs(F.col("x") - F.col("p")), F.abs(F.col("n") - F.col("x"))
+    pick = F.when(F.col("p").isNull(), F.col("n")).when(F.col("n").isNull() | (dp <= dn), F.col("p")).otherwise(F.col("n"))
+    return rows.select(key, F.col("x").alias(gold_t), pick.alias("nearest_t"), F.abs(F.col("x") - pick).alias("distance"))
+
+
+def _both(gold: DataFrame, found: DataFrame, key: str, gold_t: str, t: str) -> DataFrame:
+    g = gold.select(key, F.col(gold_t).alias("x"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("is_gold"))
+    return g.unionByName(found.select(key, F.col(t).alias("x"), F.col(t).cast("double").alias("v"), F.lit(0).alias("is_gold")))
+
+
 def nearest(gold: DataFrame, found: DataFrame, key: str, gold_t: str = "gold_t", t: str = "t") -> DataFrame:
     """Each gold time with its nearest found time of the same key (the earlier on a tie), null if none.
 
-    A union sorted by time and two running windows: no pair of rows is ever formed.
+    A union sorted by time and two running windows: no pair of rows is ever formed. A key is one task; ``nearest_spread``
+    has no such bound.
     """
-    g = gold.select(key, F.col(gold_t).alias("x"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("is_gold"))
-    f = found.select(key, F.col(t).alias("x"), F.col(t).cast("double").alias("v"), F.lit(0).alias("is_gold"))
     back = W.partitionBy(key).orderBy("x", "is_gold").rowsBetween(W.unboundedPreceding, 0)
     ahead = W.partitionBy(key).orderBy(F.col("x").desc(), "is_gold").rowsBetween(W.unboundedPreceding, 0)
-    both = g.unionByName(f).withColumn("p", F.last("v", True).over(back)).withColumn("n", F.last("v", True).over(ahead)).where("is_gold = 1")
-    dp, dn = F.abs(F.col("x") - F.col("p")), F.abs(F.col("n") - F.col("x"))
-    pick = F.when(F.col("p").isNull(), F.col("n")).when(F.col("n").isNull() | (dp <= dn), F.col("p")).otherwise(F.col("n"))
-    return both.select(key, F.col("x").alias(gold_t), pick.alias("nearest_t"), F.abs(F.col("x") - pick).alias("distance"))
+    both = _both(gold, found, key, gold_t, t).withColumn("p", F.last("v", True).over(back)).withColumn("n", F.last("v", True).over(ahead)).where("is_gold = 1")
+    return _pick(both, key, gold_t)
+
+
+def nearest_spread(gold: DataFrame, found: DataFrame, key: str, gold_t: str = "gold_t", t: str = "t") -> DataFrame:
+    """``nearest`` where a key may hold any number of rows: it is cut by time over tasks, and values are carried across the cuts.
+
+    Rows are range-partitioned by (key, time) and written once. Windows run within a partition; of keys that several partitions
+    hold, the last and the first found time of each partition go to the others. A partition has two such keys
+    at most, so what is broadcast has twice as many rows as there are partitions.
+    """
+    rows = _both(gold, found.select(key, t).distinct(), key, gold_t, t)
+    rows = rows.withColumn("deal", F.when(F.col("is_gold") == 1, F.monotonically_increasing_id()).otherwise(0))
+    order = [F.col(key), F.col("x"), F.col("is_gold"), F.col("deal")]
+    cut = stored(stored(rows, "times").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "cut")
+    back = W.partitionBy("part", key).orderBy("x", "is_gold").rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy("part", key).orderBy(F.col("x").desc(), "is_gold").rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumn("p", F.last("v", True).over(back)).withColumn("n", F.last("v", True).over(ahead)).where("is_gold = 1")
+    ends = cut.groupBy(key, "part").agg(F.min("v").alias("first"), F.max("v").alias("last"))
+    whole = W.partitionBy(key)
+    ends = ends.withColumn("many", F.count(F.lit(1)).over(whole)).where("many > 1")
+    before, after = whole.orderBy("part").rowsBetween(W.unboundedPreceding, -1), whole.orderBy(F.col("part").desc()).rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(key, "part", F.max("last").over(before).alias("p0"), F.min("first").over(after).alias("n0"))
+    full = local.join(F.broadcast(carried), [key, "part"], "left").withColumn("p", F.coalesce("p", "p0")).withColumn("n", F.coalesce("n", "n0"))
+    return _pick(full, key, gold_t)
 
 
 def chunk_windows(segments: DataFrame, key: str, order: str, text: str = "text", window: int = 4, overlap: int = 1) -> DataFrame:
@@ -89,3 +123,31 @@ def change_points(frames: DataFrame, key: str | None, order: str, hash_col: str,
     both = sampled.withColumn("ph", F.lag(hash_col).over(w)).withColumn("pg", F.lag(gray).over(w))
     keep = F.col("ph").isNull() | ((hamming(hash_col, "ph") >= least_hash) & (mean_abs_diff(gray, "pg") >= least_diff))
     return both.where(keep).drop("ph", "pg")
+
+
+def chunk_slides(slides: DataFrame, key: str, order: str) -> DataFrame:
+    """Slides with text as chunks: ``chunk_id`` counts all slides of the key, blank ones too; missing times, ids and sources get defaults.
+
+    Optional columns: ``t_start``, ``t_end``, ``timestamp``, ``source``, ``slide_id``, ``filename``.
+    """
+    have = lambda c, kind: F.col(c).cast(kind) if c in slides.columns else F.lit(None).cast(kind)
+    i = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
+    at = F.coalesce(have("timestamp", "double"), F.lit(0.0))
+    some = lambda c, default: F.when(F.coalesce(have(c, "string"), F.lit("")) == "", default).otherwise(have(c, "string"))
+    rows = slides.withColumn("_i", i).withColumn("text", F.trim(F.coalesce("text", F.lit("")))).where("text <> ''")
+    return rows.select(
+        key, F.format_string("slide_%05d", "_i").alias("chunk_id"), "text", F.coalesce(have("t_start", "double"), at).alias("t_start"), F.coalesce(have("t_end", "double"), at).alias("t_end"),
+        some("source", F.lit("rapidocr")).alias("source"), F.coalesce(have("slide_id", "int"), F.col("_i")).alias("slide_id"), some("filename", F.lit("")).alias("filename"),
+    )
+
+
+def control_group(cases: DataFrame, dense: DataFrame, n: int, key: str = "video_id", t: str = "t") -> DataFrame:
+    """Predictions without retrieval: ``n`` frames of every case at equal steps, ``(case_id, retrieved_timestamps, agent_actions, control_group)``.
+
+    ``cases`` has ``case_id``, ``key`` and ``duration``. The dense frame nearest to each step counts once; cases without frames are left out.
+    """
+    steps = uniform_samples(cases.select(key, "duration").distinct(), n).withColumn("sample_t", F.bround("sample_t", 1))
+    near = nearest(steps, dense, key, "sample_t", t).where("nearest_t is not null")
+    times = near.groupBy(key).agg(F.array_sort(F.collect_set("nearest_t")).alias("retrieved_timestamps"))  # at most n
+    actions = F.array(F.lit("uniform_sample_vqa"))
+    return cases.select("case_id", key).join(times, key).select("case_id", "retrieved_timestamps", actions.alias("agent_actions"), F.lit("no_retrieval").alias("control_group"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numeric import even_indices
+
 
 def first_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
@@ -22,11 +24,52 @@ def merge_frames(df: DataFrame, order: str, by: str | None = None) -> DataFrame:
     return first_per_key(df, ([F.col(by)] if by else []) + [F.bround("ts", 1)], [order])
 
 
-def merge_text(df: DataFrame, order: str, most: int | None = 20) -> DataFrame:
-    """One row per (kind, start, end, first 80 characters), the best score, then the first; the earliest ``most``."""
-    keys = ["kind", F.bround("t_start", 2), F.bround("t_end", 2), F.substring("text", 1, 80)]
+def merge_text(df: DataFrame, order: str, most: int | None = 20, by: str | None = None) -> DataFrame:
+    """One row per (kind, start, end, first 80 characters), the best score, then the first; the earliest ``most``, of each ``by`` if given."""
+    keys = [*([by] if by else []), "kind", F.bround("t_start", 2), F.bround("t_end", 2), F.substring("text", 1, 80)]
     kept = first_per_key(df, keys, [F.col("score").desc(), F.col(order)])
-    return kept if most is None else kept.orderBy("t_start", "t_end", order).limit(most)
+    if most is None or by is None:
+        return kept if most is None else kept.orderBy("t_start", "t_end", order).limit(most)
+    return kept.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy("t_start", "t_end", order))).where(F.col("_r") <= most).drop("_r")
+
+
+def capped_frames(rows: DataFrame, by: str, ts: str, order: str, limit: int, *payload: str) -> DataFrame:
+    """Of each session one frame a tenth of a second, the first seen, evenly thinned to ``limit``: ``(by, at, payload...)`` rows.
+
+    Duplicates combine before they move; what a session keeps is chosen by rank, so no array holds more than the cap.
+    """
+    first = F.min_by(F.struct(*payload), order) if payload else F.min(order)
+    once = rows.where(F.col(ts).isNotNull()).groupBy(by, F.bround(ts, 1).alias("at")).agg(first.alias("_p"))
+    ranked = once.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy("at")) - 1)
+    sizes = once.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    kept = sizes.select(by, F.explode(even_indices("_n", limit)).alias("_i")).distinct()
+    found = ranked.join(kept, [by, "_i"], "left_semi")
+    return found.select(by, "at", *([F.col("_p")[c].alias(c) for c in payload]))
+
+
+def capped_scenes(rows: DataFrame, by: str, start: str, end: str, order: str, *payload: str) -> DataFrame:
+    """Of each session one scene a pair of start and end at two decimals, the first seen, as rows."""
+    good = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    once = good.groupBy(by, F.bround(start, 2), F.bround(end, 2)).agg(F.min_by(F.struct(start, end, *payload), order).alias("_p"))
+    return once.select(by, "_p.*")
+
+
+def capped_texts(rows: DataFrame, by: str, order: str, limit: int | None = 20) -> DataFrame:
+    """Of each session one text a (kind, start, end, first 80 characters), the best score and then the first; the earliest ``limit`` by kind and time, as rows.
+
+    ``rows`` has ``kind``, ``t_start``, ``t_end``, ``text`` and ``score``. Duplicates combine before they move, and a group limit
+    cuts each task's rows before the sessions meet.
+    """
+    good = rows.where((F.coalesce("kind", F.lit("")) != "") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    start = F.bround(F.coalesce("t_start", F.lit(0.0)), 2)
+    good = good.select(by, "kind", start.alias("t_start"), F.bround(F.coalesce("t_end", start), 2).alias("t_end"), "text", F.coalesce("score", F.lit(0.0)).alias("score"), F.col(order).alias("_o"))
+    best = F.max_by(F.struct("text", "score", "_o"), F.struct(F.col("score"), -F.col("_o")))
+    once = good.groupBy(by, "kind", "t_start", "t_end", F.substring(F.trim("text"), 1, 80)).agg(best.alias("_p")).select(by, "kind", "t_start", "t_end", "_p.text", "_p.score", "_p._o")
+    if limit is None:
+        return once.drop("_o")
+    # of equal times the better score comes first, then the one seen first
+    rank = F.row_number().over(W.partitionBy(by).orderBy("kind", "t_start", "t_end", F.col("score").desc(), "_o"))
+    return once.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r", "_o")
 
 
 def timeline(scenes: DataFrame, frames: DataFrame) -> DataFrame:

@@ -50,3 +50,21 @@ def per_group(df: DataFrame, group: str, k: int, *order) -> DataFrame:
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))), id_col).limit(n)
+
+
+def allocate(df: DataFrame, stratum: str, n: int) -> DataFrame:
+    """``(stratum, size, share)`` by largest remainders, in the plan alone: no share is looped over in the driver.
+
+    Every stratum gets the whole part of its quota, one at least and its size at most; places left go to those that have room,
+    the largest remainder first, then by name. With more strata than places each has one, which is more than ``n`` in all.
+    The second ranking is over one row a stratum.
+    """
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
+    everything = W.partitionBy(F.lit(0))
+    quota = F.lit(float(n)) * F.col("size") / F.sum("size").over(everything)
+    base = F.least(F.col("size"), F.greatest(F.lit(1), F.floor("quota")))
+    rows = sizes.withColumn("quota", quota).withColumn("base", base.cast("long"))
+    rows = rows.withColumn("rest", F.greatest(F.lit(0), F.lit(n) - F.sum("base").over(everything)))
+    place = F.row_number().over(everything.orderBy((F.col("base") >= F.col("size")).cast("int"), (F.col("quota") - F.col("base")).desc(), stratum))
+    more = ((F.col("place") <= F.col("rest")) & (F.col("base") < F.col("size"))).cast("long")
+    return rows.withColumn("place", place).select(stratum, "size", (F.col("base") + more).alias("share"))

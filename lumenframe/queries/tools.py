@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..operators import dialogue as dl
+from ..operators import merge
+from ..operators.sampling import per_group
 from ..plans import evidence as ev
 from ..plans import tools
 from ..runtime import scratch
@@ -13,19 +15,28 @@ from ..streaming import chat
 from ..streaming import sessions as sessions_of
 from .registry import ORACLES, query, read
 
-def sessions(spark, sf):
-    """A session a user: events as frames, scenes and texts, in order of their ids."""
-    e = read(spark, sf, "events")
-    i, v, kind = F.col("event_id"), F.col("value").cast("double"), F.col("event_type")
-    none = F.lit(None).cast("string")
-    item = F.struct(
-        i.alias("i"), F.struct(v.alias("timestamp"), kind.alias("source"), none.alias("hypothesis")).alias("frame"),
-        F.struct(F.floor(v).cast("double").alias("start"), (F.floor(v) + 2).cast("double").alias("end"), kind.alias("caption")).alias("scene"),
-        F.struct(F.when(i % 2 == 0, "transcript").otherwise("slide").alias("kind"), F.floor(v / 10).cast("double").alias("t_start"), (F.floor(v / 10) + 1).cast("double").alias("t_end"), F.concat_ws(" ", kind, F.lit("of red car number"), (i % 4).cast("string")).alias("text"), (i % 3).cast("double").alias("score")).alias("text"),
+def items(spark, sf):
+    """Events of a user as frames, scenes and texts of a session, in order of their ids."""
+    e, v, i = read(spark, sf, "events"), F.col("value").cast("double"), F.col("event_id")
+    return e.select(
+        "user_id", i.alias("i"), v.alias("timestamp"), F.col("event_type").alias("source"), F.lit(None).cast("string").alias("hypothesis"), F.floor(v).cast("double").alias("start"), (F.floor(v) + 2).cast("double").alias("end"),
+        F.col("event_type").alias("caption"), F.when(i % 2 == 0, "transcript").otherwise("slide").alias("kind"), F.floor(v / 10).cast("double").alias("t_start"), (F.floor(v / 10) + 1).cast("double").alias("t_end"),
+        F.concat_ws(" ", "event_type", F.lit("of red car number"), (i % 4).cast("string")).alias("text"), (i % 3).cast("double").alias("score"),
     )
-    s = e.groupBy("user_id").agg(F.array_sort(F.collect_list(item), lambda a, b: (a["i"] - b["i"]).cast("int")).alias("items"))
-    part = lambda k: F.transform("items", lambda x: x[k])
-    return s.select("user_id", part("frame").alias("new_frames"), part("scene").alias("new_scenes"), part("text").alias("new_texts"), F.transform("items", lambda x: x["frame"]["timestamp"]).alias("times"))
+
+
+def packed(rows, by: str, name: str, order: list[str], *fields: str):
+    """``(by, name)``: rows as one array a session, in order. The rows were capped or merged before."""
+    return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("_x"))))["_x"].alias(name))
+
+
+def sessions(spark, sf):
+    """A session a user: frames capped, scenes and texts merged before they become arrays."""
+    e = items(spark, sf)
+    frames = packed(merge.capped_frames(e, "user_id", "timestamp", "i", 36, "source", "hypothesis").withColumnRenamed("at", "timestamp"), "user_id", "new_frames", ["timestamp"], "timestamp", "source", "hypothesis")
+    scenes = packed(merge.capped_scenes(e, "user_id", "start", "end", "i", "caption"), "user_id", "new_scenes", ["start", "end"], "start", "end", "caption")
+    texts = packed(merge.capped_texts(e, "user_id", "i", None), "user_id", "new_texts", ["kind", "t_start", "t_end", "text"], "kind", "t_start", "t_end", "text", "score")
+    return frames.join(scenes, "user_id").join(texts, "user_id")
 
 
 _ITEMS = "e AS (SELECT user_id, event_id AS i, value::DOUBLE AS v, event_type AS k FROM events)"
@@ -35,14 +46,12 @@ _ITEMS = "e AS (SELECT user_id, event_id AS i, value::DOUBLE AS v, event_type AS
 w AS (SELECT DISTINCT user_id, n, CASE WHEN n <= 12 THEN j ELSE least(n - 1, round_even(j * ((n - 1) / 11.0), 0)::BIGINT) END AS r FROM (SELECT DISTINCT user_id, n FROM n), range(12) AS g(j) WHERE n > 12 OR j < n)
 SELECT user_id, t, source FROM n JOIN w USING (user_id, n, r)""")
 def merge_frames(spark, sf):
-    s = sessions(spark, sf).select("user_id", F.explode(ev.merge_frames(ev.empty(ev.FRAME), "new_frames", 12)).alias("f"))
-    return s.select("user_id", F.col("f.timestamp").alias("t"), "f.source")
+    return merge.capped_frames(items(spark, sf), "user_id", "timestamp", "i", 12, "source").select("user_id", F.col("at").alias("t"), "source")
 
 
 @query("merge_scenes_state", f"WITH {_ITEMS} SELECT user_id, floor(v)::DOUBLE AS start, floor(v)::DOUBLE + 2 AS end_, arg_min(k, i) AS caption FROM e GROUP BY ALL")
 def merge_scenes(spark, sf):
-    s = sessions(spark, sf).select("user_id", F.explode(ev.merge_scenes(ev.empty(ev.SCENE), "new_scenes")).alias("s"))
-    return s.select("user_id", "s.start", F.col("s.end").alias("end_"), "s.caption")
+    return merge.capped_scenes(items(spark, sf), "user_id", "start", "end", "i", "caption").select("user_id", "start", F.col("end").alias("end_"), "caption")
 
 
 _TEXTS = f"""{_ITEMS}, t AS (SELECT user_id, i, CASE WHEN i % 2 = 0 THEN 'transcript' ELSE 'slide' END AS kind, floor(v / 10)::DOUBLE AS t_start, k || ' of red car number ' || i % 4 AS text, (i % 3)::DOUBLE AS score FROM e),
@@ -51,14 +60,13 @@ b AS (SELECT user_id, kind, t_start, text, max(score) AS score FROM t GROUP BY A
 
 @query("merge_texts_state", f"WITH {_TEXTS} SELECT user_id, kind, t_start, text, score FROM b")
 def merge_texts(spark, sf):
-    s = sessions(spark, sf).select("user_id", F.explode(ev.merge_texts(ev.empty(ev.TEXT), "new_texts", None)).alias("t"))
-    return s.select("user_id", "t.kind", "t.t_start", "t.text", "t.score")
+    return merge.capped_texts(items(spark, sf), "user_id", "i", None).select("user_id", "kind", "t_start", "text", "score")
 
 
 @query("merge_texts_cap", f"WITH {_TEXTS} SELECT user_id, least(20, count(*)) AS n, max(t_start) FILTER (n <= 20) AS last_start, min(kind) AS kind FROM r GROUP BY user_id")
 def merge_texts_cap(spark, sf):
-    s = sessions(spark, sf).select("user_id", ev.merge_texts(ev.empty(ev.TEXT), "new_texts").alias("t"))
-    return s.select("user_id", F.size("t").cast("long").alias("n"), F.array_max(F.transform("t", lambda x: x["t_start"])).alias("last_start"), F.col("t")[0]["kind"].alias("kind"))
+    t = merge.capped_texts(items(spark, sf), "user_id", "i")
+    return t.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("t_start").alias("last_start"), F.min("kind").alias("kind"))
 
 
 QUESTION = "Which is listed first?\n(a) the view of a red car\n(b) a purchase of the red car number 3\n(c) a blue boat\n\nCandidates:\nA) (b)(a)\nB) (a)(b)\n"
@@ -88,16 +96,20 @@ def segment_focus(spark, sf):
 @query("stitched_windows", f"""WITH {_ITEMS}, w AS (SELECT user_id, i, round_even(least(v, 50.0), 2) AS a, round_even(greatest(v, 50.0), 2) AS b FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, b) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM w)
 SELECT user_id, a AS start, b AS end_, CASE WHEN m > 4 THEN 'truncated to 4 windows' END AS warning FROM r WHERE n <= 4""")
 def stitched(spark, sf):
-    windows, warning = ev.stitched_windows(F.transform("times", lambda t: F.struct(F.lit(50.0).alias("start"), t.alias("end"))))
-    s = sessions(spark, sf).select("user_id", F.explode(windows).alias("w"), warning.alias("warning"))
+    # a fifth window only tells that there are more, so five a session are enough
+    w = items(spark, sf).select("user_id", F.bround(F.least("timestamp", F.lit(50.0)), 2).alias("start"), F.bround(F.greatest("timestamp", F.lit(50.0)), 2).alias("end"))
+    few = per_group(w, "user_id", 5, "start", "end")
+    windows, warning = ev.stitched_windows(F.col("w"))
+    s = packed(few, "user_id", "w", ["start", "end"], "start", "end").select("user_id", F.explode(windows).alias("w"), warning.alias("warning"))
     return s.select("user_id", "w.start", F.col("w.end").alias("end_"), "warning")
 
 
 @query("stitched_counts", f"""WITH {_ITEMS}, w AS (SELECT user_id, floor(v)::DOUBLE AS a, floor(v)::DOUBLE + 3 AS b FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i) = 1) SELECT user_id, a AS start, b AS end_, (least(b, 99) - least(a, 100) + 1)::BIGINT AS frame_count FROM w""")
 def stitched_counts(spark, sf):
-    one = F.array(F.struct(F.floor(F.col("times")[0]).cast("double").alias("start"), (F.floor(F.col("times")[0]) + 3).cast("double").alias("end")))
+    first = items(spark, sf).groupBy("user_id").agg(F.min_by("start", "i").alias("start"))
+    one = F.array(F.struct("start", (F.col("start") + 3).alias("end")))
     dense = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda t: t.cast("double"))
-    s = sessions(spark, sf).select("user_id", one.alias("w"), dense.alias("dense"))
+    s = first.select("user_id", one.alias("w"), dense.alias("dense"))
     _, counts = ev.stitched_frames(F.col("dense"), F.col("w"))
     return s.select("user_id", F.explode(counts).alias("c")).select("user_id", "c.start", F.col("c.end").alias("end_"), F.col("c.frame_count").cast("long").alias("frame_count"))
 
@@ -107,8 +119,12 @@ SELECT user_id, (SELECT count(DISTINCT round_even(v, 1)) FROM x y WHERE y.user_i
  (SELECT count(*) FROM (SELECT DISTINCT floor(v / 10), k, i % 4 FROM x y WHERE y.user_id = t.user_id AND i % 2 = 0 AND floor(v / 10) <= hi AND floor(v / 10) + 1 >= lo)) AS n_transcripts FROM t""")
 def align(spark, sf):
     is_ = lambda k: F.filter("new_texts", lambda t: t["kind"] == k)
-    mean = F.aggregate("times", F.lit(0.0), lambda a, x: a + x) / F.size("times")
-    s = tools.state(sessions(spark, sf).select("user_id", mean.alias("t"), "times", is_("transcript").alias("heard"), is_("slide").alias("seen")))
+    e = items(spark, sf)
+    mean = e.groupBy("user_id").agg(F.avg("timestamp").alias("t"))
+    # only what lies near the time is gathered; the tool's own cap comes after
+    near = e.join(mean, "user_id").where(F.abs(F.col("timestamp") - F.col("t")) <= 4)
+    at = mean.join(packed(merge.capped_frames(near, "user_id", "timestamp", "i", 1 << 20, "timestamp"), "user_id", "times", ["at"], "timestamp"), "user_id", "left").withColumn("times", F.coalesce("times.timestamp", F.array().cast("array<double>")))
+    s = tools.state(sessions(spark, sf).join(at, "user_id").select("user_id", "t", "times", is_("transcript").alias("heard"), is_("slide").alias("seen")))
     a = tools.align_audiovisual(s, "t", "times", "heard", "seen")
     return a.select("user_id", F.size("frames").cast("long").alias("n_frames"), F.size("transcripts").cast("long").alias("n_transcripts"))
 
@@ -117,15 +133,15 @@ def align(spark, sf):
 SELECT user_id, CASE WHEN temporal AND least(n, 36) < 8 THEN CASE WHEN CASE WHEN n >= 2 THEN span ELSE 0 END < 1 THEN 'temporal_frames,temporal_span' ELSE 'temporal_frames' END WHEN temporal AND CASE WHEN n >= 2 THEN span ELSE 0 END < 1 THEN 'temporal_span' ELSE '' END AS missing FROM s""")
 def assess(spark, sf):
     s = sessions(spark, sf).withColumns({"question": F.lit("What happens?"), "question_type": F.when(F.col("user_id") % 2 == 0, "counting").otherwise("general"), "profile": F.lit("balanced")})
-    t = tools.retrieve_video(tools.state(s), "times", "new_scenes")
+    t = tools.retrieve_video(tools.state(s.withColumn("times", F.transform("new_frames", lambda f: f["timestamp"]))), "times", "new_scenes")
     return tools.assess(t).select("user_id", F.array_join("missing", ",").alias("missing"))
 
 
 @query("observer_note_state", f"WITH {_ITEMS} SELECT user_id, least(12, count(*) + 1) AS n FROM e GROUP BY user_id")
 def observer_note(spark, sf):
-    s = sessions(spark, sf)
-    notes = F.transform("new_texts", lambda t: F.struct(F.lit("x").alias("tool"), t["text"].alias("observation"), F.array(t["t_start"]).alias("timestamps")))
-    return s.select("user_id", F.size(ev.append_note(notes, F.lit("focus"), F.lit("new"), F.col("times"))).cast("long").alias("n"))
+    """The last twelve notes of every session, cut by a group limit before they become an array, and one more."""
+    last = packed(per_group(items(spark, sf), "user_id", 12, F.col("i").desc()).withColumn("tool", F.lit("x")).withColumn("timestamps", F.array("t_start")).withColumn("observation", F.col("text")), "user_id", "notes", ["i"], "tool", "observation", "timestamps")
+    return last.select("user_id", F.size(ev.append_note(F.col("notes"), F.lit("focus"), F.lit("new"), F.array(F.lit(1.0)))).cast("long").alias("n"))
 
 
 @query("subject_deltas", "SELECT conv_id, turn, trim(text) AS text, CASE turn % 3 WHEN 0 THEN 'p' || conv_id WHEN 1 THEN 'q' || conv_id END AS id FROM conversations")

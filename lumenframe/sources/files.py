@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,3 +186,39 @@ def write_json(value, path: str) -> None:
     """A small report, indented by two."""
     with open(path, "w", encoding="utf-8") as f:
         json.dump(value, f, ensure_ascii=False, indent=2)
+
+
+def ingest(cases: DataFrame, manifest: DataFrame, files: DataFrame, status: DataFrame, path: str, preprocess: Column, skip: bool = False) -> dict[str, int]:
+    """Bind cases to their files, write kept and rejected ones in one job, and give the counts that this job gathered in passing.
+
+    ``manifest (case_id, video)``, ``files (video, path, content_id)`` and ``status (content_id, status)`` say what is there.
+    ``preprocess`` is null where a video could be prepared, else why not; with ``skip`` nothing is. ``path/kept=true``
+    holds every case with a file, ``path/kept=false`` entries of the manifest with the reason: ``no_case``, ``file_missing`` or
+    ``hash_failed``, and cases that failed to prepare, which are kept as well. Counts: rebound, processed, skipped.
+    """
+    rows = manifest.join(cases.withColumn("_case", F.lit(True)), "case_id", "left").join(files.withColumn("_file", F.lit(True)), "video", "left")
+    rows = rows.join(status.select("content_id", F.col("status").alias("_status")), "content_id", "left")
+    reason = F.when(F.col("_case").isNull(), "no_case").when(F.col("_file").isNull(), "file_missing").when(F.col("content_id").isNull(), "hash_failed")
+    todo = reason.isNull() & (F.coalesce("_status", F.lit("")) != "done") & F.lit(not skip)
+    rows = rows.withColumn("reason", F.coalesce(reason, F.when(todo, preprocess))).withColumn("rebound", reason.isNull()).withColumn("processed", todo & preprocess.isNull())
+    rows = rows.drop("_case", "_file", "_status")
+    seen = Observation("ingest")
+    count = lambda c: F.count_if(c)
+    counted = rows.observe(seen, count(F.col("rebound")).alias("rebound"), count(F.col("processed")).alias("processed"), count(F.col("reason").isNotNull()).alias("skipped"))
+    where = F.filter(F.array(F.when(F.col("rebound"), F.lit(True)), F.when(F.col("reason").isNotNull(), F.lit(False))), lambda x: x.isNotNull())
+    counted.withColumn("kept", F.explode(where)).write.mode("overwrite").partitionBy("kept").parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def ingest_status(videos: DataFrame, targets: DataFrame, sources: DataFrame, done: DataFrame, error: Column) -> DataFrame:
+    """``(video_id, status)`` of an ingest: already-done, done, or ``FAILED: `` and why; ``error`` is null where preparing works.
+
+    ``targets`` and ``sources`` list the videos whose copy or source is there.
+    """
+    flag = lambda d, name: d.select("video_id").distinct().withColumn(name, F.lit(True))
+    rows = videos.join(flag(done, "_d"), "video_id", "left").join(flag(targets, "_t"), "video_id", "left").join(flag(sources, "_s"), "video_id", "left")
+    status = (
+        F.when(F.col("_d").isNotNull(), "already-done").when(F.col("_t").isNull() & F.col("_s").isNull(), "FAILED: source missing")
+        .when(error.isNotNull(), F.concat(F.lit("FAILED: "), error)).otherwise("done")
+    )
+    return rows.select("video_id", status.alias("status"))
