@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine
+from ..runtime import stored
 
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēėęěğģīįıķłļńņňőřśşšťţūůűųźżž"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeeeggiiikllnnnorsssttuuuuzzz"
@@ -44,7 +45,8 @@ def bm25(df: DataFrame, terms: list[str] | str, text: str = "text", id_col: str
 
     ``terms`` is a question or a list of terms; a term of several words is a phrase.
     Rows that hold no term as a substring are only measured. What follows is narrow,
-    so the single-row statistics are all that is broadcast.
+    so the single-row statistics are all that is broadcast. Counts are written once, as both
+    the statistics and the scores read them: texts are cut once.
     """
     phrases = terms_of(terms) if isinstance(terms, str) else [w for t in dict.fromkeys(t.lower() for t in terms) for w in terms_of(t.replace(" ", "-"), 1)]
     if not phrases:
@@ -61,7 +63,7 @@ def bm25(df: DataFrame, terms: list[str] | str, text: str = "text", id_col: str
         n = (F.length("line") - F.length(F.replace("line", F.lit(needle), F.lit("")))) / len(needle)
         return F.when(F.contains("line", F.lit(needle)), n.cast("int")).otherwise(0)
 
-    rows = rows.select(id_col, length.alias("dl"), *[count(w).alias(f"f{i}") for i, w in enumerate(phrases)])
+    rows = stored(rows.select(id_col, length.alias("dl"), *[count(w).alias(f"f{i}") for i, w in enumerate(phrases)]), "bm25")
     many = range(len(phrases))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in many])
     score, hit = F.lit(0.0), F.lit(False)
@@ -110,6 +112,11 @@ def scene_quota(k: int, has_ranges: bool) -> int:
     return max(1, k * 2 // 3) if has_ranges else k
 
 
+def scene_share(k: Column, has_ranges: Column) -> Column:
+    """``scene_quota`` for a column of limits."""
+    return F.when(has_ranges, F.greatest(F.lit(1), F.floor(k * 2 / 3))).otherwise(k)
+
+
 def two_stage(scenes: DataFrame, frames: DataFrame, query: list[float], n: int, k: int) -> DataFrame:
     """Top ``n`` scenes gate the frames; a share of ``k`` comes from gated frames, the rest from the global list.
 
@@ -154,7 +161,7 @@ def two_stage_many(questions: DataFrame, scenes: DataFrame, frames: DataFrame, b
     gates = near.withColumn("rank", order("start", "end")).where("rank <= n_scenes").select(by, "start", "end", "score", "rank")
     scored = asked.join(frames.select(owner, "ts", F.col("embedding").alias("_v")), owner).select(by, "n_frames", "ts", cosine("_v", "_q").alias("score"))
     gated = points_in_intervals(scored, gates.select(by, "start", "end"), by, how="left_semi")
-    quota = F.greatest(F.lit(1), F.floor(F.col("n_frames") * 2 / 3))
+    quota = scene_share(F.col("n_frames"), F.lit(True))
     first = gated.withColumn("rank", order("ts")).where(F.col("rank") <= quota).withColumn("tier", F.lit(0))
     rest = scored.groupBy(by, "n_frames", "ts").agg(F.max("score").alias("score")).withColumn("rank", order("ts")).where(F.col("rank") <= 3 * F.col("n_frames")).withColumn("tier", F.lit(1))
     both = first.unionByName(rest).withColumn("r", F.row_number().over(W.partitionBy(by, "ts").orderBy("tier", "rank"))).where("r = 1")

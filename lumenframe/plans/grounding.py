@@ -49,7 +49,8 @@ def grounding_report(df: DataFrame) -> DataFrame:
     times = [F.coalesce(c, F.array().cast(OPTIONAL[c])) for c in ("frames", "transcripts", "slides")]
     markers, opts = extract(a), mcq.options(q)
     work = df.withColumn("_q", q).withColumn("_a", a).withColumn("_bad", invalid_markers(a, *times)).withColumn("_all", markers).withColumn("_opts", opts)
-    work = work.withColumn("selected_label", mcq.selected_label("_a", "_opts"))
+    # what several rules read is bound once
+    work = work.withColumn("selected_label", mcq.selected_label("_a", "_opts")).withColumn("_claims", claim_lines(F.col("_a"))).withColumn("_uncited", uncited_claims(F.col("_a")))
     q, a, opts, label = F.col("_q"), F.col("_a"), F.col("_opts"), F.col("selected_label")
     has = lambda of, kind: F.exists(of, lambda m: m["kind"] == kind)
     negative = ((profile == "negative_check") | is_negative_question(q, kind)) & says_no(a)
@@ -65,7 +66,7 @@ def grounding_report(df: DataFrame) -> DataFrame:
     row = F.try_element_at(F.filter("matrix", lambda m: m["label"] == label), F.lit(1))
     rejected = is_audiovisual_question(q) & label.isNotNull() & F.coalesce(row["decision"] == "reject", F.lit(False))
     brand = is_brand_question(q) & guesses(a)
-    uncited = uncited_claims(a)
+    uncited = F.col("_uncited")
     revise, again = "revise_answer_with_citations", "answer_with_evidence"
     rules = [
         ("invalid_frame_markers", has("_bad", "frame"), None),
@@ -74,7 +75,7 @@ def grounding_report(df: DataFrame) -> DataFrame:
         ("uncited_visual_claims", F.size(uncited) > 0, None),
         ("negative_without_check", negative & (profile != "negative_check"), "retrieve_video_evidence"),
         ("negative_without_scope", negative & ~has_scope(a), None),
-        ("visual_claims_without_marker", (F.size(claim_lines(a)) > 0) & ~visual, None),
+        ("visual_claims_without_marker", (F.size("_claims") > 0) & ~visual, None),
         ("slide_marker_missing", ocr, None),
         ("visual_marker_missing", asks_slide & ~ocr & ~visual, None),
         ("no_candidate_selected", none, None),
@@ -92,4 +93,4 @@ def grounding_report(df: DataFrame) -> DataFrame:
     found = F.array_compact(F.array(*[F.when(fires, F.lit(name)) for name, fires, _ in rules]))
     out = work.withColumn("warnings", found).withColumn("_act", action).withColumn("uncited", F.slice(uncited, 1, 5))
     out = out.withColumn("grounded", F.size("warnings") == 0).withColumn("next_action", F.when(F.size("warnings") == 0, F.lit("final_answer")).otherwise(F.col("_act")))
-    return out.withColumn("invalid", F.col("_bad")).withColumn("valid", F.size("_all") - F.size("_bad")).drop("_q", "_a", "_bad", "_all", "_opts", "_act")
+    return out.withColumn("invalid", F.col("_bad")).withColumn("valid", F.size("_all") - F.size("_bad")).drop("_q", "_a", "_bad", "_all", "_opts", "_act", "_claims", "_uncited")

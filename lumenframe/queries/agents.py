@@ -94,7 +94,7 @@ def ingest_counts(spark, sf):
     status = e.where((i % 3 == 0) & F.col("content_id").isNotNull()).select("content_id", F.lit("done").alias("status"))
     path = scratch(spark, "ingest")
     counts = files.ingest(cases, e.select("case_id", "video"), known, status, path, F.when(i % 13 == 0, "broken"))
-    written = spark.read.parquet(path)
+    written = spark.read.parquet(path).withColumn("kept", F.col("kept").cast("boolean"))
     return written.agg(
         *[F.lit(counts[k]).cast("long").alias(k) for k in ("rebound", "processed", "skipped")], F.count_if(F.col("kept")).alias("kept_rows"), F.count_if(~F.col("kept") & (F.col("reason") == "file_missing")).alias("without_file")
     )

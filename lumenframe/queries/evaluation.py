@@ -205,12 +205,16 @@ def case_gates(spark, sf):
     return read(spark, sf, "labels").select("doc_id", gate.alias("passed"))
 
 
-@query("retrieval_plan_defaults", """SELECT profile, least(12, CASE profile WHEN 'focused' THEN 3 WHEN 'broad' THEN 10 WHEN 'temporal' THEN 10 WHEN 'negative_check' THEN 15 ELSE 5 END)::INT AS scenes, least(36, CASE profile WHEN 'focused' THEN 8 WHEN 'balanced' THEN 12 WHEN 'temporal' THEN 18 ELSE 24 END)::INT AS frames
-FROM (VALUES ('focused'), ('balanced'), ('broad'), ('temporal'), ('detail'), ('negative_check')) AS t(profile)""")
+@query("retrieval_plan_defaults", """WITH p AS (SELECT event_id, ['focused', 'balanced', 'broad', 'temporal', 'detail', 'negative_check', 'other'][event_id % 7 + 1] AS profile, floor(value)::INT % 9 + 1 AS n, floor(value)::INT % 30 + 1 AS k FROM events)
+SELECT event_id, least(12, CASE profile WHEN 'focused' THEN least(n, 3) WHEN 'broad' THEN n * 2 WHEN 'temporal' THEN n * 2 WHEN 'negative_check' THEN n * 3 ELSE n END)::INT AS scenes,
+ least(36, CASE profile WHEN 'focused' THEN least(k, 8) WHEN 'broad' THEN k * 2 WHEN 'detail' THEN k * 2 WHEN 'negative_check' THEN k * 2 WHEN 'temporal' THEN greatest(k, floor(k * 1.5)) ELSE k END)::INT AS frames FROM p""")
 def plan_defaults(spark, sf):
-    rows = spark.createDataFrame([(p, planner.TOP_SCENES, planner.TOP_FRAMES) for p in planner.PROFILES], "profile string, n int, k int")
+    """A plan for every event: its profile by its id, what is asked for by its value."""
+    v = F.floor("value").cast("int")
+    profile = F.element_at(F.array(*map(F.lit, (*planner.PROFILES, "other"))), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = read(spark, sf, "events").select("event_id", profile.alias("profile"), (v % 9 + 1).alias("n"), (v % 30 + 1).alias("k"))
     n, k = planner.retrieval_plan(F.col("profile"), F.col("n"), F.col("k"))
-    return rows.select("profile", n.cast("int").alias("scenes"), k.cast("int").alias("frames"))
+    return rows.select("event_id", n.cast("int").alias("scenes"), k.cast("int").alias("frames"))
 
 
 _FACTS = {  # each fact as SQL that Spark and DuckDB read alike, over counts of a user's events

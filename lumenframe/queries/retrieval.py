@@ -104,10 +104,11 @@ def evenly_spaced(spark, sf):
     return g.select("label", F.explode(even_indices("n", 12)).alias("idx"))
 
 
-@query("scene_quota", "SELECT k, ranged, CASE WHEN ranged THEN greatest(1, k * 2 // 3) ELSE k END::INT AS quota FROM (VALUES (12, true), (12, false), (1, true), (4, true)) AS t(k, ranged)")
+@query("scene_quota", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN greatest(1, (event_id % 40) * 2 // 3) ELSE event_id % 40 END::INT AS quota FROM events")
 def scene_quota(spark, sf):
-    rows = [(k, r, search.scene_quota(k, r)) for k, r in ((12, True), (12, False), (1, True), (4, True))]
-    return spark.createDataFrame(rows, "k int, ranged boolean, quota int")
+    """How many of an event's frames come from scenes, where it has any."""
+    k = (F.col("event_id") % 40).cast("int")
+    return read(spark, sf, "events").select("event_id", search.scene_share(k, F.col("event_id") % 2 == 0).cast("int").alias("quota"))
 
 
 _WORDS = f"regexp_extract_all(translate(lower(text), '{search.ACCENTED}', '{search.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
