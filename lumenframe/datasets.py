@@ -64,3 +64,8 @@ def interval_cases(rows: DataFrame, intervals: DataFrame) -> DataFrame:
         F.col("answer").alias("reference_answer"), answer_keywords("answer").alias("required_keywords"), F.transform("gold_scenes", lambda s: (s["start"] + s["end"]) / 2).alias("gold_timestamps"),
         "gold_scenes", F.when(F.col("type").isin("TN", "TC", "TP"), "build_timeline").alias("expected_action"),
     )
+
+
+def first_cases(cases: DataFrame, order: str, n: int | None) -> DataFrame:
+    """The first ``n`` cases in file order; all where ``n`` is None or not positive."""
+    return cases.orderBy(order).limit(n) if n is not None and n > 0 else cases

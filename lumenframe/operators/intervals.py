@@ -151,3 +151,45 @@ def control_group(cases: DataFrame, dense: DataFrame, n: int, key: str = "video_
     times = near.groupBy(key).agg(F.array_sort(F.collect_set("nearest_t")).alias("retrieved_timestamps"))  # at most n
     actions = F.array(F.lit("uniform_sample_vqa"))
     return cases.select("case_id", key).join(times, key).select("case_id", "retrieved_timestamps", actions.alias("agent_actions"), F.lit("no_retrieval").alias("control_group"))
+
+
+#: Mean difference of pixels from which on a frame starts a scene, frames that a scene has at least, and scenes below which a video is cut evenly.
+SCENE_THRESHOLD, SCENE_FRAMES, FEWEST_SCENES = 27.0, 15, 3
+
+
+def content_change(frames: DataFrame, key: str, ts: str = "ts", pixels: str = "pixels") -> DataFrame:
+    """``(key, ts, change)``: the mean absolute difference of a frame's pixels to those of the frame before, null for the first."""
+    w = W.partitionBy(key).orderBy(ts)
+    rows = frames.select(key, ts, F.col(pixels).alias("_a"), F.lag(pixels).over(w).alias("_b"))
+    apart = F.zip_with("_a", "_b", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    size = F.size("_a")
+    return rows.select(key, ts, F.when(F.col("_b").isNotNull() & (size > 0), F.aggregate(apart, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / size).alias("change"))
+
+
+def detect_scenes(
+    frames: DataFrame, durations: DataFrame, key: str, ts: str = "ts", pixels: str = "pixels", threshold: float = SCENE_THRESHOLD, least_frames: int = SCENE_FRAMES, fewest: int = FEWEST_SCENES,
+    size: float = 10.0,
+) -> DataFrame:
+    """``(key, scene_id, start, end)``: scenes between content changes; a video with fewer than ``fewest`` is cut evenly.
+
+    A change cuts if it reaches ``threshold`` and ``least_frames`` frames or more lie since the last cut; cuts are chosen
+    greedily in order, which is a running state over a video's changed frames alone. ``durations`` has ``key`` and ``duration``: the last scene
+    ends there. Videos without frames are cut evenly too.
+    """
+    w = W.partitionBy(key).orderBy(ts)
+    numbered = content_change(frames, key, ts, pixels).withColumn("n", F.row_number().over(w) - 1)
+    changed = numbered.where(F.col("change") >= threshold)
+    # the fold keeps the last cut's number: frames that come too early after it don't cut
+    listed = changed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("n"), F.col(ts).cast("double").alias("t")))).alias("c"))
+    none = F.array().cast("array<struct<n: int, t: double>>")
+    start = F.struct(F.lit(0).alias("last"), none.alias("cuts"))
+    step = lambda s, x: F.when(x["n"] - s["last"] >= least_frames, F.struct(x["n"].alias("last"), F.concat(s["cuts"], F.array(F.struct(x["n"].alias("n"), x["t"].alias("t")))).alias("cuts"))).otherwise(s)
+    cuts = listed.select(key, F.aggregate("c", start, step)["cuts"].alias("cuts"))
+    rows = durations.select(key, F.col("duration").cast("double").alias("duration")).join(cuts, key, "left")
+    edges = F.concat(F.array(F.lit(0.0)), F.transform(F.coalesce("cuts", none), lambda c: c["t"]))
+    inside = F.filter(edges, lambda x: x < F.col("duration"))
+    rows = rows.withColumn("edges", inside)
+    ends = lambda i: F.coalesce(F.get(F.col("edges"), i + 1), F.col("duration"))
+    found = rows.where(F.size("edges") >= fewest).select(key, F.posexplode(F.transform("edges", lambda x, i: F.struct(x.alias("start"), ends(i).alias("end")))).alias("scene_id", "s")).select(key, "scene_id", "s.start", "s.end")
+    even = uniform_windows(rows.where(F.size("edges") < fewest), size=size).select(key, "scene_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    return found.unionByName(even)

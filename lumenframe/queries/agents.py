@@ -122,3 +122,30 @@ SELECT stratum, size, base + CASE WHEN place <= rest AND base < size THEN 1 ELSE
 def stratified_shares(spark, sf):
     docs = read(spark, sf, "documents").where("source is not null")
     return allocate(docs.withColumnRenamed("source", "stratum"), "stratum", 70)
+
+
+@query(
+    "detect_scenes",
+    f"""WITH f AS (SELECT label, vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 200)) AS p FROM embeddings WHERE label % 5 <> 4),
+d AS (SELECT label, vec_id, row_number() OVER w - 1 AS n, p, lag(p) OVER w AS b FROM f WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+c AS (SELECT label, vec_id, n FROM d WHERE b IS NOT NULL AND list_sum(list_transform(list_zip(p, b), lambda z: abs(z[1] - z[2]))) / len(p) >= {iv.SCENE_THRESHOLD}),
+t AS (SELECT label, vec_id::DOUBLE AS s FROM c UNION ALL SELECT DISTINCT label, 0.0 FROM embeddings),
+v AS (SELECT label, max(vec_id) + 1.0 AS duration FROM embeddings GROUP BY label),
+o AS (SELECT label, s, lead(s) OVER (PARTITION BY label ORDER BY s) AS e, count(*) OVER (PARTITION BY label) AS m, row_number() OVER (PARTITION BY label ORDER BY s) - 1 AS i FROM t)
+SELECT label, i::INT AS scene_id, s AS start, coalesce(e, duration) AS end_ FROM o JOIN v USING (label) WHERE m >= 3
+UNION ALL SELECT label, i::INT, i * 10.0, least(i * 10.0 + 10, duration) FROM (SELECT label, duration, unnest(range(ceil(duration / 10)::BIGINT)) AS i FROM v JOIN o USING (label) WHERE m < 3 AND o.i = 0)""",
+)
+def detect_scenes(spark, sf):
+    """Vectors of a label as pixels of a video's frames; labels without frames are cut evenly. Frames may follow each other at once."""
+    e = read(spark, sf, "embeddings")
+    pixels = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 200))
+    frames = e.where(F.col("label") % 5 != 4).select("label", "vec_id", pixels.alias("pixels"))
+    durations = e.groupBy("label").agg((F.max("vec_id") + 1.0).alias("duration"))
+    return iv.detect_scenes(frames, durations, "label", "vec_id", least_frames=1).select("label", "scene_id", "start", F.col("end").alias("end_"))
+
+
+@query("first_cases", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 25")
+def first_cases(spark, sf):
+    from ..datasets import first_cases as first
+
+    return first(read(spark, sf, "documents").select("doc_id"), "doc_id", 25)
