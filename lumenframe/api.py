@@ -21,6 +21,9 @@ from .functions.text import content_id
 from .operators import merge
 from .operators.search import two_stage
 from .sources.files import exists, vtt_cues
+from .streaming.chat import fold_events
+from .streaming.state import latest_progress
+from .streaming.state import progress as clamped
 
 TABLES = {
     "users": "user_id string, username string, at long",
@@ -119,6 +122,30 @@ class Service:
         found = self.rows("status").where(F.col("video_id") == video_id).orderBy("at").collect()
         return [sse("progress", {"status": r["status"], "error": r["error"]}) for r in found]
 
+    def preprocess_stream(self, video_id: str, progress: DataFrame) -> list[str]:
+        """What a client that asks now is sent first: an end if there is one, else the latest of ``progress (video, ts, stage, label, progress)``.
+
+        What follows for many clients is ``streaming.sessions.feed_stream``.
+        """
+        status = self.status(video_id)
+        if status["status"] == "absent":
+            return [sse("error", {"video_id": video_id, "detail": "Video is not preprocessing"})]
+        if status["status"] == "done":
+            return [sse("done", {"video_id": video_id})]
+        if status["status"] == "failed":
+            return [sse("error", {"video_id": video_id, "detail": f"failed: {status['error'] or ''}"})]
+        mine = clamped(progress.where(F.col("video") == video_id))
+        last = latest_progress(mine, "video", "ts", "stage", "label", "progress").first()
+        return [sse("stage", {k: last[k] for k in ("stage", "label", "progress")})] if last else []
+
+    def chat_stream(self, user_id: str, session_id: str, events: DataFrame) -> list[str]:
+        """One session's turn as server-sent events, from ``(session, pos, kind, data)``; the session counts as updated if there is an answer."""
+        self._owned(self.rows("sessions").where(F.col("session_id") == session_id), user_id, session_id)
+        sent = [(r["event"], json.loads(r["data"])) for r in fold_events(events.where(F.col("session") == session_id)).orderBy("no").collect()]
+        if any(e == "token" for e, _ in sent):
+            self.update_session(user_id, session_id, {})
+        return [sse(e, d | {"session_id": session_id} if e in ("frames", "done") else d) for e, d in sent]
+
     def owned_video(self, user_id: str, video_id: str) -> None:
         self._owned(self.rows("videos").where(F.col("video_id") == video_id), user_id, video_id)
 

@@ -67,3 +67,20 @@ def test_segments_and_answers(service, spark):
     assert got == {"answer": "what? [1.0]", "timestamps": [1.0]}
     with pytest.raises(ValueError):
         service.chat(" ", [1.0, 0.0], scenes, frames, lambda q, t: "")
+
+
+def test_streams_of_a_client(service, spark):
+    shown = spark.createDataFrame([("v", 1, "scenes", "Cutting", 0.2), ("v", 2, "speech", "Listening", 1.7), ("w", 3, "x", "x", 0.1)], "video string, ts int, stage string, label string, progress double")
+    assert service.preprocess_stream("v", shown) == [sse("error", {"video_id": "v", "detail": "Video is not preprocessing"})]
+    service.set_status("v", "running")
+    assert service.preprocess_stream("v", shown) == [sse("stage", {"stage": "speech", "label": "Listening", "progress": 1.0})] and service.preprocess_stream("v", shown.where("false")) == []
+    service.set_status("v", "failed", "no audio")
+    assert service.preprocess_stream("v", shown) == [sse("error", {"video_id": "v", "detail": "failed: no audio"})]
+    service.set_status("v", "done")
+    assert service.preprocess_stream("v", shown) == [sse("done", {"video_id": "v"})]
+    a = service.create_session("u", "v", "t")
+    events = [(a, 0, "token", '{"text": "plan"}'), (a, 1, "tool", '{"updates": [{"frames": [1.5]}]}'), (a, 2, "token", '{"text": "Yes"}'), (a, 3, "end", "{}"), ("other", 0, "error", "{}")]
+    got = service.chat_stream("u", a, spark.createDataFrame(events, "session string, pos long, kind string, data string"))
+    assert got == [sse("frames", {"frames": [1.5], "scene_hits": [], "transcripts": [], "slides": [], "session_id": a}), sse("token", {"text": "Yes"}), sse("done", {"session_id": a})]
+    with pytest.raises(Denied):
+        service.chat_stream("thief", a, shown)
