@@ -68,3 +68,10 @@ def allocate(df: DataFrame, stratum: str, n: int) -> DataFrame:
     place = F.row_number().over(everything.orderBy((F.col("base") >= F.col("size")).cast("int"), (F.col("quota") - F.col("base")).desc(), stratum))
     more = ((F.col("place") <= F.col("rest")) & (F.col("base") < F.col("size"))).cast("long")
     return rows.withColumn("place", place).select(stratum, "size", (F.col("base") + more).alias("share"))
+
+
+def allocated_sample(df: DataFrame, stratum: str, id_col: str, n: int, seed: int = 0) -> DataFrame:
+    """The rows that ``allocate`` gives each stratum, in hash order; planned as a whole, without a collect."""
+    order = W.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))), id_col)
+    ranked = df.withColumn("_r", F.row_number().over(order))
+    return ranked.join(allocate(df, stratum, n).select(stratum, "share"), stratum).where(F.col("_r") <= F.col("share")).drop("_r", "share")

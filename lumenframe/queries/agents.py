@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
-from ..operators.sampling import allocate
+from ..operators.sampling import allocate, allocated_sample
 from ..plans import agent
 from ..runtime import scratch
 from ..sources import files
@@ -111,19 +111,30 @@ def ingest_status(spark, sf):
     return made.select("video_id", "status")
 
 
-@query(
-    "stratified_shares",
-    """WITH z AS (SELECT source AS stratum, count(*) AS size FROM documents WHERE source IS NOT NULL GROUP BY source), t AS (SELECT sum(size) AS total, 70 AS n FROM z),
-p AS (SELECT stratum, size, 70.0 * size / total AS quota, least(size, greatest(1, floor(70.0 * size / total)))::BIGINT AS base FROM z, t),
-l AS (SELECT *, greatest(0, 70 - sum(base) OVER ())::BIGINT AS rest FROM p),
-r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN base < size THEN 0 ELSE 1 END, quota - base DESC, stratum) AS place FROM l)
-SELECT stratum, size, base + CASE WHEN place <= rest AND base < size THEN 1 ELSE 0 END AS share FROM r""",
-)
+_SHARES = """z AS (SELECT source AS stratum, count(*) AS size FROM documents WHERE source IS NOT NULL GROUP BY source), t AS (SELECT sum(size) AS total FROM z),
+p AS (SELECT stratum, size, %d.0 * size / total AS quota, least(size, greatest(1, floor(%d.0 * size / total)))::BIGINT AS base FROM z, t),
+l AS (SELECT *, greatest(0, %d - sum(base) OVER ())::BIGINT AS rest FROM p),
+r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN base < size THEN 0 ELSE 1 END, quota - base DESC, stratum) AS place FROM l),
+h AS (SELECT stratum, size, base + CASE WHEN place <= rest AND base < size THEN 1 ELSE 0 END AS share FROM r)"""
+
+
+@query("stratified_shares", f"WITH {_SHARES % (70, 70, 70)} SELECT * FROM h")
 def stratified_shares(spark, sf):
     docs = read(spark, sf, "documents").where("source is not null")
     return allocate(docs.withColumnRenamed("source", "stratum"), "stratum", 70)
 
 
+@query(
+    "stratified_sample",
+    f"""WITH {_SHARES % (12, 12, 12)}, d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || ':3'), doc_id) AS r FROM documents WHERE source IS NOT NULL)
+SELECT doc_id, source FROM d JOIN h ON source = stratum WHERE r <= share""",
+)
+def stratified_sample(spark, sf):
+    """Twelve places for more sources than that: each has one."""
+    docs = read(spark, sf, "documents").where("source is not null").select("doc_id", "source")
+    return allocated_sample(docs, "source", "doc_id", 12, 3)
+
+
 @query(
     "detect_scenes",
     f"""WITH f AS (SELECT label, vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 200)) AS p FROM embeddings WHERE label % 5 <> 4),

@@ -275,9 +275,9 @@ def chat_fold(spark, sf):
 @query("memory_search", "SELECT event_id FROM (SELECT event_id, CASE WHEN contains(event_type, 'view') THEN 1 ELSE 0 END AS s FROM events WHERE user_id = (SELECT min(user_id) FROM events)) ORDER BY s DESC, event_id DESC LIMIT 6")
 def memory_search(spark, sf):
     e = read(spark, sf, "events")
-    first = e.agg(F.min("user_id")).first()[0]
-    notes = e.select(F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("note"), F.col("event_id").alias("at"))
-    return chat.memories(notes, str(first), "View").select(F.col("at").alias("event_id"))
+    mine = e.join(F.broadcast(e.agg(F.min("user_id").alias("user_id"))), "user_id")
+    notes = mine.select(F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("note"), F.col("event_id").alias("at"))
+    return chat.memories(notes, None, "View").select(F.col("at").alias("event_id"))
 
 
 @query("checkpoint_store", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) FILTER (value > 50) AS value FROM events GROUP BY user_id")

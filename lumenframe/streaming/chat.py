@@ -85,9 +85,12 @@ def checkpoints(log: DataFrame, thread: str, step: str, *values: str) -> DataFra
     return log.groupBy(thread).agg(*[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(step))).alias(v) for v in values])
 
 
-def memories(notes: DataFrame, user: str, query: str | None, k: int = 6) -> DataFrame:
-    """A user's notes ``(user, note, at)`` that share most words with the query, the latest first among equals; the latest without a query."""
-    mine = notes.where(F.col("user") == user)
+def memories(notes: DataFrame, user: str | None, query: str | None, k: int = 6) -> DataFrame:
+    """A user's notes ``(user, note, at)`` that share most words with the query, the latest first among equals; the latest without a query.
+
+    Without ``user`` the notes are one user's already.
+    """
+    mine = notes if user is None else notes.where(F.col("user") == user)
     words = [w for w in (query or "").lower().split() if w]
     score = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("note"), w))) if words else F.lit(0)
     return mine.withColumn("score", score).orderBy(F.col("score").desc(), F.col("at").desc(), "note").limit(k)
