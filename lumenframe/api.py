@@ -17,10 +17,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import content_id
 from .operators import merge
 from .operators.search import two_stage
-from .sources.files import exists, vtt_cues
+from .sources.files import exists, hash_files, vtt_cues
 from .streaming.chat import fold_events
 from .streaming.state import latest_progress
 from .streaming.state import progress as clamped
@@ -86,14 +85,13 @@ class Service:
     # videos
 
     def upload(self, user_id: str, path: str, duration: float | None = None, most: int = 2 << 30) -> str:
-        """Register a file by the hash of its content; one above ``most`` bytes is refused before it is read."""
-        files = self.spark.read.format("binaryFile").load(path)
-        size = files.select("length").first()
-        if size is None:
+        """Register a file by the hash of its content, read in pieces; one above ``most`` bytes is refused."""
+        found = hash_files(self.spark.createDataFrame([(path,)], "path string"), most=most).first()
+        if found["error"] == "missing":
             raise Absent(path)
-        if size[0] > most:
-            raise ValueError(f"{path}: {size[0]} bytes, {most} at most")
-        video_id = files.select(content_id(F.col("content"))).first()[0]
+        if found["error"]:
+            raise ValueError(f"{path}: {most} bytes at most")
+        video_id = found["sha256"][:16]
         self.register_video(user_id, video_id, path.rsplit("/", 1)[-1], duration)
         return video_id
 

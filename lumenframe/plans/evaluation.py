@@ -283,6 +283,15 @@ def exit_code(pass_rate: float | None, fail_under: float, missing: int) -> int:
     return 2 if missing else int((pass_rate or 0.0) < fail_under)
 
 
+def run_meta(cases: DataFrame, results: DataFrame, models: dict[str, str], fingerprint: str, version: str, dataset: str = "custom", path: str = "", n: int | None = None, tolerance: float = 3.0, recall_k: int = 5, judged: bool = False) -> dict:
+    """What a report says about its run: data, counts, models (``vlm``, ``orchestrator``), fingerprint and settings."""
+    vlm = models.get("vlm", "")
+    return {
+        "dataset": dataset, "dataset_path": path, "n": n, "n_cases_total": cases.count(), "n_cases_predicted": results.count(), "vlm_model_name": vlm,
+        "orchestrator_model_name": models.get("orchestrator") or vlm, "prompt_fingerprint": fingerprint, "agent_code_version": version, "tolerance_sec": tolerance, "recall_k": recall_k, "judge_enabled": judged,
+    }
+
+
 def join_predictions(cases: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cases with their prediction, and cases without one."""
     return cases.join(predictions, "case_id"), cases.join(predictions, "case_id", "left_anti")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import html_escape, vtt_time
+from ..runtime import ship
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -222,3 +225,57 @@ def ingest_status(videos: DataFrame, targets: DataFrame, sources: DataFrame, don
         .when(error.isNotNull(), F.concat(F.lit("FAILED: "), error)).otherwise("done")
     )
     return rows.select("video_id", status.alias("status"))
+
+
+def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a JSON list; a document that is no list is refused."""
+    if not spark.read.option("wholetext", True).text(path).where(~F.col("value").rlike(r"^\s*\[")).isEmpty():
+        raise ValueError(f"{path} is no JSON list")
+    return read_json(spark, path, schema)
+
+
+CHUNK_BYTES = 1 << 20
+
+
+def hash_files(files: DataFrame, path: str = "path", most: int = 2 << 30) -> DataFrame:
+    """``files`` with ``size``, ``sha256`` and ``error``: content hashed in pieces of 1 MiB, so no file is ever whole in memory.
+
+    A file that grows beyond ``most`` bytes is given up at that point, with the error ``too large``; one that can't be read is ``missing``.
+    """
+    ship(files.sparkSession)
+
+    def one(name: str) -> tuple[int | None, str | None, str | None]:
+        from pyarrow import fs
+
+        try:
+            store, base = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
+            digest, size = hashlib.sha256(), 0
+            with store.open_input_stream(base, compression=None) as f:
+                while piece := f.read(CHUNK_BYTES):
+                    size += len(piece)
+                    if size > most:
+                        return None, None, "too large"
+                    digest.update(piece)
+            return size, digest.hexdigest(), None
+        except (OSError, ValueError):
+            return None, None, "missing"
+
+    def run(batches):
+        for pdf in batches:
+            found = [one(x) if x else (None, None, "missing") for x in pdf[path]]
+            yield pdf.assign(**{c: pd.array([r[i] for r in found], dtype=t) for i, (c, t) in enumerate((("size", "Int64"), ("sha256", "string"), ("error", "string")))})
+
+    return files.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("size", T.LongType()), T.StructField("sha256", T.StringType()), T.StructField("error", T.StringType())]))
+
+
+def hit_rows(rows: DataFrame, score: Column, kind: str) -> DataFrame:
+    """Stored chunks as hits: ``kind, text, t_start, t_end, score, source, metadata``, whatever else a row has as JSON in ``metadata``."""
+    known = ("kind", "text", "t_start", "t_end", "score", "source")
+    rest = [c for c in rows.columns if c not in known]
+    start = F.coalesce(F.col("t_start").cast("double"), F.lit(0.0))
+    source = F.col("source") if "source" in rows.columns else F.lit(None).cast("string")
+    meta = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
+    return rows.select(
+        F.lit(kind).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), start.alias("t_start"), F.coalesce(F.col("t_end").cast("double"), start).alias("t_end"),
+        score.cast("double").alias("score"), F.coalesce(source, F.lit(kind)).alias("source"), meta.alias("metadata"),
+    )

@@ -191,3 +191,20 @@ def read_through(rows: DataFrame, cache: DataFrame, key: str, column: str, out:
     """Cached replies where known; the backend answers the rest."""
     hits = rows.join(cache.withColumnRenamed("value", out), key)
     return hits.unionByName(map_text(rows.join(cache, key, "left_anti"), column, out, backend))
+
+
+def judge_cached(df: DataFrame, key: str, prompt: str, path: str, out: str = "judge", backend: Backend = stub_judge) -> DataFrame:
+    """``judge`` through a cache in ``path``: known verdicts are read, new ones that are no errors are appended."""
+    from .plans.evaluation import judge_json
+    from .runtime import stored
+    from .sources.files import append_cache, exists, read_cache
+
+    spark = df.sparkSession
+    known = read_cache(spark, path) if exists(spark, path) else spark.createDataFrame([], "key string, value string")
+    rows = df.withColumn("_key", F.col(key).cast("string")).join(known.select(F.col("key").alias("_key"), F.col("value").alias("_known")), "_key", "left")
+    fresh = stored(map_text(rows.where("_known is null"), prompt, "_reply", backend).withColumn(out, judge_json(F.col("_reply"))), "judged")
+    good = fresh.where(F.col(out)["error"].isNull() & F.col("_reply").isNotNull())
+    append_cache(good.select(F.col("_key").alias("key"), F.col("_reply").alias("value"), F.lit(time.time_ns()).alias("seq")).dropDuplicates(["key"]), path)
+    old = rows.where("_known is not null").withColumn(out, judge_json(F.col("_known")))
+    columns = [*df.columns, out]
+    return fresh.select(*columns).unionByName(old.select(*columns))

@@ -1,12 +1,18 @@
 """Zip archives as a data source, and scenes from pixels."""
 
+import hashlib
 import json
 import random
+import uuid
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from lumenframe import udf
 from lumenframe.operators import intervals as iv
+from lumenframe.plans import evaluation
+from lumenframe.sources import files
 from lumenframe.sources.archives import SCHEMA, ZipMembers
 
 
@@ -66,3 +72,39 @@ def test_scenes_equal_a_plain_loop(spark):
     assert sorted(map(tuple, iv.detect_scenes(df, durations, "video").collect())) == sorted(want)
     assert iv.detect_scenes(df.where("false"), durations.where("false"), "video").isEmpty()
     assert iv.content_change(df, "video").where(F.col("change").isNull()).count() == 4
+
+
+def test_hashes_lists_and_hits(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"abc" * 700_000)
+    (tmp_path / "b.bin").write_bytes(b"")
+    rows = spark.createDataFrame([(f"file://{tmp_path}/a.bin",), (f"{tmp_path}/b.bin",), ("/none",), (None,)], "path string")
+    got = {r["path"]: (r["size"], r["sha256"], r["error"]) for r in files.hash_files(rows).collect()}
+    assert got[f"file://{tmp_path}/a.bin"] == (2_100_000, hashlib.sha256(b"abc" * 700_000).hexdigest(), None) and got[f"{tmp_path}/b.bin"] == (0, hashlib.sha256(b"").hexdigest(), None)
+    assert got["/none"] == got[None] == (None, None, "missing")
+    assert {r["error"] for r in files.hash_files(rows.limit(1), most=2_000_000).collect()} == {"too large"}
+    (tmp_path / "l.json").write_text('\n [{"a": 1}, {"a": 2}]')
+    (tmp_path / "d.json").write_text('{"a": 1}')
+    assert files.read_json_list(spark, str(tmp_path / "l.json"), "a int").count() == 2
+    with pytest.raises(ValueError):
+        files.read_json_list(spark, str(tmp_path / "d.json"), "a int")
+    chunk = spark.createDataFrame([("t", 1.0, None, "x", 3)], "text string, t_start double, t_end double, filename string, slide_id int")
+    assert tuple(files.hit_rows(chunk, F.lit(0.5), "slide").first()) == ("slide", "t", 1.0, 1.0, 0.5, "slide", '{"filename":"x","slide_id":3}')
+
+
+def test_judge_cache_keeps_no_errors(spark, tmp_path):
+    calls, path = tmp_path / "calls", str(tmp_path / "cache")
+    calls.mkdir()
+
+    def backend(prompt: str) -> str:
+        (calls / f"{prompt}-{uuid.uuid4().hex}").touch()
+        return '{"correct": true, "score": 4}' if prompt != "bad" else "no idea"
+
+    rows = spark.createDataFrame([(1, "good"), (2, "bad")], "id int, prompt string")
+    for n in (2, 3):  # the error is asked for again
+        got = {r["id"]: r["judge"] for r in udf.judge_cached(rows, "id", "prompt", path, backend=backend).collect()}
+        assert got[1]["correct"] and got[2]["error"] and len(list(calls.iterdir())) == n
+
+
+def test_run_meta(spark):
+    meta = evaluation.run_meta(spark.range(5), spark.range(3), {"vlm": "m"}, "f", "v", n=5)
+    assert (meta["n_cases_total"], meta["n_cases_predicted"], meta["orchestrator_model_name"], meta["dataset"]) == (5, 3, "m", "custom")
