@@ -37,7 +37,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read_json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """A JSON object as ``(key, value)`` rows."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     return doc.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
@@ -96,7 +96,7 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 def read_nested(spark: SparkSession, path: str, value: str = "array<array<double>>") -> DataFrame:
     """``(video, qid, spans)`` of a document ``{video: {location: {qid: spans}}}``."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     videos = doc.select(F.explode(F.from_json("value", f"map<string,struct<location: map<string,{value}>>>")).alias("video", "v"))
     return videos.select("video", F.explode("v.location").alias("qid", "spans"))
 
@@ -229,7 +229,7 @@ def ingest_status(videos: DataFrame, targets: DataFrame, sources: DataFrame, don
 
 def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of a JSON list; a document that is no list is refused."""
-    if not spark.read.option("wholetext", True).text(path).where(~F.col("value").rlike(r"^\s*\[")).isEmpty():
+    if not spark.read.text(path, wholetext=True).where(~F.col("value").rlike(r"^\s*\[")).isEmpty():
         raise ValueError(f"{path} is no JSON list")
     return read_json(spark, path, schema)
 

@@ -87,6 +87,8 @@ def test_hashes_lists_and_hits(spark, tmp_path):
     assert files.read_json_list(spark, str(tmp_path / "l.json"), "a int").count() == 2
     with pytest.raises(ValueError):
         files.read_json_list(spark, str(tmp_path / "d.json"), "a int")
+    (tmp_path / "n.json").write_text('{"v": {"location":\n {"q": [[1, 2]]}}}')
+    assert [tuple(r) for r in files.read_nested(spark, str(tmp_path / "n.json")).collect()] == [("v", "q", [[1.0, 2.0]])]
     chunk = spark.createDataFrame([("t", 1.0, None, "x", 3)], "text string, t_start double, t_end double, filename string, slide_id int")
     assert tuple(files.hit_rows(chunk, F.lit(0.5), "slide").first()) == ("slide", "t", 1.0, 1.0, 0.5, "slide", '{"filename":"x","slide_id":3}')
 
