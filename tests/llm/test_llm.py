@@ -875,3 +875,29 @@ def test_pipeline_equals_its_stages_in_plain_form(spark):
     pieces = cp.STAGES[-1][1](spark, d, SF)
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in d.collect()}
     assert found["in"] > found["near_dedup"] >= found["decontamination"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null and very long texts, repeated rows, empty tables and clashing columns, through the stages that decide and the one that packs."""
+    import corpus_pipeline as cp
+
+    stages, path = dict(cp.STAGES), str(tmp_path)
+    leak = "seven plain words of a benchmark item here"
+    spark.createDataFrame([(1, leak, 5), (2, None, 6), (3, "", 7)], "item_id long, text string, doc_id int").write.parquet(f"{path}/benchmark.parquet")
+    rows = [*ODD, (20, f"before {leak} after"), (21, "word " * 50_000 + leak), (22, "clean text of some other words")]
+    d = docs(spark, rows).withColumn("item_id", F.lit(0)).withColumn("length", F.lit("clash"))
+    kept = stages["decontamination"](spark, d, path)
+    assert kept.columns == d.columns and kept.count() == len(rows) - 2 and not {20, 21} & {r["doc_id"] for r in kept.collect()}
+    assert stages["decontamination"](spark, d.limit(0), path).isEmpty()
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/none/benchmark.parquet")
+    assert stages["decontamination"](spark, d, f"{path}/none").count() == len(rows)
+    packed = stages["packing"](spark, d.withColumn("sequence_id", F.lit("clash")).withColumn("offset", F.lit(1)), path).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, _ in rows} and stages["packing"](spark, d.limit(0), path).isEmpty()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 22) == next(r["doc_tokens"] for r in packed if r["doc_id"] == 22)
+
+
+def test_language_of_ties_and_long_texts(spark):
+    model = langid.ByteGRU.blank(["en", "fr"])
+    rows = [(1, "abc"), (2, "abc"), (3, "long words " * 30_000), (4, "é"), (5, "½ ² ③"), (6, "x")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs(spark, rows), model).collect()}
+    assert got[1] == got[2] and got[5] == ("und", 0.0) and all(got[i][0] in ("en", "fr") and 0 < got[i][1] <= 1 for i in (1, 3, 4, 6))
