@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine
 from ..runtime import ship
+from .nearest import best_in_pieces
 
 #: On vectors without clusters 12 of 16 cells hold nine in ten of the nearest twenty; clustered ones need far fewer.
 MOST_CELLS, ROUNDS, PROBES, SPREAD = 4096, 6, 12, 8
+#: Names a stored row.
+ROW = "_row"
 
 
 def _unit(column: pa.Array, width: int) -> np.ndarray:
@@ -47,16 +50,19 @@ class VectorIndex:
         """Fit the cells and write all rows of ``vectors``."""
         index = cls(vectors.sparkSession, path, fit(vectors, cells, key, vector, rounds), vector)
         dealt = index.assigned(vectors).repartition(F.col("cell"), F.pmod(F.xxhash64(key), F.lit(SPREAD)))
-        dealt.write.partitionBy("cell").parquet(path)
+        dealt.withColumn(ROW, F.monotonically_increasing_id()).write.partitionBy("cell").parquet(path)
         return index
 
     def assigned(self, vectors: DataFrame) -> DataFrame:
         return vectors.withColumn("cell", _nearest(self.centroids, 1)(F.col(self.vector))[0])
 
     def rows(self, cells: list[int] | None = None) -> DataFrame:
-        found = self.spark.read.parquet(self.path)
+        found = self._stored().drop(ROW)
         return found if cells is None else found.where(F.col("cell").isin(*cells))
 
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
     def search(self, query: list[float], k: int, tie: str, probes: int | None = PROBES) -> DataFrame:
         """The ``k`` nearest rows by cosine among the ``probes`` nearest cells, or among all."""
         cells = None
@@ -67,14 +73,18 @@ class VectorIndex:
         return self.rows(cells).withColumn("score", F.nanvl(cosine(self.vector, q), F.lit(0.0))).orderBy(F.col("score").desc(), tie).limit(k)
 
     def search_many(self, questions: DataFrame, k: int, by: str, tie: str, query: str = "query", probes: int | None = PROBES) -> DataFrame:
-        """``(by, rows..., score, rank)`` for a table of questions: each meets the rows of its cells only."""
+        """``(by, rows..., score, rank)`` for a table of questions: each meets the rows of its cells only.
+
+        Blocks of questions meet pieces of cells (``nearest``), and only row numbers and scores move on; the rows of the best come last.
+        """
         n = len(self.centroids)
         near = _nearest(self.centroids, n if probes is None else min(probes, n))(F.col(query))
-        asked = questions.select(F.col(by).alias("_by"), F.col(query).alias("_query"), F.explode(near).alias("cell"))
-        scored = asked.join(self.rows(), "cell").withColumn("score", F.nanvl(cosine(self.vector, "_query"), F.lit(0.0)))
-        rank = F.row_number().over(W.partitionBy("_by").orderBy(F.col("score").desc(), tie))
-        best = scored.drop("_query", "cell").withColumn("rank", rank).where(F.col("rank") <= k)
-        return best.withColumnRenamed("_by", by)
+        asked = questions.select(F.col(by).alias("_by"), F.col(query).alias("_query"), F.explode(near).alias("cell"), F.lit(k).alias("_k"))
+        held = self._stored()
+        scored = best_in_pieces(asked, held.withColumn("_tie", F.col(tie)), "cell", "_by", "_query", "_k", self.vector, ["_tie"], (ROW,))
+        rank = F.row_number().over(W.partitionBy("_by").orderBy(F.col("score").desc(), "_tie"))
+        best = scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("_tie")
+        return best.join(held.drop("cell"), ROW).select(F.col("_by").alias(by), *[c for c in held.columns if c not in ("cell", ROW)], "score", "rank")
 
 
 def _nearest(centroids: np.ndarray, n: int):
@@ -96,7 +106,8 @@ def fit(vectors: DataFrame, cells: int, key: str, vector: str = "embedding", rou
         raise ValueError(f"cells must lie between 1 and {MOST_CELLS}")
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(vector).cast("array<double>").alias("v"), F.col(key).alias("k")).where(F.size("v") > 0)
-    first = np.array([r["v"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(cells).collect()], float)
+    first = [r["v"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(cells).collect()]
+    first = np.array([v for v in first if len(v) == len(first[0])], float)
     if not len(first):
         return np.zeros((1, 1))
     width = first.shape[1]

@@ -138,3 +138,38 @@ def test_tools_search_for_themselves(spark, some, tmp_path):
     both = index.search_many(rows.select("session", "video", "question"), 5, "session").select("session", "doc", (6 - F.col("rank")).alias("rank"))
     fused = {r["session"]: r["transcripts"] for r in tools.search_texts(rows, "session", index, some, "transcript", 3, dense=both).collect()}
     assert len(fused[1]) == 3
+
+
+def test_blocks_equal_the_plain_join(spark, monkeypatch):
+    """Small blocks, copies that tie, odd vectors, times that repeat and scenes that overlap."""
+    from lumenframe.functions.numeric import cosine
+    from lumenframe.operators import nearest
+
+    monkeypatch.setattr(nearest, "PIECE", 7)
+    monkeypatch.setattr(nearest, "TILE", 3)
+    rng = random.Random(8)
+    some = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(12)] + [[float("nan"), 1.0, 0.0], [0.0, 0.0, 0.0]]
+    frames = spark.createDataFrame([(rng.choice("vw"), float(rng.randint(0, 30)), rng.choice(some)) for _ in range(90)], "video string, ts double, embedding array<double>")
+    scenes = spark.createDataFrame([(rng.choice("vw"), float(i), i + float(rng.randint(0, 90)), rng.choice(some)) for i in range(60)], "video string, start double, end double, embedding array<double>")
+    asked = spark.createDataFrame([(i, rng.choice("vwx"), rng.choice(some[:12]), rng.randint(1, 5), rng.randint(1, 6)) for i in range(25)], "q int, video string, query array<double>, n_scenes int, n_frames int")
+    pairs = asked.join(frames, "video").withColumn("score", cosine("embedding", "query")).select("q", "ts", "score", "n_frames")
+    rank = lambda *c: F.row_number().over(search.W.partitionBy("q").orderBy(F.col("score").desc(), *c))
+    once = pairs.groupBy("q", "n_frames", "ts").agg(F.max("score").alias("score")).withColumn("r", rank("ts"))
+    got = nearest.best_in_pieces(asked, frames, "video", "q", "query", "n_frames", "embedding", ["ts"], once=True, odd=float("nan")).groupBy("q", "ts").agg(F.max("score").alias("score"))
+    assert sorted(map(repr, got.withColumn("r", rank("ts")).join(asked.select("q", "n_frames"), "q").where("r <= n_frames").select("q", "ts", "score").collect())) == sorted(map(repr, once.where("r <= n_frames").select("q", "ts", "score").collect()))
+    gates, hits = search.two_stage_many(asked, scenes, frames, "q")
+    near = asked.join(scenes, "video").withColumn("score", cosine("embedding", "query")).withColumn("r", rank("start", "end")).where("r <= n_scenes")
+    assert sorted(map(repr, gates.select("q", "start", "end", "score", "rank").collect())) == sorted(map(repr, near.select("q", "start", "end", "score", F.col("r").alias("rank")).collect()))
+    inside = pairs.join(near.select("q", "start", "end"), "q").where("ts between start and end").select("q", "ts").distinct()
+    first = pairs.join(inside, ["q", "ts"]).withColumn("r", rank("ts")).where(F.col("r") <= search.scene_share(F.col("n_frames"), F.lit(True))).withColumn("tier", F.lit(0))
+    both = first.unionByName(once.where("r <= 3 * n_frames").withColumn("tier", F.lit(1)))
+    both = both.groupBy("q", "ts", "n_frames").agg(F.min(F.struct("tier", "r")).alias("k")).withColumn("p", F.row_number().over(search.W.partitionBy("q").orderBy("k"))).where("p <= n_frames")
+    assert sorted(map(repr, hits.select("q", "ts", "rank").collect())) == sorted(map(repr, both.select("q", "ts", F.col("p").alias("rank")).collect()))
+    assert "FlatMapCoGroupsInArrow" in plan_of(hits) and "zip_with" not in plan_of(got)
+
+
+def test_a_vector_of_another_width_scores_zero(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [-1.0, 0.0]), (4, None), (5, [float("inf"), 0.0])], "vec_id long, embedding array<double>")
+    index = VectorIndex.build(df, str(tmp_path / "v"), 2, "vec_id", rounds=2)
+    got = index.search_many(spark.createDataFrame([(0, [2.0, 0.0])], "q int, query array<double>"), 9, "q", "vec_id", probes=None)
+    assert [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(1, 1.0), (2, 0.0), (4, 0.0), (5, 0.0), (3, -1.0)]
