@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import parsing
@@ -25,6 +26,14 @@ def items(spark, sf):
     )
 
 
+def mean_of(rows, by: str, value: str, order: str):
+    """``(by, n, mean)``: the mean is added up in the order of ``order``, so it doesn't hang on how a table is cut into files and tasks."""
+    upto = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    # sums run over the rows in order and each is one row's: no list of a group is held
+    run = rows.select(by, order, F.sum(value).over(upto).alias("_s"), F.count(value).over(upto).alias("_c"))
+    return run.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.when(F.col("_c") > 0, F.col("_s") / F.col("_c")), order).alias("mean"))
+
+
 def packed(rows, by: str, name: str, order: list[str], *fields: str):
     """``(by, name)``: rows as one array a session, in order. The rows were capped or merged before."""
     return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("_x"))))["_x"].alias(name))
@@ -87,7 +96,7 @@ def build_timeline(spark, sf):
 @query("segment_focus", """WITH n AS (SELECT user_id, count(*) % 5 + 1 AS h, round_even(avg(value::DOUBLE), 1) AS c FROM events GROUP BY user_id), w AS (SELECT user_id, round_even(least(greatest(0.0, c - h), least(60.0, c + h)), 2) AS start, round_even(least(60.0, c + h), 2) AS end_ FROM n)
 SELECT *, least(12, len(list_filter(range(0, 60), lambda t: t >= start AND t <= end_))) AS frames, CASE WHEN frames > 0 THEN 'answer_with_evidence' ELSE 'retrieve_video_evidence' END AS next_action FROM w""")
 def segment_focus(spark, sf):
-    n = read(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("value").cast("double")).alias("c"))
+    n = mean_of(items(spark, sf), "user_id", "timestamp", "i").withColumnRenamed("mean", "c")
     s = tools.state(n.select("user_id", F.bround("c", 1).alias("center"), (F.col("n") % 5 + 1).cast("double").alias("half"), F.lit(60.0).alias("duration"), F.transform(F.sequence(F.lit(0), F.lit(59)), lambda t: t.cast("double")).alias("dense"), F.lit("seen").alias("observation")))
     t = tools.segment_focus(s, "center", "half", "observation")
     return t.select("user_id", F.col("focus.start").alias("start"), F.col("focus.end").alias("end_"), F.size("frames").cast("long").alias("frames"), F.col("required_next_action").alias("next_action"))

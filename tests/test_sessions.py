@@ -179,3 +179,21 @@ def test_ingest_counts_and_files(spark, tmp_path):
     assert failed == {"rebound": 2, "processed": 0, "skipped": 4}
     assert {r["case_id"] for r in spark.read.parquet(str(tmp_path / "p")).where("kept = 'true'").collect()} == {"a", "b"}
     assert files.ingest(cases, manifest, there, status, str(tmp_path / "q"), F.lit("broken"), skip=True) == {"rebound": 2, "processed": 0, "skipped": 3}
+
+
+def test_means_do_not_hang_on_the_cut(spark):
+    """Sums of doubles in any other order than the rows' can miss a tie, and the centre is rounded."""
+    from lumenframe.queries.tools import mean_of
+
+    rng, rows = random.Random(9), []
+    for u in range(40):
+        v = [round(rng.uniform(0, 100), 2) for _ in range(60)]
+        rows += [(u, i, x) for i, x in enumerate(v)]
+    want = {}
+    for u, _, x in rows:
+        want[u] = want.get(u, 0.0) + x
+    mixed = spark.createDataFrame(rng.sample(rows, len(rows)), "user_id int, i int, v double").repartition(7)
+    got = {r["user_id"]: (r["n"], r["mean"]) for r in mean_of(mixed, "user_id", "v", "i").collect()}
+    assert got == {u: (60, t / 60) for u, t in want.items()}
+    odd = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (1, 2, None), (2, 0, None)], "user_id int, i int, v double")
+    assert sorted(map(tuple, mean_of(odd, "user_id", "v", "i").collect())) == [(1, 3, 2.0), (2, 1, None)]
