@@ -129,9 +129,9 @@ SELECT user_id, (SELECT count(DISTINCT round_even(v, 1)) FROM x y WHERE y.user_i
 def align(spark, sf):
     is_ = lambda k: F.filter("new_texts", lambda t: t["kind"] == k)
     e = items(spark, sf)
-    mean = e.groupBy("user_id").agg(F.avg("timestamp").alias("t"))
+    mean = mean_of(e, "user_id", "timestamp", "i").select("user_id", F.col("mean").alias("t"))
     # only what lies near the time is gathered; the tool's own cap comes after
-    near = e.join(mean, "user_id").where(F.abs(F.col("timestamp") - F.col("t")) <= 4)
+    near = e.join(mean, "user_id").where(F.col("timestamp").between(F.greatest(F.col("t") - 4, F.lit(0.0)), F.col("t") + 4))
     at = mean.join(packed(merge.capped_frames(near, "user_id", "timestamp", "i", 1 << 20, "timestamp"), "user_id", "times", ["at"], "timestamp"), "user_id", "left").withColumn("times", F.coalesce("times.timestamp", F.array().cast("array<double>")))
     s = tools.state(sessions(spark, sf).join(at, "user_id").select("user_id", "t", "times", is_("transcript").alias("heard"), is_("slide").alias("seen")))
     a = tools.align_audiovisual(s, "t", "times", "heard", "seen")
