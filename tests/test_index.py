@@ -173,3 +173,17 @@ def test_a_vector_of_another_width_scores_zero(spark, tmp_path):
     index = VectorIndex.build(df, str(tmp_path / "v"), 2, "vec_id", rounds=2)
     got = index.search_many(spark.createDataFrame([(0, [2.0, 0.0])], "q int, query array<double>"), 9, "q", "vec_id", probes=None)
     assert [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(1, 1.0), (2, 0.0), (4, 0.0), (5, 0.0), (3, -1.0)]
+
+
+def test_documents_of_equal_terms_tie(spark, tmp_path):
+    """Copies have equal scores whatever order their terms' scores are added in, so they come by their names."""
+    rng, words = random.Random(3), [f"w{i}" for i in range(11)]
+    rows = [("v", "transcript", i, " ".join(rng.choices(words, k=rng.randint(5, 60)))) for i in range(60)]
+    rows += [("v", "transcript", 100 * c + i, rows[i][3]) for c in (1, 2, 3) for i in range(60)]
+    index = TextIndex(spark, str(tmp_path / "i"))
+    index.write(chunks(spark, rows).repartition(9))
+    asked = spark.createDataFrame([(q, "v", " ".join(rng.sample(words, 11))) for q in range(12)], "question_id int, video string, question string")
+    got = {}
+    for r in index.search_many(asked, 240, "question_id").collect():
+        got.setdefault((r["question_id"], r["doc"] % 100), []).append((r["rank"], r["doc"], r["bm25"]))
+    assert all(len({s for _, _, s in g}) == 1 and [d for _, d, _ in sorted(g)] == sorted(d for _, d, _ in g) for g in got.values())
