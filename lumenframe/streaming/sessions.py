@@ -23,6 +23,8 @@ from .state import REGISTRY_SIZE, fold_registry
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TERMINAL = {"done": "done", "failed": "error"}
+#: Rows that go to the state store in one call.
+PIECE = 10_000
 REGISTRIES = "session string, upto long, registry string"
 FEED = "video string, subscriber string, at timestamp, event string, stage string, item string"
 
@@ -33,6 +35,15 @@ def with_state(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def _written(state, rows: list[tuple], anew: bool) -> None:
+    """Rows appended to a list state, or put in place of what it held, in pieces."""
+    if anew:
+        state.put(rows[:PIECE])
+        rows = rows[PIECE:]
+    for i in range(0, len(rows), PIECE):
+        state.appendList(rows[i : i + PIECE])
+
+
 class _InOrder(StatefulProcessor):
     """Rows of a session in the order of ``pos``, whatever order they come in; a row that comes twice counts once."""
 
@@ -40,29 +51,30 @@ class _InOrder(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
-        self.next = handle.getValueState("next", "pos long", self.ttl_ms)
-        self.early = handle.getMapState("early", "pos long", "kind string, data string", self.ttl_ms)
+        self.next = handle.getValueState("next", "pos long, waiting boolean", self.ttl_ms)
+        self.early = handle.getListState("early", "pos long, kind string, data string", self.ttl_ms)
 
     def due(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
-        at = (self.next.get() or (0,))[0]
-        fresh = {}
+        at, waiting = self.next.get() or (0, False)
+        start, fresh, out = at, {}, []
         for pdf in rows:
-            for pos, kind, data in pdf[["pos", "kind", "data"]].itertuples(index=False):
+            for pos, kind, data in zip(pdf["pos"].tolist(), pdf["kind"], pdf["data"], strict=True):
                 if pos >= at:
                     fresh[int(pos)] = (kind, data)
-        out = []
-        while True:
-            if at in fresh:
-                out.append(fresh.pop(at))
-            elif self.early.containsKey((at,)):
-                out.append(tuple(self.early.getValue((at,))))
-                self.early.removeKey((at,))
-            else:
-                break
+        # a call to the store costs a round trip, so rows that wait are written at once, and read only when the first of them may be due
+        moves = at in fresh
+        if moves and waiting:
+            fresh = {pos: (kind, data) for pos, kind, data in self.early.get()} | fresh
+        while at in fresh:
+            out.append(fresh.pop(at))
             at += 1
-        for pos, row in fresh.items():
-            self.early.updateValue((pos,), row)
-        self.next.update((at,))
+        if fresh:
+            _written(self.early, [(pos, *row) for pos, row in fresh.items()], anew=moves)
+        elif moves and waiting:
+            self.early.clear()
+        now = (at, bool(fresh) if moves else waiting or bool(fresh))
+        if fresh or now != (start, waiting):  # a write also renews the time that state is kept
+            self.next.update(now)
         self.at = at
         return out
 
@@ -73,16 +85,21 @@ class _InOrder(StatefulProcessor):
 class ChatFold(_InOrder):
     def init(self, handle) -> None:
         super().init(handle)
-        self.state = handle.getValueState("fold", "tools boolean, answered boolean, sent int", self.ttl_ms)
+        self.state = handle.getValueState("fold", "tools boolean, answered boolean, sent int, holds boolean", self.ttl_ms)
         self.held = handle.getListState("held", "text string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         due, fold = self.due(rows), Fold()
-        fold.tools, answered, sent = self.state.get() or (False, False, 0)
-        fold.answer, fold.held = "x" if answered else "", [t for (t,) in self.held.get()]
+        if not due and self.ttl_ms is None:
+            return
+        fold.tools, answered, sent, holds = self.state.get() or (False, False, 0, False)
+        fold.answer, fold.held = "x" if answered else "", [t for (t,) in self.held.get()] if holds else []
         out = [e for kind, data in due for e in fold.feed(kind, json.loads(data) if data else {})]
-        self.state.update((fold.tools, bool(fold.answer), sent + len(out)))
-        self.held.put([(t,) for t in fold.held]) if fold.held else self.held.clear()
+        self.state.update((fold.tools, bool(fold.answer), sent + len(out), bool(fold.held)))
+        if fold.held:
+            _written(self.held, [(t,) for t in fold.held], anew=True)
+        elif holds:
+            self.held.clear()
         yield pd.DataFrame([(key[0], sent + i, e, json.dumps(d, ensure_ascii=False)) for i, (e, d) in enumerate(out)], columns=["session", "no", "event", "data"])
 
 
