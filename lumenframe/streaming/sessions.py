@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -26,7 +26,7 @@ TERMINAL = {"done": "done", "failed": "error"}
 #: Rows that go to the state store in one call.
 PIECE = 10_000
 REGISTRIES = "session string, upto long, registry string"
-FEED = "video string, subscriber string, at timestamp, event string, stage string, item string"
+FEED = "video string, subscriber string, at long, event string, stage string, item string"
 
 
 def with_state(spark: SparkSession) -> None:
@@ -131,44 +131,70 @@ class Feed(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, rank int, item string", "stage string, subscriber string")
-        self.latest = handle.getValueState("latest", "stage string, item string")
-        self.subscribers = handle.getMapState("subscribers", "subscriber string", "since long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ends: set[int] = set()
-        for pdf in rows:
-            for at, rank, item, stage, subscriber in pdf[["at", "rank", "item", "stage", "subscriber"]].itertuples(index=False):
-                self.waiting.updateValue((int(at), int(rank), item), (stage, subscriber))
-                ends.add((int(at) // 1000 // self.every_ms + 1) * self.every_ms)
-        for end in ends:
-            self.handle.registerTimer(end)
-        yield pd.DataFrame(columns=["video", "subscriber", "at", "event", "stage", "item"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] < until)
-        out = []
-        for (at, rank, item), (stage, subscriber) in due:
-            self.waiting.removeKey((at, rank, item))
+        self.waiting = handle.getListState("waiting", "rows string")  # each a JSON list of up to PIECE (at, rank, item, stage, subscriber)
+        self.latest = handle.getValueState("latest", "known boolean, stage string, item string, timer long, heard boolean")
+        self.subscribers = handle.getListState("subscribers", "subscriber string")
+
+    def end_of(self, at: int) -> int:
+        return (at // 1000 // self.every_ms + 1) * self.every_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first, new = None, []
+        for r in rows:
+            new.append((r["at"], r["rank"], r["item"], r["stage"], r["subscriber"]))
+            first = r["at"] if first is None else min(first, r["at"])
+            if len(new) == PIECE:
+                self.waiting.appendValue((json.dumps(new),))
+                new = []
+        if new:
+            self.waiting.appendValue((json.dumps(new),))
+        if first is None:
+            return iter(())
+        known, stage, item, timer, heard = self.latest.get() or (False, None, None, 0, False)
+        if not timer or self.end_of(first) < timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(self.end_of(first))
+            self.latest.update((known, stage, item, self.end_of(first), heard))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # one timer a video, for its first span: all spans that the watermark has passed go together
+        passed = timerValues.getCurrentWatermarkInMs() // self.every_ms * self.every_ms
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), passed) * 1000
+        known, known_stage, known_item, _, heard = self.latest.get() or (False, None, None, 0, False)
+        everyone = dict.fromkeys(s for (s,) in self.subscribers.get()) if heard else {}
+        # a row that comes twice counts once, as it was written last
+        held = {(at, rank, item): (stage, subscriber) for at, rank, item, stage, subscriber in (r for (some,) in self.waiting.get() for r in json.loads(some))}
+        rest = [(*k, *v) for k, v in held.items() if k[0] >= until]
+        before, out = list(everyone), []
+        for (at, rank, item), (stage, subscriber) in sorted((k, v) for k, v in held.items() if k[0] < until):
             if rank == 0:
-                self.latest.update((stage, item))
-                everyone = [s for (s,) in self.subscribers.keys()]
+                known, known_stage, known_item = True, stage, item
                 out += [(key[0], s, at, TERMINAL.get(stage, "stage"), stage, item) for s in everyone]
                 if stage in TERMINAL:
-                    for s in everyone:
-                        self.subscribers.removeKey((s,))
+                    everyone = {}
             elif rank == 1:
-                known = self.latest.get()
-                if known is not None:
-                    out.append((key[0], subscriber, at, TERMINAL.get(known[0], "stage"), known[0], known[1]))
-                if known is None or known[0] not in TERMINAL:
-                    self.subscribers.updateValue((subscriber,), (at,))
-            elif self.subscribers.containsKey((subscriber,)):
-                self.subscribers.removeKey((subscriber,))
-        pdf = pd.DataFrame(out, columns=["video", "subscriber", "at", "event", "stage", "item"])
-        pdf["at"] = pd.to_datetime(pdf["at"], unit="us", utc=True)
-        yield pdf
+                if known:
+                    out.append((key[0], subscriber, at, TERMINAL.get(known_stage, "stage"), known_stage, known_item))
+                if not known or known_stage not in TERMINAL:
+                    everyone[subscriber] = None
+            else:
+                everyone.pop(subscriber, None)
+        if rest:
+            self.waiting.put([(json.dumps(rest[i : i + PIECE]),) for i in range(0, len(rest), PIECE)])
+        else:
+            self.waiting.clear()
+        if everyone and list(everyone) != before:
+            _written(self.subscribers, [(s,) for s in everyone], anew=True)
+        elif before and not everyone:
+            self.subscribers.clear()
+        timer = self.end_of(min(r[0] for r in rest)) if rest else 0
+        if timer:
+            self.handle.registerTimer(timer)
+        self.latest.update((known, known_stage, known_item, timer, bool(everyone)))
+        for row in out:
+            yield Row(**dict(zip(("video", "subscriber", "at", "event", "stage", "item"), row, strict=True)))
 
     def close(self) -> None:
         pass
@@ -206,7 +232,8 @@ def feed_stream(progress: DataFrame, subscriptions: DataFrame, late: str = "1 mi
     leaves = F.coalesce("leaves", F.lit(False)) if "leaves" in subscriptions.columns else F.lit(False)
     s = subscriptions.select(text("video"), "ts", F.when(leaves, 2).otherwise(1).alias("rank"), text("subscriber").alias("item"), none.alias("stage"), text("subscriber"))
     rows = p.unionByName(s).withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    return rows.groupBy("video").transformWithStateInPandas(Feed(every * 1000), FEED, "Append", "EventTime")
+    # a video has few rows a batch, which come cheaper one by one than as a data frame
+    return rows.groupBy("video").transformWithState(Feed(every * 1000), FEED, "Append", "EventTime").withColumn("at", F.timestamp_micros("at"))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -197,3 +197,81 @@ def test_means_do_not_hang_on_the_cut(spark):
     assert got == {u: (60, t / 60) for u, t in want.items()}
     odd = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (1, 2, None), (2, 0, None)], "user_id int, i int, v double")
     assert sorted(map(tuple, mean_of(odd, "user_id", "v", "i").collect())) == [(1, 3, 2.0), (2, 1, None)]
+
+
+class Store:
+    """A state store of one key that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def _state(self, *_):
+        store = self
+
+        class State:
+            value = None
+
+            def get(self):
+                store.calls += 1
+                return iter(list(self.value or [])) if self.many else self.value
+
+            def update(self, v):
+                store.calls += 1
+                self.value = v
+
+            def put(self, v):
+                self.update(list(v))
+
+            def appendList(self, v):
+                self.update([*(self.value or []), *v])
+
+            def appendValue(self, v):
+                self.appendList([v])
+
+            def clear(self):
+                self.update(None)
+
+        return State()
+
+    def getValueState(self, *a):
+        s = self._state()
+        s.many = False
+        return s
+
+    def getListState(self, *a):
+        s = self._state()
+        s.many = True
+        return s
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_a_feed_asks_the_store_seldom():
+    store, feed = Store(), sessions.Feed(1000)
+    feed.init(store)
+    rows = [{"at": i * 1_000_000, "rank": int(i == 3), "item": str(i), "stage": "s", "subscriber": "me" if i == 3 else None} for i in range(30)]
+    assert list(feed.handleInputRows(("v",), iter(rows), At(-1))) == [] and store.timers == {1000}
+    out = list(feed.handleExpiredTimer(("v",), At(20_500), At(1000)))  # the watermark has passed twenty spans
+    assert [r["item"] for r in out] == ["2", *map(str, range(4, 20))] and 21_000 in store.timers and store.calls <= 12
+
+
+def test_early_chat_rows_ask_the_store_seldom():
+    import pandas as pd
+
+    store, fold = Store(), sessions.ChatFold()
+    fold.init(store)
+    batch = lambda a, b: iter([pd.DataFrame([(i, "token", '{"text": "x"}') for i in range(a, b)], columns=["pos", "kind", "data"])])
+    assert list(fold.handleInputRows(("s",), batch(1, 40), None)) == [] and store.calls <= 3
+    list(fold.handleInputRows(("s",), batch(0, 1), None))
+    assert fold.at == 40 and store.calls <= 10
