@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies (five words, Jaccard 0.8): the one with the smallest id.
+    """Keeps one document of each class of near copies (five words, SimHash, Jaccard 0.8): the one with the smallest id.
 
     Rows that repeat an id with different texts are different documents. Of equal rows one stays.
     A row without an id stays, as it can't be told from others.

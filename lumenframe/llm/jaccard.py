@@ -1,25 +1,29 @@
-"""Near copies by Jaccard similarity of word shingles.
+"""Near copies by SimHash and Jaccard similarity of word shingles.
 
 Two texts are linked when the sets of their five-word shingles have a Jaccard
 similarity of ``LEAST`` or more; a class is a connected component of links.
 
 Plan
 ----
-1. One Arrow pass gives every text a digest of its shingle set and ``BANDS`` keys,
-   each of ``ROWS`` MinHash values. Equal sets collapse to one node. Two texts at
-   similarity 0.8 share no key with odds (1 - 0.8^5)^32, about 3e-6.
-2. Nodes that share a key are candidates. First each is compared with the smallest
-   node of its key, so a large group of near copies costs one pair a member.
-3. Keys whose nodes are not all in one class are compared further, in cells of about
+1. One Arrow pass gives every text its SimHash (``simhash.fingerprint`` over the same
+   shingles), a digest of its shingle set and ``BANDS`` keys, each of ``ROWS`` MinHash
+   values. Equal sets collapse to one node.
+2. The shards of BK-trees of ``simhash`` link fingerprints within ``RADIUS`` bits. Links
+   that hold on the words of both texts form the first classes.
+3. Two bits hold a small part of the pairs near ``LEAST``, so nodes of different classes
+   that share a MinHash key are candidates, too: two texts at similarity 0.8 share none with
+   odds (1 - 0.8^5)^32, about 3e-6. First each is compared with the smallest node of its
+   key, so a large group of near copies costs one pair a member.
+4. Keys whose nodes are not all in one class are compared further, in cells of about
    twice ``GROUP`` nodes, whatever the key's size: the key's largest class is cut into
    chunks, and each chunk meets the rest of the key. Pairs of one class are passed over,
    as are pairs of which under ``AGREE`` of the 160 MinHash bytes agree (at similarity
    0.8 odds of about 1e-7). Only links leave a task.
-4. Where over ``GROUP`` nodes of a key are outside its largest class, the key says little:
+5. Where over ``GROUP`` nodes of a key are outside its largest class, the key says little:
    its texts share a passage. They are regrouped by the rarest fifth of their shingles
    (prefix filter: sets of similarity 0.8 share one of these, in any fixed order), and
-   then compared as in 3. Rarity comes from a table of ``SLOTS`` counters.
-5. Links are verified on the words of both texts.
+   then compared as in 4. Rarity comes from a table of ``SLOTS`` counters.
+6. Links are verified on the words of both texts.
 
 A row is told from others by its id and its text, so rows that repeat an id with
 different texts have classes of their own; equal rows share one. Rows without an
@@ -42,10 +46,12 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, spread_join, written
 from .decontaminate import Words
-from .simhash import components, named_classes
+from .simhash import components, fingerprint, named_classes, near_links
 
 WORDS = 5
 LEAST = 0.8
+#: Bits in which linked fingerprints may differ.
+RADIUS = 2
 BANDS, ROWS = 32, 5
 AGREE = 99
 #: Nodes of a chunk; a cell has two.
@@ -104,7 +110,7 @@ def keys_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, list[np.ndarray |
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, th, digest, size, keys, sig)`` for every row; ``th`` is a hash of the text."""
+    """``(id, th, digest, size, keys, sig, fp)`` for every row; ``th`` is a hash of the text, ``fp`` its SimHash."""
 
     def run(batches):
         for b in batches:
@@ -112,10 +118,26 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for lo, hi in slices(sizes, BATCH_BYTES):
                 part = b.slice(lo, hi - lo)
                 digests, size, keys, sigs = keys_of(part.column(2))
-                cols = [part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(size), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "digest", "size", "keys", "sig"])
+                fps = np.array([fingerprint(t.as_py(), WORDS) for t in part.column(2)], np.uint64).view(np.int64)
+                cols = [part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(size), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(fps)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "digest", "size", "keys", "sig", "fp"])
 
-    return map_arrow(keyed(docs, id_col, text_col), run, "id long, th long, digest binary, size long, keys array<long>, sig binary")
+    return map_arrow(keyed(docs, id_col, text_col), run, "id long, th long, digest binary, size long, keys array<long>, sig binary, fp long")
+
+
+def fingerprint_pairs(nodes: DataFrame, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
+    """Candidates ``(u, v)`` among ``nodes (node, fp, size)``: what the BK-trees link, and nodes of one fingerprint.
+
+    The smallest node of a fingerprint stands for it.
+    """
+    low = F.min(F.struct("node", "size")).alias("low")
+    held = written(nodes.groupBy("fp").agg(low, F.count(F.lit(1)).alias("n")), "fingerprints")
+    same = spread_join(nodes, held.where("n > 1").select("fp", "low"), ["fp"], "node", held.select("fp", "n")).where(F.col("node") != F.col("low.node"))
+    same = same.select("node", "size", F.col("low.node").alias("v"), F.col("low.size").alias("v_size"))
+    end = lambda e: held.select(F.col("fp").alias(e), F.col("low").alias(f"{e}_low"))
+    near = written(near_links(held.select("fp"), radius), "near").join(end("u"), "u").join(end("v"), "v")
+    found = same.unionByName(near.select(F.col("u_low.node").alias("node"), F.col("u_low.size").alias("size"), F.col("v_low.node").alias("v"), F.col("v_low.size").alias("v_size")))
+    return found.where(alike(F.col("size"), F.col("v_size"), least)).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,6 +165,15 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return map_arrow(pairs.select("u", "v", "a", "b"), run, "u binary, v binary").distinct()
 
 
+def apart_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)`` whose nodes are of different classes by ``labels (node, root)``."""
+    for end in ("u", "v"):
+        counts = written(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")), "ends")
+        roots = labels.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        pairs = spread_join(pairs, roots, [end], "u" if end == "v" else "v", counts, how="left")
+    return pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
 def cells(members: DataFrame, stats: DataFrame) -> DataFrame:
     """``members (key, node, size, root)`` dealt into cells of about twice ``GROUP`` rows: ``(key, cell, part, node, size, root)``.
 
@@ -270,19 +301,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     docs = docs.where(F.col(id_col).isNotNull())
     rows = written(signatures(docs, id_col, text_col), "signatures")
     rep = F.min(F.struct("id", "th")).alias("rep")
-    nodes = rows.groupBy("digest").agg(rep, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    nodes = rows.groupBy("digest").agg(rep, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.min("fp").alias("fp"))
     nodes = written(nodes.withColumnRenamed("digest", "node"), "nodes")
     members = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = written(members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     members = written(spread_join(members, shared.select("key", "low"), ["key"], None, shared.select("key", "n")), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "rep.*", "sig"), "node")
+    by_bits = written(fingerprint_pairs(nodes.where("keys is not null").select("node", "fp", "size"), RADIUS, least), "by-bits")
+    ends = by_bits.select(F.explode(F.array("u", "v")).alias("node"))
+    wanted = members.select("node").unionByName(ends).distinct().join(nodes.select("node", "rep.*", "sig"), "node")
     texts = keyed(docs, id_col, text_col).join(wanted.hint("merge"), ["id", "th"])
     # rows that repeat count once; the join's order serves
     once = texts.groupBy("id", "th").agg(F.first("node").alias("node"), F.first("sig").alias("sig"), F.first("text").alias("text"))
     texts = written(once.select("node", "sig", "text"), "texts")
 
+    near = written(verified(by_bits, texts, least), "near-links")
     first = members.where((F.col("node") != F.col("low.node")) & alike(F.col("size"), F.col("low.size"), least)).select(F.col("node").alias("u"), F.col("low.node").alias("v")).distinct()
-    links = written(verified(written(first, "pairs"), texts, least), "verified")
+    first = apart_pairs(written(first, "pairs"), written(components(near), "near-classes"))
+    links = written(near.unionByName(verified(written(first, "first-pairs"), texts, least)), "verified")
     labels = written(components(links), "labels")
     apart = written(members.select("key", "node", "size").join(labels, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "apart")
     stats = written(mixed(apart), "mixed")

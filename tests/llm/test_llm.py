@@ -168,6 +168,25 @@ def test_near_dedup_links_that_miss_the_smallest_node(spark):
     assert got == brute_near_copies(rows)
 
 
+def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    for base in range(40):
+        words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        rows += [(base * 10 + k, " ".join(words[: 400 - k] + [f"x{base}"] * (k % 2))) for k in range(4)]
+    whole = jaccard.signatures
+    alone = F.when(F.col("keys").isNotNull(), F.array(F.xxhash64("id")))  # no key is shared: only the BK-trees link
+    monkeypatch.setattr(jaccard, "signatures", lambda *a: whole(*a).withColumn("keys", alone))
+    fps, sets = {i: simhash.fingerprint(t, 5) for i, t in rows}, {i: jaccard.shingle_set(t) for i, t in rows}
+    label = {i: i for i, _ in rows}
+    for i, _ in rows:
+        for j in range(i // 10 * 10, i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and jaccard.similarity(sets[i], sets[j]) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if c == old else c for k, c in label.items()}
+    got = {r["id"]: r["component"] for r in jaccard.near_copies(docs(spark, rows)).collect()}
+    assert got == label and len(set(label.values())) < 120
+
+
 @pytest.mark.parametrize("group", [3, 20])
 def test_near_copies_in_small_cells(spark, monkeypatch, group):
     monkeypatch.setattr(jaccard, "GROUP", group)
