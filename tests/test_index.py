@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import search
-from lumenframe.operators.textindex import TextIndex, bucket_of, phrases_of
+from lumenframe.operators import search, textindex
+from lumenframe.operators.textindex import SPREAD, TextIndex, bucket_of, phrases_of
 from lumenframe.operators.vectorindex import VectorIndex, fit
 from lumenframe.plans import tools
 
@@ -41,6 +41,31 @@ def test_scores_are_those_of_the_scan(spark, some, tmp_path):
     assert [r["doc"] for r in hit] == [r["doc"] for r in want] and all(r["video"] == "v1" and 0 < r["score"] < 1 for r in hit)
 
 
+def test_postings_move_once(spark, some, tmp_path):
+    index = TextIndex(spark, str(tmp_path / "i"))
+    odd = chunks(spark, [("v0", "slide", 900, None), ("v0", "slide", 901, " .\n"), (None, "slide", 902, "Über--a a\u00a0ß٣ 🙂 a")])
+    rows = index._lines(some.unionByName(odd), "text")
+    terms = index._terms(rows)
+    assert "Exchange" not in plan_of(terms) and "Aggregate" not in plan_of(terms)
+    want = {}
+    for r in some.unionByName(odd).select("doc", F.regexp_extract_all(search.fold(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), 0).alias("w")).collect():
+        for i, w in enumerate(r["w"]):
+            want.setdefault((r["doc"], len(r["w"]), w), []).append(i)
+    assert {(r["doc"], r["length"], r["term"]): r["places"] for r in terms.collect()} == want and (902, 5, "a") in want
+    assert {r["doc"]: r["length"] for r in rows.where("doc >= 900").collect()} == {900: 0, 901: 0, 902: 5}
+    index.write(odd)
+    assert index.postings().where("video = 'v0'").isEmpty() and index.corpus().first()["total"] == 3
+
+
+def test_many_words_are_sorted_in_more_tasks(spark, some, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "PART_WORDS", 4)
+    index = TextIndex(spark, str(tmp_path / "i"), buckets=4)
+    assert index._spread(0) == SPREAD and index._spread(16 * SPREAD + 1) == SPREAD + 1
+    index.write(some)
+    want = {r["doc"]: r["bm25"] for r in search.bm25(some, "red car", id_col="doc").collect()}
+    assert {r["doc"]: r["bm25"] for r in index.bm25("red car").collect()} == pytest.approx(want)
+
+
 def test_only_buckets_of_the_terms_are_read(spark, some, tmp_path):
     index = TextIndex(spark, str(tmp_path / "i"))
     index.write(some)
