@@ -1,5 +1,7 @@
 """Small expectations of operators and functions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,21 @@ def test_interval_plan_has_an_equi_key(spark):
     s = spark.createDataFrame([(1, 0.0, 2.0)], "k int, start double, end double")
     plan = intervals.points_in_intervals(p, s, "k")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_resolve_files_keeps_one_row_a_name(spark):
+    there = ["/v/1/clip1.webm", "/v/2/clip1.mkv", "/a/clip1.mp3", "/a/b/c.tar.gz", "/b/c.MP4", "/a/c.MP4", "/x/d.mp4", "/w/d.mp4", "/x/", "/q/.mp4", "/q/e"]
+    asked = ["clip1.mp4", "clip1.mp4", "clip1", "c.MP4", "b/c.MP4", "c", "d.avi", "x/d.mp4", "/w/d.mp4", "c.tar", "none.mp4", "", ".mp4", "e.mov", "e", None]
+    ends = (".mp4", ".mkv", ".webm", ".tar.gz", "")
+
+    def best(name):
+        own = (name or "").split("/")[-1]
+        stem = re.sub(r"\.[A-Za-z0-9]+$", "", own)
+        bases = [own, *[stem + e for e in ends]]
+        fit = [(-1 if p == name or p.endswith(f"/{name}") else bases.index(b), p) for p in there if (b := p.split("/")[-1]) in bases]
+        return min(fit)[1] if fit and name is not None else None
+
+    found = files.resolve_files(spark.createDataFrame([(n,) for n in asked], "name string"), spark.createDataFrame([(p,) for p in there], "path string"), extensions=ends)
+    assert sorted(((r["name"], r["path"]) for r in found.collect()), key=repr) == sorted(((n, best(n)) for n in asked), key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.splitlines() if "Generate " in x] and not [x for x in plan.splitlines() if "Generate " in x and "name#" in x]
