@@ -15,18 +15,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, token_hits
-from ..runtime import ship
+from ..runtime import map_arrow, slices
 
 BLOCK = 512
-#: Letters of runs that a task remembers with their tokens.
-CACHE = 16 << 20
-#: Texts that are matched at once.
-ROWS = 1024
+#: Bytes of runs that a task remembers with their tokens, and what a run takes besides its letters.
+CACHE, RUN_BYTES = 24 << 20, 170
+#: Texts that are matched at once, and about their bytes.
+ROWS, PIECE = 256, 1 << 20
+_NONE = np.empty(0, np.int32)
 _RUN = re.compile(r"[a-z0-9\u4e00-\u9fff]+")
 
 
@@ -46,8 +48,8 @@ class Finder:
                 hits = {self.ids[s] for n in self.lengths if n <= len(run) for i in range(len(run) - n + 1) if (s := run[i : i + n]) in self.ids}
             else:
                 hits = {i for t, i in self.ids.items() if t in run}
-            found = np.fromiter(sorted(hits), np.int32, len(hits))
-            self.size += len(run) + 16
+            found = np.fromiter(sorted(hits), np.int32, len(hits)) if hits else _NONE
+            self.size += len(run) + RUN_BYTES + (found.nbytes + 112 if hits else 0)
             if self.size > CACHE:
                 self.known.clear()
                 self.size = 0
@@ -63,6 +65,13 @@ class Finder:
         return out
 
 
+def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``ROWS`` rows and about ``PIECE`` bytes of text, so no worker holds it as objects."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in slices(np.maximum(sizes, PIECE // ROWS), PIECE):
+        yield batch.slice(lo, hi - lo)
+
+
 def candidate_blocks(candidates: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
     """``(label, tokens)`` in blocks of about ``BLOCK``, one at a time on the driver."""
     c = candidates.select("label", content_tokens("text").alias("tokens"))
@@ -85,7 +94,6 @@ def _weights(block: list[tuple[str, list[str]]], most: int | None = None, distin
 
 def best_evidence(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
     """``(label, hits, t, ord)``: each candidate's best text of every task."""
-    ship(evidence.sparkSession)
     parts = []
     for block in candidate_blocks(candidates):
 
@@ -93,8 +101,7 @@ def best_evidence(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
             finder, table, n = _weights(block)
             need, best = np.where(n <= 2, 1, 2), {}
             for b in batches:
-                for lo in range(0, b.num_rows, ROWS):
-                    part = b.slice(lo, ROWS)
+                for part in pieces(b, 2):
                     ord_, t = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                     hits = finder.rows(part.column(2).to_pylist()) @ table
                     order = np.lexsort((ord_, t))
@@ -107,7 +114,7 @@ def best_evidence(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.string(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["label", "hits", "t", "ord"])
 
         rows = evidence.select(F.col("ord").cast("long"), F.col("t").cast("double"), "text").where("t is not null and ord is not null")
-        parts.append(rows.mapInArrow(run, "label string, hits long, t double, ord long"))
+        parts.append(map_arrow(rows, run, "label string, hits long, t double, ord long"))
     if not parts:
         return evidence.sparkSession.createDataFrame([], "label string, hits long, t double, ord long")
     return reduce(DataFrame.unionByName, parts)
@@ -146,7 +153,6 @@ def seen_in(options: DataFrame, evidence: DataFrame) -> DataFrame:
     distinct tokens there (one, if it has one), or with its first six spread over all texts.
     ``ord`` is the first text of the first kind, else the one with most tokens.
     """
-    ship(evidence.sparkSession)
     parts = []
     for block in candidate_blocks(options):
 
@@ -159,8 +165,7 @@ def seen_in(options: DataFrame, evidence: DataFrame) -> DataFrame:
                 wide[finder.ids[t]] = first[i]
             need, full, some, spread = np.minimum(2, n), {}, {}, np.zeros(len(finder.ids), bool)
             for b in batches:
-                for lo in range(0, b.num_rows, ROWS):
-                    part = b.slice(lo, ROWS)
+                for part in pieces(b, 1):
                     ord_ = part.column(0).to_numpy(zero_copy_only=False)
                     flags = finder.rows(part.column(1).to_pylist())
                     spread |= flags.any(0)
@@ -181,7 +186,7 @@ def seen_in(options: DataFrame, evidence: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, types, strict=True)], names=["label", "full", "hits", "no", "found", "six"])
 
         rows = evidence.select(F.col("ord").cast("long"), "text").where("ord is not null")
-        parts.append(rows.mapInArrow(run, "label string, full long, hits long, no long, found array<string>, six array<string>"))
+        parts.append(map_arrow(rows, run, "label string, full long, hits long, no long, found array<string>, six array<string>"))
     labels = options.select(F.col("label").cast("string").alias("label"))
     if not parts:
         return labels.select("label", F.lit(False).alias("seen"), F.lit(None).cast("long").alias("ord"))

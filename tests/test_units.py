@@ -2,9 +2,11 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lumenframe import udf
 from lumenframe.functions import markers, mcq, numeric, text
 from lumenframe.operators import intervals, matrix, sampling, search
 from lumenframe.plans import evaluation, grounding, planner
@@ -160,3 +162,14 @@ def test_resolve_files_keeps_one_row_a_name(spark):
     assert sorted(((r["name"], r["path"]) for r in found.collect()), key=repr) == sorted(((n, best(n)) for n in asked), key=repr)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert [x for x in plan.splitlines() if "Generate " in x] and not [x for x in plan.splitlines() if "Generate " in x and "name#" in x]
+
+
+def test_candidates_hold_no_batch_and_few_runs():
+    batch = pa.record_batch({"ord": list(range(5000)), "text": ["x" * 10, None] * 2498 + ["y" * matrix.PIECE] * 4})
+    parts = list(matrix.pieces(batch, 1))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and max(p.num_rows for p in parts) <= matrix.ROWS
+    assert max(sum(len(x or "") for x in p.column(1).to_pylist()) for p in parts) <= matrix.PIECE
+    finder = matrix.Finder(["abc"])
+    for i in range(400_000):
+        finder.in_run(f"r{i}")
+    assert len(finder.known) * matrix.RUN_BYTES <= matrix.CACHE and finder.in_run("xabcx").tolist() == [0]
