@@ -62,14 +62,25 @@ def option_of(label, opts) -> Column:
     return F.try_element_at(F.filter(col(opts), lambda o: o["label"] == label), F.lit(1))
 
 
-def option_scores(text, opts) -> Column:
-    """``array<struct<label, hits, supported>>``: content tokens of each option, repeats included, found in the text."""
+def option_tokens(opts) -> Column:
+    """``array<struct<label, tokens>>``: the content tokens of each option, repeats included."""
+    return F.transform(col(opts), lambda o: F.struct(o["label"].alias("label"), content_tokens(o["text"]).alias("tokens")))
+
+
+def token_scores(text, tokens) -> Column:
+    """``option_scores`` of options that ``option_tokens`` has cut: many texts that meet the same options cut them once."""
 
     def row(o, n, hits):
         return F.struct(o["label"].alias("label"), hits.alias("hits"), (hits >= F.least(F.lit(2), F.greatest(F.lit(1), n))).alias("supported"))
 
-    one = lambda low, o: let(content_tokens(o["text"]), lambda tokens: let(token_hits(low, tokens), lambda hits: row(o, F.size(tokens), hits)))
-    return let(normalize(text), lambda low: F.transform(col(opts), lambda o: one(low, o)))
+    one = lambda low, o: let(token_hits(low, o["tokens"]), lambda hits: row(o, F.size(o["tokens"]), hits))
+    # tokens have no character that ``normalize`` takes out, so they occur in the folded text just where they do in the normalized one
+    return let(F.lower(F.coalesce(col(text), F.lit(""))), lambda low: F.transform(col(tokens), lambda o: one(low, o)))
+
+
+def option_scores(text, opts) -> Column:
+    """``array<struct<label, hits, supported>>``: content tokens of each option, repeats included, found in the text."""
+    return token_scores(text, option_tokens(opts))
 
 
 def temporal_option(opts, order) -> Column:

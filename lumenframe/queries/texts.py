@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markers, mcq, text
 from ..operators import matrix
+from ..runtime import stored
 from ..sources.files import vtt_cues
 from .registry import query, read, read_even
 
@@ -74,8 +75,9 @@ def mcq_scores(spark, sf):
     numbered = items.withColumn("i", F.row_number().over(W.orderBy("item_id")) - 1)  # the questions of one set are few
     n = items.agg(F.count(F.lit(1)).alias("n"))
     d = read_even(spark, sf, "documents").select("doc_id", "text").crossJoin(F.broadcast(n)).withColumn("i", F.col("doc_id") % F.col("n"))
-    o = numbered.select("i", "item_id", F.array(F.struct(F.lit("A").alias("label"), F.col("text"))).alias("opts"))
-    scored = d.join(o, "i").select("doc_id", "item_id", mcq.option_scores("text", "opts")[0].alias("s"))
+    opts = F.array(F.struct(F.lit("A").alias("label"), F.col("text")))
+    o = stored(numbered.select("i", "item_id", mcq.option_tokens(opts).alias("tokens")), "options")  # cut once, not for every text
+    scored = d.join(F.broadcast(o), "i").select("doc_id", "item_id", mcq.token_scores("text", "tokens")[0].alias("s"))
     return scored.select("doc_id", "item_id", F.col("s.hits").cast("long").alias("hits"), "s.supported")
 
 

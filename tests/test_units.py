@@ -164,6 +164,19 @@ def test_resolve_files_keeps_one_row_a_name(spark):
     assert [x for x in plan.splitlines() if "Generate " in x] and not [x for x in plan.splitlines() if "Generate " in x and "name#" in x]
 
 
+def test_option_scores_search_the_folded_text(spark):
+    opts = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("text")) for a, b in (("A", "Red-CAR, red 汽车站 the x"), ("B", " .. "), ("C", "river"))])
+    texts = [None, "", "a RED.car", "re d ca r", "Das 汽车站!", "the,River\n", "riv er"]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    low = text.normalize("t")
+    want = F.transform(opts, lambda o: F.size(F.filter(text.content_tokens(o["text"]), lambda k: F.contains(low, k))))
+    found = d.select("i", want.alias("want"), mcq.option_scores("t", opts).alias("s"), mcq.token_scores("t", mcq.option_tokens(opts)).alias("k"))
+    for r in found.collect():
+        assert [x["hits"] for x in r["s"]] == r["want"] and r["s"] == r["k"]
+    plan = d.select(mcq.token_scores("t", F.array(F.struct(F.lit("A").alias("label"), F.array(F.col("t")).alias("tokens")))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # no pattern runs over the texts
+
+
 def test_candidates_hold_no_batch_and_few_runs():
     batch = pa.record_batch({"ord": list(range(5000)), "text": ["x" * 10, None] * 2498 + ["y" * matrix.PIECE] * 4})
     parts = list(matrix.pieces(batch, 1))
