@@ -13,12 +13,16 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import give_back, ship, slices
 
 Backend = Callable[[str], str]
+#: Bytes and rows of texts that a worker holds as objects at once.
+PIECE, ROWS = 1 << 20, 1024
 
 
 def stub_caption(image: str) -> str:
@@ -95,36 +99,40 @@ def degrade(frames: list, side: int, call: Callable[[list, int], str], times: in
     raise AssertionError
 
 
+def _in_pieces(df: DataFrame, column: str, out: str, kind: str, made: Callable[[list], pa.Array]) -> DataFrame:
+    """``out`` of type ``kind`` from ``made``, which gets about ``PIECE`` bytes of texts at once: a worker never holds a batch as objects."""
+    ship(df.sparkSession)
+
+    @F.arrow_udf(kind)
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            sizes = np.maximum(pc.fill_null(pc.binary_length(b), 0).to_numpy(zero_copy_only=False), PIECE // ROWS)
+            yield pa.concat_arrays([made(b.slice(lo, hi - lo).to_pylist()) for lo, hi in slices(sizes, PIECE)] or [made([])])
+        give_back()
+
+    return df.withColumn(out, call(F.col(column).cast("string")))
+
+
 def map_text(df: DataFrame, column: str, out: str, backend: Backend = stub_caption, retries: int = 1, group: int = 8) -> DataFrame:
     """Model calls in groups of ``group`` at once; an empty reply is asked for once more. Nulls stay."""
-    ship(df.sparkSession)
 
-    @F.pandas_udf("string")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(x):
-            if x is None or x != x:
-                return None
-            reply = backend(x)
-            for _ in range(retries):
-                reply = reply or backend(x)
-            return reply
+    def one(x):
+        if x is None:
+            return None
+        reply = backend(x)
+        for _ in range(retries):
+            reply = reply or backend(x)
+        return reply
 
+    def replies(texts):
         with ThreadPoolExecutor(group) as pool:
-            for s in batches:
-                yield pd.Series(list(pool.map(one, s)), index=s.index, dtype=object)
+            return pa.array(pool.map(one, texts), pa.string())
 
-    return df.withColumn(out, call(F.col(column)))
+    return _in_pieces(df, column, out, "string", replies)
 
 
 def encode_text(df: DataFrame, column: str, out: str, encoder: Callable[[str], list[float]] = hashed_vector) -> DataFrame:
-    ship(df.sparkSession)
-
-    @F.pandas_udf("array<double>")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([encoder("" if x is None or x != x else x) for x in s], index=s.index)
-
-    return df.withColumn(out, call(F.col(column)))
+    return _in_pieces(df, column, out, "array<double>", lambda texts: pa.array([encoder(x or "") for x in texts], pa.list_(pa.float64())))
 
 
 #: Encodes pictures as ``encode_text`` does texts: a backend gets their names.

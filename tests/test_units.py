@@ -186,3 +186,16 @@ def test_candidates_hold_no_batch_and_few_runs():
     for i in range(400_000):
         finder.in_run(f"r{i}")
     assert len(finder.known) * matrix.RUN_BYTES <= matrix.CACHE and finder.in_run("xabcx").tolist() == [0]
+
+
+def test_backends_get_pieces_in_order(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "case when id % 7 = 0 then null when id % 7 = 1 then '' else 't' || id end as t").repartition(3)
+    replies = udf.map_text(rows, "t", "out", lambda x: f"<{x}>")
+    assert all(r["out"] == (None if r["t"] is None else f"<{r['t']}>") for r in replies.collect())
+    assert "ArrowEvalPython" in replies._jdf.queryExecution().executedPlan().toString()
+    sizes = []
+    monkeypatch.setattr(udf.F, "arrow_udf", lambda kind: lambda call: lambda c: sizes.append(call) or c)
+    udf._in_pieces(rows, "t", "out", "string", lambda texts: sizes.append(len(texts)) or pa.array(texts, pa.string()))
+    whole = pa.array(["z" * 100] * 4000 + [None, "q" * (3 * udf.PIECE)], pa.string())
+    out = list(sizes.pop()(iter([whole, pa.array([], pa.string())])))
+    assert out[0].equals(whole) and len(out[1]) == 0 and max(sizes) <= udf.ROWS and sum(sizes) == 4002
