@@ -134,8 +134,10 @@ def fingerprint_pairs(nodes: DataFrame, radius: int = RADIUS, least: float = LEA
     held = written(nodes.groupBy("fp").agg(low, F.count(F.lit(1)).alias("n")), "fingerprints")
     same = spread_join(nodes, held.where("n > 1").select("fp", "low"), ["fp"], "node", held.select("fp", "n")).where(F.col("node") != F.col("low.node"))
     same = same.select("node", "size", F.col("low.node").alias("v"), F.col("low.size").alias("v_size"))
-    end = lambda e: held.select(F.col("fp").alias(e), F.col("low").alias(f"{e}_low"))
-    near = written(near_links(held.select("fp"), radius), "near").join(end("u"), "u").join(end("v"), "v")
+    near = written(near_links(held.select("fp"), radius), "near")
+    for end in ("u", "v"):  # a hub has many links
+        counts = written(near.groupBy(end).agg(F.count(F.lit(1)).alias("n")), "ends")
+        near = spread_join(near, held.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_low")), [end], "u" if end == "v" else "v", counts)
     found = same.unionByName(near.select(F.col("u_low.node").alias("node"), F.col("u_low.size").alias("size"), F.col("v_low.node").alias("v"), F.col("v_low.size").alias("v_size")))
     return found.where(alike(F.col("size"), F.col("v_size"), least)).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
 
