@@ -97,7 +97,8 @@ def build_timeline(spark, sf):
 SELECT *, least(12, len(list_filter(range(0, 60), lambda t: t >= start AND t <= end_))) AS frames, CASE WHEN frames > 0 THEN 'answer_with_evidence' ELSE 'retrieve_video_evidence' END AS next_action FROM w""")
 def segment_focus(spark, sf):
     n = mean_of(items(spark, sf), "user_id", "timestamp", "i").withColumnRenamed("mean", "c")
-    s = tools.state(n.select("user_id", F.bround("c", 1).alias("center"), (F.col("n") % 5 + 1).cast("double").alias("half"), F.lit(60.0).alias("duration"), F.transform(F.sequence(F.lit(0), F.lit(59)), lambda t: t.cast("double")).alias("dense"), F.lit("seen").alias("observation")))
+    # as the SQL rounds a double: bround() goes by its digits, where 57.050000000000004 is no tie, but times ten it is 570.5
+    s = tools.state(n.select("user_id", (F.rint(F.col("c") * 10) / 10).alias("center"), (F.col("n") % 5 + 1).cast("double").alias("half"), F.lit(60.0).alias("duration"), F.transform(F.sequence(F.lit(0), F.lit(59)), lambda t: t.cast("double")).alias("dense"), F.lit("seen").alias("observation")))
     t = tools.segment_focus(s, "center", "half", "observation")
     return t.select("user_id", F.col("focus.start").alias("start"), F.col("focus.end").alias("end_"), F.size("frames").cast("long").alias("frames"), F.col("required_next_action").alias("next_action"))
 

@@ -275,3 +275,23 @@ def test_early_chat_rows_ask_the_store_seldom():
     assert list(fold.handleInputRows(("s",), batch(1, 40), None)) == [] and store.calls <= 3
     list(fold.handleInputRows(("s",), batch(0, 1), None))
     assert fold.at == 40 and store.calls <= 10
+
+
+def test_a_mean_beside_a_tie_is_rounded_as_in_sql(spark, tmp_path):
+    """A mean of 57.050000000000004 is 570.5 tenths, so its centre is 57.0 in SQL; many means here lie a bit beside a tie."""
+    import duckdb
+
+    from lumenframe.catalog import ORACLES, QUERIES
+
+    rng, rows = random.Random(6), []
+    for u in range(200):
+        v = [rng.randint(0, 8000) for _ in range(19)]
+        v.append((10 * rng.randint(300, 600) + 5) * 20 - sum(v))
+        rows += [(20 * u + i, u, x / 100) for i, x in enumerate(v)]
+    rows += [(9000 + i, 500 + i, x) for i, x in enumerate([57.050000000000004, 1.6500000000000001, 0.8500000000000001, 3.6500000000000004])]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").selectExpr("*", "'view' AS event_type").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("SET threads=1")  # it adds up in the order of the rows
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["segment_focus"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(ORACLES["segment_focus"]).fetchall()) and len(got) == 204
