@@ -212,3 +212,24 @@ def test_documents_of_equal_terms_tie(spark, tmp_path):
     for r in index.search_many(asked, 240, "question_id").collect():
         got.setdefault((r["question_id"], r["doc"] % 100), []).append((r["rank"], r["doc"], r["bm25"]))
     assert all(len({s for _, _, s in g}) == 1 and [d for _, d, _ in sorted(g)] == sorted(d for _, d, _ in g) for g in got.values())
+
+
+def test_hits_of_many_questions_stay_in_their_tasks(spark, tmp_path, monkeypatch):
+    """Pieces and blocks of any size give the same rows, and what leaves a group is a question's best, not its hits."""
+    rng, words = random.Random(4), [f"w{i}" for i in range(9)]
+    rows = [(f"v{i % 2}", rng.choice(["transcript", "slide"]), i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(120)]
+    rows += [(v, k, 200 + i, t) for v, k, i, t in rows[:40]]
+    index = TextIndex(spark, str(tmp_path / "i"))
+    index.write(chunks(spark, rows))
+    asked = [(q, rng.choice(["v0", "v1", "v7", None]), rng.choice([" ".join(rng.sample(words, rng.randint(1, 4))), "w1-w2 w3", "none"])) for q in range(50)]
+    df = spark.createDataFrame(asked, "question_id int, video string, question string")
+    many = lambda d: sorted(tuple(r) for r in index.search_many(d, 4).select("question_id", "video", "kind", "doc", F.round("bm25", 9), "rank").collect())
+    whole, all_over = many(df), many(df.drop("video"))
+    hits = {(q, r["doc"]) for q, v, t in asked[:12] for r in index.bm25(t, F.col("video") == (v or "")).collect()}
+    best = index.search_many(df, 4)
+    assert "FlatMapCoGroupsInArrow" in plan_of(best) and len(hits) > 12 * 4
+    want = {q: [r["doc"] for r in index.search(t, 4, F.col("video") == (v or "")).collect()] for q, v, t in asked[:12]}
+    assert {q: [r[3] for r in sorted((x for x in whole if x[0] == q), key=lambda x: x[5])] for q in want} == want
+    monkeypatch.setattr(textindex, "PIECE_WORDS", 150)
+    monkeypatch.setattr(textindex, "BLOCK", 7)
+    assert many(df) == whole and many(df.drop("video")) == all_over and {r[1] for r in all_over} == {"v0", "v1"}
