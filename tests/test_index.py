@@ -233,3 +233,15 @@ def test_hits_of_many_questions_stay_in_their_tasks(spark, tmp_path, monkeypatch
     monkeypatch.setattr(textindex, "PIECE_WORDS", 150)
     monkeypatch.setattr(textindex, "BLOCK", 7)
     assert many(df) == whole and many(df.drop("video")) == all_over and {r[1] for r in all_over} == {"v0", "v1"}
+
+
+def test_a_write_does_not_shuffle_postings(spark, some, tmp_path, monkeypatch):
+    """Postings are several times their texts; each task writes its own part, as many as the words ask for."""
+    moved = []
+    frame = type(some)
+    monkeypatch.setattr(frame, "repartition", lambda self, *a, f=frame.repartition: moved.append(self.columns) or f(self, *a))
+    index = TextIndex(spark, str(tmp_path / "i"), buckets=2)
+    index.write(some)
+    assert not moved
+    small = index.compact(str(tmp_path / "j"))
+    assert moved and small.search("red car", 5).collect() == index.search("red car", 5).collect()
